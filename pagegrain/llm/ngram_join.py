@@ -2,16 +2,17 @@
 
 Documents with equal shingle sets form a class; the join runs over classes.
 
-1. A pass over all texts makes each set's size, class id and a 2,048-bit parity
-   signature, and counts shingles in hashed slots of a fixed number.
+1. A pass over all texts makes each set's size, class id and a parity
+   signature of its bits, and counts shingles in hashed slots of a fixed number.
 2. Those counts order shingles from rare to frequent.  Of a set of n, the first
    n - ceil(0.8 n) + 1 are its short inverted lists: a partner must be on one of
    them.  Lists are merged by a shuffle; a list's members go to the bucket named by
    its smallest class, which folds the many lists of one group into few buckets.
    A frequent shingle's list is salted first and its parts' buckets joined after.
 3. In a bucket, in blocks of bounded size, the signatures' differing bits bound the
-   overlap from above; who has no possible partner leaves.
-4. The others' texts meet in blocks: DivideSkip heap-merges each query's short
+   overlap from above; what is left falls into groups of possible links, and a
+   class is in one group.
+4. A group's texts meet in blocks: DivideSkip heap-merges each query's short
    lists, probes the long ones by binary search and keeps sets that reach the
    overlap.  Only links between what isn't connected yet are written, at most one
    for each member of a block, but every pair of a list is either tested or already
@@ -75,6 +76,12 @@ def least_overlap(n: int, m: int, percent: int = PERCENT) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """For each of 2,048 places, or of a power of 2 from twice the set's size, whether an odd number of shingles falls there."""
+    width = max(BITS, 1 << (2 * len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(bool), bitorder="little").tobytes()
+
+
 def _features(batches):
     counts = np.zeros(SLOTS, np.int64)
     names = [x.split()[0] for x in FEATURES.split(", ")]
@@ -83,7 +90,7 @@ def _features(batches):
         for _, s in shingle_sets(batch.column(2)):
             sizes.append(len(s))
             classes.append(class_of(s))
-            bits.append(np.packbits((np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes() if len(s) else None)
+            bits.append(parity_bits(s) if len(s) else None)
             np.add.at(counts, (s >> np.uint64(46)).astype(np.int64), 1)
         m = len(batch)
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
@@ -193,42 +200,58 @@ def _begins(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+def folded(bits: list[bytes]) -> np.ndarray:
+    """Parity signatures as rows of 64-bit words, all folded to the width of the shortest."""
+    least = min(map(len, bits))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0) for x in bits])
+
+
 def possible(n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets of a group can have a partner in it: a size within reach, and no more
-    differing bits than a pair of these sizes may have differing shingles."""
-    found = np.zeros(len(n), bool)
-    step = max(1, (1 << 22) // max(1, bits.size))
+    """Which pairs of a group can link: sizes within reach, and no more differing bits than
+    a pair of these sizes may have differing shingles."""
+    ok = np.zeros((len(n), len(n)), bool)
+    step = max(1, (1 << 21) // max(1, bits.size))
     for a in range(0, len(n), step):
         x = slice(a, min(a + step, len(n)))
         total = n[x, None] + n[None, :]
-        ok = 100 * np.minimum(n[x, None], n[None, :]) >= percent * np.maximum(n[x, None], n[None, :])
+        near = 100 * np.minimum(n[x, None], n[None, :]) >= percent * np.maximum(n[x, None], n[None, :])
         apart = np.bitwise_count(bits[x, None, :] ^ bits[None, :, :]).sum(-1, dtype=np.int64)
-        ok &= (100 + percent) * apart <= (200 - 2 * percent) * total  # overlap = (total - apart) / 2 at most
-        ok[np.arange(x.stop - a), np.arange(a, x.stop)] = False
-        found[x] = ok.any(1)
-    return found
+        ok[x] = near & ((100 + percent) * apart <= (200 - 2 * percent) * total)  # overlap = (total - apart) / 2 at most
+    np.fill_diagonal(ok, False)
+    return ok
 
 
-def _survivors(percent: int):
+def tree(ok: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest of a symmetric boolean matrix."""
+    links, left = [], np.ones(len(ok), bool)
+    for root in range(len(ok)):
+        if not left[root]:
+            continue
+        left[root] = False
+        front = [root]
+        while front:
+            more = np.flatnonzero(ok[front.pop()] & left).tolist()
+            left[more] = False
+            links += [(root, k) for k in more]
+            front += more
+    return links
+
+
+def _possible_links(percent: int):
     def run(batches):
         for table, begin in _groups(batches):
-            pivot, cls, n = (table.column(c).to_numpy() for c in ("pivot", "class", "n"))
-            n = n.astype(np.int64)
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
-            end = np.append(begin[1:], len(n))
-            keep = np.zeros(len(n), bool)
-            pairs = begin[end - begin == 2]
-            if len(pairs):
-                a, b = n[pairs], n[pairs + 1]
-                ok = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-                apart = np.bitwise_count(bits[pairs] ^ bits[pairs + 1]).sum(1, dtype=np.int64)
-                ok &= (100 + percent) * apart <= (200 - 2 * percent) * (a + b)
-                keep[pairs[ok]] = keep[pairs[ok] + 1] = True
-            for s, e in zip(begin.tolist(), end.tolist(), strict=True):
-                if e - s > 2:
-                    keep[s:e] = possible(n[s:e], bits[s:e], percent)
-            if keep.any():
-                yield pa.record_batch([pa.array(pivot[keep]), pa.array(cls[keep]), pa.array(n[keep].astype(np.int32))], ["pivot", "class", "n"])
+            cls, n = table.column("class").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+            bits = table.column("bits").to_pylist()
+            out = []
+            for s, e in zip(begin.tolist(), np.append(begin[1:], len(n)).tolist(), strict=True):
+                if e - s == 2:
+                    x, y = int(n[s]), int(n[s + 1])
+                    if 100 * min(x, y) < percent * max(x, y):
+                        continue
+                if e - s > 1:
+                    out += [(cls[s + a], cls[s + b]) for a, b in tree(possible(n[s:e], folded(bits[s:e]), percent))]
+            if out:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
     return run
 
@@ -368,10 +391,14 @@ def ngram_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     members = rows.where("hot = 0").select("pivot", "class").union(rows.where("hot <> 0").select("pivot", "class").distinct().join(tops, "pivot").select("top", "class")).distinct()
     signed = every.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("row_key").alias("row_key"))
     signed = materialise(signed, "signatures")
-    met = _in_blocks(members.join(signed.select("class", "n", "bits"), "class"), f"ceil(count(*) / {BLOCK}D)").select("pivot", "i", "j", "class", "n", "bits")
-    near = met.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(_survivors(percent), "pivot long, class long, n int")
-    near = materialise(near.distinct(), "possible")
-    needed = near.select("class").distinct().join(signed.select("class", "row_key"), "class")
+    width = lambda n: F.greatest(F.lit(BITS), F.pow(F.lit(2), F.ceil(F.log2(2 * n))).cast("int"))
+    least = width(F.col("n"))  # a partner that isn't smaller has this width or the next
+    dealt = members.join(signed.select("class", "n", "bits"), "class").withColumn("width", F.explode(F.array_distinct(F.array(least, width(F.col("n") * (100 / percent))))))
+    dealt = dealt.withColumn("pivot", F.xxhash64("pivot", "width")).drop("width")
+    met = _in_blocks(dealt, f"ceil(count(*) / {BLOCK}D)").select("pivot", "i", "j", "class", "n", "bits")
+    near = met.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(_possible_links(percent), "a long, b long")
+    near = connected_components(near).select(F.col("label").alias("pivot"), F.col("id").alias("class")).join(signed.select("class", "n"), "class").select("pivot", "class", "n")
+    needed = near.select("class").join(signed.select("class", "row_key"), "class")
     texts = docs.select("row_key", "text").join(needed, "row_key").select("class", "text").dropDuplicates(["class"])
     met = _in_blocks(near, f"greatest(1, ceil(count(*) / {TEXTS}D), ceil(sum(n) / {SHINGLES}D))").select("pivot", "i", "j", "class").join(texts, "class").select("pivot", "i", "j", "class", "text")
     links = met.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "class").mapInArrow(_links(percent), "a long, b long")
