@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import round_trip
 from .decontaminate import leaks
+from .html_extract import extract
 from .language_id import language_id
+from .license_scan import license_scan
+from .multi_index import search
 from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
 from .token_records import token_records
+from .url_filter import filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +28,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -32,6 +40,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -44,6 +56,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 SQL_SUBSTRING_DEDUP = r"""
 WITH listed AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -65,9 +85,38 @@ FROM listed l LEFT JOIN kept k ON l.doc_id = k.doc_id
 """
 
 
+SQL_NGRAM_JOIN = r"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), word AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i, len(ws) AS n FROM listed
+), gram AS (
+  SELECT doc_id, i, n, md5(string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) AS k FROM word
+), shingle AS (
+  SELECT DISTINCT doc_id, k FROM gram WHERE i <= n - 5 OR (n < 5 AND i = 0)
+), size AS (
+  SELECT doc_id, count(*) AS m FROM shingle GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM shingle a JOIN shingle b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2
+), pair AS (
+  SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * o >= 80 * (x.m + y.m - o)
+), link AS (
+  SELECT a, b FROM pair UNION SELECT b, a FROM pair
+), reach AS (
+  SELECT a AS doc_id, a AS r FROM link UNION SELECT reach.doc_id, b FROM reach JOIN link ON a = r
+)
+SELECT l.doc_id, CAST(coalesce(m, 0) AS BIGINT) AS n_shingles, coalesce(c, l.doc_id) AS component_id
+FROM listed l LEFT JOIN size s ON s.doc_id = l.doc_id LEFT JOIN (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) r ON r.doc_id = l.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op4_substring_dedup, op6_ngram_join, op7_token_records, op8_decontaminate)}
+    every = (
+        op1_language_id, op2_multi_index, op3_byte_bpe, op4_substring_dedup, op5_html_extract,
+        op6_ngram_join, op7_token_records, op8_decontaminate, op9_url_filter, op10_license_scan,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": SQL_SUBSTRING_DEDUP}
+    return {"op4_substring_dedup": SQL_SUBSTRING_DEDUP, "op6_ngram_join": SQL_NGRAM_JOIN}
