@@ -23,7 +23,7 @@ from .words import BYTE_VALUE, STEP, mix
 
 DECODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 AT_ONCE = 1 << 20  # characters whose pre-tokens are held at once
-KEPT = 1 << 20  # resolved pre-tokens that a task remembers between batches
+KEPT = 1 << 18  # resolved pre-tokens that a task remembers between batches
 
 
 def bytes_hash(keys: list[bytes]) -> np.ndarray:
