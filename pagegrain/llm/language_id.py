@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import mix, pieces, utf8
@@ -168,7 +168,7 @@ def _counts(batches):
         yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["lang", "ids", "counts"])
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     """crc32(doc_id as text) mod 3 is 1; false without a doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -196,18 +196,17 @@ def fit(docs: DataFrame, per_language: int = 500, at_most: int = 8000) -> Model
     return train([(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<f4")) for r in got], labels, languages)
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs, all columns, with lang_pred, lang_score and lang_rejected.
+def predict(docs: DataFrame, model: Model | None) -> Column:
+    """A struct of lang, score and rejected for the whole text of each row of docs.
 
     A null text, and one without a letter, is `und` with score 0 and rejected; so is every
-    text if there was nothing to learn from.  Otherwise lang_pred is a learned language,
-    lang_score its calibrated probability over the whole text, and lang_rejected says
-    that it is below the model's threshold.  Equal texts get equal answers."""
+    text if there was nothing to learn from.  Otherwise lang is a learned language, score
+    its calibrated probability, and rejected says that it is below the model's
+    threshold.  Equal texts get equal answers."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
 
     @F.pandas_udf("lang string, score double, rejected boolean")
-    def predict(text):
+    def run(text):
         import pandas as pd
 
         known = shared.value
@@ -221,19 +220,15 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         rejected = ~has | (score < (known.threshold if known is not None else 1))
         return pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
 
-    found = predict(F.col("text").cast("string"))
-    return docs.withColumn("_found", found).select(*names, F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("lang_score"), F.col("_found.rejected").alias("lang_rejected"))
+    return run(F.col("text").cast("string"))
 
 
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every row, by a model of the rows not held out."""
-    model = fit(docs)
-    rows = docs.select(F.col("doc_id"), F.col("text"))
-    found = identify(rows, model)
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+    found = docs.select("doc_id", predict(docs, fit(docs)).alias("found"))
+    return found.select("doc_id", held_out().alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.rejected").alias("rejected"))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """docs, all columns, without the rows that the model rejects."""
-    names = docs.columns
-    return identify(docs, fit(docs)).where("not lang_rejected").select(*names)
+    return docs.where(~predict(docs, fit(docs))["rejected"])

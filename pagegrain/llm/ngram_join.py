@@ -431,10 +431,10 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with one row of each component: the one with its smallest doc_id,
     once if it is repeated.  Rows without words and rows without an id stay, though
     equal rows of the latter become one."""
-    names = docs.columns
-    decided = _components(docs, percent).withColumn("stays", F.expr("n = 0 or doc_id is null or doc_id = component_id"))
-    decided = decided.where("stays").groupBy("row_key").agg(F.expr("count(*) > 1 and max(n) > 0").alias("_repeated"))
-    keyed = docs.withColumn("row_key_", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    kept = keyed.join(decided.withColumnRenamed("row_key", "row_key_"), "row_key_")
-    once = kept.where("_repeated").dropDuplicates(["row_key_"])
-    return kept.where("not _repeated").select(*names).union(once.select(*names))
+    decided = _components(docs, percent).where("n = 0 or doc_id is null or doc_id = component_id")
+    decided = decided.groupBy(F.col("row_key").alias("__row_key")).agg(F.expr("count(*) > 1 and max(n) > 0").alias("__repeated"))
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("__row_key")
+    kept = docs.select("*", key).join(decided, "__row_key")
+    names = [F.col(f"`{name}`") for name in docs.columns]
+    once = kept.where("__repeated").dropDuplicates(["__row_key"])
+    return kept.where("not __repeated").select(*names).union(once.select(*names))

@@ -17,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialise
@@ -125,16 +125,19 @@ def _digests(batches):
         yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def copied_factors(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(docs with row_key, factors): factors(row_key, factors array<struct<start, size>>)
-    of words to remove, for rows that have any.
+def row_key(name: str = "row_key") -> Column:
+    """One value for a doc_id and a text, since ids may repeat with other texts."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias(name)
+
+
+def copied_factors(docs: DataFrame, window: int = 50) -> DataFrame:
+    """(row_key, factors array<struct<start, size>>): words to remove, for rows that have any.
 
     Rows without a doc_id take no part.  Rows with one doc_id never copy each other:
     each keeps its words unless a smaller id has them.  Equal windows within one
     document are no copies.  Texts under a window's length, null or empty ones have
     no factors; an empty table has none."""
-    docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "row_key", F.col("text").cast("string").alias("text"))
+    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_key(), F.col("text").cast("string").alias("text"))
     every = materialise(source.mapInArrow(_blocks(window), BLOCKS), "blocks")
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     held = materialise(every.join(shared, "anchor"), "shared-blocks")
@@ -147,26 +150,23 @@ def copied_factors(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     windows = materialise(windows, "boundary-windows")
     first = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor", "hash", F.col("a").alias("first_doc"))
     partly = windows.join(first, ["anchor", "hash"]).where("first_doc < doc_id").select("row_key", "start", F.lit(window).alias("size"))
-    factors = copies.union(partly).groupBy("row_key").agg(F.collect_set(F.struct("start", "size")).alias("factors"))
-    return docs, factors
+    return copies.union(partly).groupBy("row_key").agg(F.collect_set(F.struct("start", "size")).alias("factors"))
 
 
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row, by copied_factors."""
-    docs, factors = copied_factors(docs, window)
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row_key", F.col("text").cast("string").alias("text"))
-    return every.join(factors, "row_key", "left").select("doc_id", "text", "factors").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(), F.col("text").cast("string").alias("text"))
+    return every.join(copied_factors(docs, window), "row_key", "left").select("doc_id", "text", "factors").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_copies(docs: DataFrame, window: int = 50) -> DataFrame:
     """docs, all columns, with the copied words taken out of text; the words that stay
     are then joined by one space.  Other texts stay as they are, byte for byte."""
-    names = docs.columns
-    keyed, factors = copied_factors(docs, window)
-    # only rows with factors go through Python
-    found = keyed.join(factors, "row_key", "left")
-    cut = F.pandas_udf(_cut, "string")
-    return found.withColumn("text", F.when(F.col("factors").isNull(), F.col("text")).otherwise(cut("text", "factors"))).select(*names)
+    factors = copied_factors(docs, window).select(F.col("row_key").alias("__row_key"), F.col("factors").alias("__factors"))
+    found = docs.select("*", row_key("__row_key")).join(factors, "__row_key", "left")
+    cut = F.pandas_udf(_cut, "string")  # only rows with factors go through Python
+    text = F.when(F.col("__factors").isNull(), F.col("text")).otherwise(cut(F.col("text").cast("string"), F.col("__factors"))).alias("text")
+    return found.select(*[text if name == "text" else F.col(f"`{name}`") for name in docs.columns])
 
 
 def _cut(texts, factors):
