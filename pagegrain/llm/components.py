@@ -17,7 +17,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     each round is a written table, so that a lost executor costs one round.
     Rows with a null end are no links; an empty table has no components."""
     links = links.where("a is not null and b is not null and a <> b")
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = materialise(links.distinct(), "pairs")
     both = materialise(links.union(links.select("b", "a")).toDF("id", "to"), "links")
     labels = materialise(both.groupBy("id").agg(F.least("id", F.min("to")).alias("label")), "labels")
     while True:
