@@ -302,51 +302,36 @@ def divide_skip(query: list[int], index: dict[int, list[int]], least: int) -> li
 def link_group(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect what the group's links connect; places in sets.
 
-    In a larger group a few hubs are first compared with all.  The largest component
-    then needs no pairs of its own: its members look only for those outside of it,
-    and those outside look for all."""
-    root = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    links = []
+    In a larger group a few hubs are first compared with all.  A set then searches
+    only if a set before it that the signatures allow isn't connected with it yet."""
+    count = len(sets)
+    label, links = np.arange(count), []
 
     def link(a: int, b: int) -> None:
-        if (p := find(a)) != (q := find(b)):
-            root[max(p, q)] = min(p, q)
+        if label[a] != label[b]:
+            label[label == max(label[a], label[b])] = min(label[a], label[b])
             links.append((a, b))
 
-    count = len(sets)
+    order = np.array(sorted(range(count), key=lambda k: len(sets[k])))
     if count > 8:
-        for hub in range(0, count, max(1, count // 8)):
+        ok = possible(np.array([len(s) for s in sets], np.int64), folded([parity_bits(s) for s in sets]), percent)
+        for hub in order[:: max(1, count // 16)].tolist():
             h = sets[hub]
-            for k, s in enumerate(sets):
-                if k != hub and find(k) != find(hub) and 100 * min(len(h), len(s)) >= percent * max(len(h), len(s)):
-                    at = np.searchsorted(h, s)
-                    at[at == len(h)] = 0
-                    if (h[at] == s).sum() >= least_overlap(len(h), len(s), percent):
-                        link(hub, k)
-    roots = [find(k) for k in range(count)]
-    largest = max(set(roots), key=roots.count) if count > 8 else -1
-    order = sorted(range(count), key=lambda k: len(sets[k]))
-    every: dict[int, list[int]] = {}
-    outside: dict[int, list[int]] = {}
-    if any(x != largest for x in roots):
-        for place, k in enumerate(order):
-            elements, n = sets[k].tolist(), len(sets[k])
-            inside = roots[k] == largest
-            for other, overlap in divide_skip(elements, outside if inside else every, -(-percent * n // 100)):
-                m = order[other]
-                if overlap >= least_overlap(n, len(sets[m]), percent):
-                    link(m, k)
-            for x in elements:
-                every.setdefault(x, []).append(place)
-            if not inside:
-                for x in elements:
-                    outside.setdefault(x, []).append(place)
+            for k in np.flatnonzero(ok[hub] & (label != label[hub])).tolist():
+                at = np.searchsorted(h, sets[k])
+                at[at == len(h)] = 0
+                if (h[at] == sets[k]).sum() >= least_overlap(len(h), len(sets[k]), percent):
+                    link(hub, k)
+        ok = ok[np.ix_(order, order)]
+    index: dict[int, list[int]] = {}
+    for place, k in enumerate(order.tolist()):
+        elements, n = sets[k].tolist(), len(sets[k])
+        if count <= 8 or (ok[place, :place] & (label[order[:place]] != label[k])).any():
+            for other, overlap in divide_skip(elements, index, -(-percent * n // 100)):
+                if overlap >= least_overlap(n, len(sets[order[other]]), percent):
+                    link(int(order[other]), k)
+        for x in elements:
+            index.setdefault(x, []).append(place)
     return links
 
 
