@@ -40,6 +40,7 @@ BITS = 2048
 SLOTS = 1 << 18
 SLOT_ROWS = 64
 BLOCK = 4096  # signatures of a bucket that meet in one task
+PROBED = 256  # so few allowed candidates are probed without merging lists
 TEXTS, SHINGLES = 1024, 1 << 21  # texts, and shingles of them, that meet in one task
 FEATURES = "doc_id long, row_key long, n int, class long, bits binary, slot int, counts binary"
 
@@ -326,7 +327,15 @@ def link_group(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int
     index: dict[int, list[int]] = {}
     for place, k in enumerate(order.tolist()):
         elements, n = sets[k].tolist(), len(sets[k])
-        if count <= 8 or (ok[place, :place] & (label[order[:place]] != label[k])).any():
+        left = np.flatnonzero(ok[place, :place] & (label[order[:place]] != label[k])) if count > 8 else None
+        if left is not None and len(left) <= PROBED:  # few candidates: the binary search alone
+            for other in order[left].tolist():
+                if label[other] != label[k]:
+                    at = np.searchsorted(sets[other], sets[k])
+                    at[at == len(sets[other])] = 0
+                    if (sets[other][at] == sets[k]).sum() >= least_overlap(n, len(sets[other]), percent):
+                        link(other, k)
+        else:
             for other, overlap in divide_skip(elements, index, -(-percent * n // 100)):
                 if overlap >= least_overlap(n, len(sets[order[other]]), percent):
                     link(int(order[other]), k)
