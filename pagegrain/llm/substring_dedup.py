@@ -139,16 +139,17 @@ def copied_factors(docs: DataFrame, window: int = 50) -> DataFrame:
     no factors; an empty table has none."""
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_key(), F.col("text").cast("string").alias("text"))
     every = materialise(source.mapInArrow(_blocks(window), BLOCKS), "blocks")
-    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    # joins below read written tables on both sides, so that AQE can split hot anchors and windows
+    shared = materialise(every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "shared-anchors")
     held = materialise(every.join(shared, "anchor"), "shared-blocks")
     index = materialise(held.groupBy("anchor", "block").agg(F.min("doc_id").alias("first_doc")), "block-index")
     parsed = held.join(index, ["anchor", "block"])
     copies = parsed.where("first_doc < doc_id").select("row_key", "start", (F.col("size") + window - 1).alias("size"))
-    unsure = index.groupBy("anchor").agg(F.min("first_doc").alias("a"), F.max("first_doc").alias("b")).where("a < b").select("anchor")
+    unsure = materialise(index.groupBy("anchor").agg(F.min("first_doc").alias("a"), F.max("first_doc").alias("b")).where("a < b").select("anchor"), "unsure-anchors")
     edges = parsed.where("first_doc = doc_id").join(unsure, "anchor").groupBy("row_key").agg(F.collect_set(F.struct("start", "size", "anchor")).alias("edges"))
     windows = source.join(edges, "row_key").select("doc_id", "row_key", "text", "edges").mapInArrow(_windows(window), "doc_id long, row_key long, start int, anchor long, hash long")
     windows = materialise(windows, "boundary-windows")
-    first = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor", "hash", F.col("a").alias("first_doc"))
+    first = materialise(windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor", "hash", F.col("a").alias("first_doc")), "first-windows")
     partly = windows.join(first, ["anchor", "hash"]).where("first_doc < doc_id").select("row_key", "start", F.lit(window).alias("size"))
     return copies.union(partly).groupBy("row_key").agg(F.collect_set(F.struct("start", "size")).alias("factors"))
 
