@@ -49,6 +49,19 @@ def letterbox(w: Column, h: Column, size: int = 1024) -> tuple[Column, Column, C
     return scale, F.floor((size - F.round(w * scale)) / 2), F.floor((size - F.round(h * scale)) / 2)
 
 
-def crop(w: int, h: int, pad: int = 35) -> dict[str, Column]:
-    """A rectangle padded and cut at the image's edges."""
-    return {"cx1": F.greatest(F.col("x1") - pad, F.lit(0)), "cy1": F.greatest(F.col("y1") - pad, F.lit(0)), "cx2": F.least(F.col("x2") + pad, F.lit(w)), "cy2": F.least(F.col("y2") + pad, F.lit(h))}
+def crop(w: int, h: int, pad: int = 35, longest: float = 1.8) -> dict[str, Column]:
+    """A rectangle padded; a long one is cut at the image's edges, another one becomes a
+    square that is shifted into the image as far as it fits."""
+    low, high, size = {}, {}, {"x": w, "y": h}
+    for c in "xy":
+        low[c], high[c] = F.col(f"{c}1") - pad, F.col(f"{c}2") + pad
+    bw, bh = (high[c] - low[c] for c in "xy")
+    long = F.greatest(bw / F.greatest(F.lit(1), bh), bh / F.greatest(F.lit(1), bw)) > longest
+    side, out = F.greatest(bw, bh), {}
+    for c in "xy":
+        a, b = ((low[c] + high[c] + sign * side) / 2 for sign in (-1, 1))
+        start = F.when(a < 0, 0).when(b > size[c], F.greatest(F.lit(0), a - (b - size[c]))).otherwise(a)
+        end = F.when(a < 0, F.least(F.lit(size[c]), b - a)).when(b > size[c], size[c]).otherwise(b)
+        out[f"c{c}1"] = F.when(long, F.greatest(low[c], F.lit(0))).otherwise(F.floor(start)).cast("long")
+        out[f"c{c}2"] = F.when(long, F.least(high[c], F.lit(size[c]))).otherwise(F.floor(end)).cast("long")
+    return {n: out[n] for n in ("cx1", "cy1", "cx2", "cy2")}

@@ -6,9 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Address blocks that a download must not reach (first address, prefix length).
-BLOCKED = [("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("224.0.0.0", 4), ("240.0.0.0", 4)]
-#: Language names and the codes they stand for.
-LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
+BLOCKED = [
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24),
+    ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+]
+#: Language codes and the reader's names for them.
+LANGUAGES = {"korean": "korean", "ko": "korean", "ch": "ch", "zh": "ch", "en": "en", "ja": "japan", "japan": "japan"}
 
 
 def extension(url: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Keys of a style and their defaults.
+STYLE = {"color": "auto", "font": "default", "fontSize": "auto", "bold": False, "strokeWidth": "auto", "strokeColor": "auto", "bgColor": "transparent", "cornerRadius": "0", "horizontalAlign": "center", "verticalAlign": "middle"}
+
 
 def work_selection(pages: DataFrame, requested: DataFrame) -> DataFrame:
     """Requested pages that exist and aren't skipped."""
@@ -66,3 +69,114 @@ def accumulated(edits: DataFrame, key: str) -> DataFrame:
     rows = edits.withColumn("epoch", F.sum((F.col("event_id") % 10 == 0).cast("int")).over(w))
     inside = Window.partitionBy(key, "epoch").orderBy("ts", "event_id")
     return rows.select(key, "event_id", F.max("value").over(inside).alias("mask"))
+
+
+def public_view(chapters: DataFrame) -> DataFrame:
+    """Chapters as clients see them: links instead of paths, boxes without masks.
+    chapters: chapter_id, pages array<struct<original, clean, boxes array<struct<.., mask>>, ..>>."""
+
+    def shown(page, i):
+        link = lambda kind: F.concat(F.lit("/api/image/"), F.col("chapter_id").cast("string"), F.lit("/"), i.cast("string"), F.lit(f"/{kind}"))
+        clean = F.when(page["clean"].isNotNull(), link("clean"))
+        return page.withField("original", link("original")).withField("clean", clean).withField("boxes", F.transform(page["boxes"], lambda b: b.dropFields("mask")))
+
+    return chapters.withColumn("pages", F.transform("pages", shown))
+
+
+def normal_region(w: int, h: int, least: int = 10) -> dict[str, Column]:
+    """Corners cut at the image and put in order; ok says whether both sides are at least so long."""
+    cut = {c: F.greatest(F.lit(0), F.least(F.col(c), F.lit(w if c[0] == "x" else h))) for c in ("x1", "y1", "x2", "y2")}
+    out = {f"n{c}{i}": f(cut[f"{c}1"], cut[f"{c}2"]) for c in "xy" for i, f in ((1, F.least), (2, F.greatest))}
+    return {**out, "ok": (out["nx2"] - out["nx1"] >= least) & (out["ny2"] - out["ny1"] >= least)}
+
+
+def edit_violation(boxes: DataFrame, w: int, h: int, least: int = 10) -> DataFrame:
+    """The first rule that an edited box breaks; boxes that break none are left out."""
+    c = F.col
+    rule = F.when((c("x1") < 0) | (c("y1") < 0), "negative").when((c("x1") >= c("x2")) | (c("y1") >= c("y2")), "reversed").when((c("x2") > w) | (c("y2") > h), "beyond image").when((c("x2") - c("x1") < least) | (c("y2") - c("y1") < least), "too small")
+    return boxes.withColumn("violation", rule).where("violation is not null").select("page_id", "box_index", "violation")
+
+
+def styles(objects: DataFrame, requested: DataFrame, key: str) -> DataFrame:
+    """Each object's style: the request's value, else the stored one, else the default.  A requested empty
+    translation counts as none; other empty values count.  Objects left without a translation are dropped."""
+    ask = requested.select(key, F.col("translation").alias("_translation"), *[F.col(c).alias(f"_{c}") for c in STYLE if c in requested.columns])
+    both = objects.join(ask, key, "left")
+    text = F.coalesce(F.nullif(F.col("_translation"), F.lit("")), F.col("translation"))
+    chosen = [F.coalesce(*[F.col(x) for x in (f"_{c}", c) if x in both.columns], F.lit(default)).alias(c) for c, default in STYLE.items()]
+    return both.select(key, text.alias("translation"), *chosen).where(F.trim("translation") != "")
+
+
+def sanitised(objects: DataFrame, key: str) -> DataFrame:
+    """A style's known keys over the defaults, with an error where an alignment is none of the allowed ones.
+    objects: key, style map<string, string>."""
+    known = [F.coalesce(F.col("style")[c], F.lit(str(d).lower() if isinstance(d, bool) else d)).alias(c) for c, d in STYLE.items()]
+    strange = F.exists(F.map_keys("style"), lambda k: ~k.isin(*STYLE))
+    error = F.when(strange, "unknown key").when(~F.coalesce(F.col("style")["horizontalAlign"], F.lit("center")).isin("left", "center", "right"), "horizontalAlign").when(~F.coalesce(F.col("style")["verticalAlign"], F.lit("middle")).isin("top", "middle", "bottom"), "verticalAlign")
+    return objects.select(key, *known, error.alias("error"))
+
+
+def render_candidates(requested: DataFrame, drafts: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Boxes to render: requested ones and those whose draft has a text, if they exist and aren't removed.
+    Drafts are keyed by `page_box`; other keys are no boxes."""
+    parts = F.split("draft_key", "_")
+    of = lambda i: F.expr(f"try_cast(split(draft_key, '_')[{i}] as bigint)")
+    drafted = drafts.where((F.size(parts) == 2) & (F.coalesce(F.col("text"), F.lit("")) != "")).select(of(0).alias("page_id"), of(1).alias("box_index"))
+    asked = requested.select("page_id", F.expr("try_cast(box_key as bigint)").alias("box_index"))
+    keys = asked.union(drafted).dropna().distinct()
+    return boxes.where("not removed").select("page_id", "box_index").join(keys, ["page_id", "box_index"], "left_semi")
+
+
+def page_drafts(drafts: Column, page: Column) -> Column:
+    """The entries of a map of drafts that belong to a page."""
+    return F.map_filter(drafts, lambda k, v: k.startswith(F.concat(page.cast("string"), F.lit("_"))))
+
+
+def cached_text(texts: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """Whether a text read before, in the same language and not empty, is used again, and the text."""
+    both = texts.join(cache.select(key, F.col("ocr_text").alias("_text"), F.col("ocr_lang").alias("_lang")), key, "left")
+    hit = F.coalesce((F.col("_lang") == F.col("lang")) & (F.col("_text") != ""), F.lit(False))
+    return both.select(key, hit.alias("hit"), F.when(hit, F.col("_text")).otherwise(F.col("text")).alias("text"))
+
+
+def stage(pages: DataFrame) -> DataFrame:
+    """Where a chapter stands if it holds no checkpoint: editor once a page is rendered, review once one is clean."""
+    got = pages.groupBy("chapter_id").agg(F.bool_or("rendered").alias("r"), F.bool_or(F.col("clean").isNotNull()).alias("c"))
+    return got.select("chapter_id", F.when(F.col("r"), "editor").when(F.col("c"), "review").otherwise("preview").alias("stage"))
+
+
+def save_status(states: DataFrame, key: str) -> DataFrame:
+    return states.groupBy(key).agg(F.when(F.bool_or("error"), "error").when(F.sum("saving") > 0, "saving").when(F.sum("dirty") > 0, "dirty").otherwise("saved").alias("status"))
+
+
+def served_file(kind: Column, original: Column, clean: Column, rendered: Column) -> Column:
+    """The file behind a request; a rendered page falls back to the clean and the original one."""
+    return F.when(kind == "original", original).when(kind == "clean", clean).when(kind == "rendered", F.coalesce(rendered, clean, original))
+
+
+def synced_file(rendered: Column, clean: Column, original: Column) -> Column:
+    """What is copied to the output folder: nothing for a rendered page, else the clean file or the original."""
+    return F.when(~F.coalesce(rendered, F.lit(False)), F.coalesce(clean, original))
+
+
+def without(boxes: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Deleted boxes stay as tombstones, so that indices don't move."""
+    gone = deleted.select("page_id", "box_index", F.lit(True).alias("_gone")).distinct()
+    return boxes.join(gone, ["page_id", "box_index"], "left").withColumn("removed", F.col("removed") | F.coalesce("_gone", F.lit(False))).drop("_gone")
+
+
+def is_rendered(pages: DataFrame, edits: DataFrame) -> DataFrame:
+    """A page stays rendered only if nothing on it was edited after rendering."""
+    last = edits.groupBy("page_id").agg(F.max("at").alias("_last"))
+    return pages.join(last, "page_id", "left").select("page_id", (F.col("rendered_at").isNotNull() & F.coalesce(F.col("rendered_at") > F.col("_last"), F.lit(True))).alias("rendered"))
+
+
+def keep_manual(detected: DataFrame, existing: DataFrame) -> DataFrame:
+    """New boxes, with those that were drawn by hand before."""
+    return detected.unionByName(existing.where("manual").select(*detected.columns))
+
+
+def accept_uploads(files: DataFrame, most: int = 300, total: int = 500 << 20) -> DataFrame:
+    """(chapter_id, refused): the request guard: at least one file, not too many, not too large together."""
+    got = files.groupBy("chapter_id").agg(F.count("name").alias("n"), F.sum("size").alias("bytes"))
+    return got.select("chapter_id", F.when(F.col("n") == 0, "no file").when(F.col("n") > most, "too many files").when(F.col("bytes") > total, "too large").alias("refused"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,12 +46,17 @@ def nearest_cut(px: DataFrame, target: int = 4) -> DataFrame:
     return safe_rows(px).groupBy("img").agg(F.min_by("y", near).alias("cut"))
 
 
-def fill_class(px: DataFrame) -> DataFrame:
-    """white or black if 70 % of the pixels are, low_std if they hardly differ, else model."""
-    share = lambda c: F.avg(c.cast("int"))
-    got = px.groupBy("img").agg(share(F.col("v") > 130).alias("light"), share(F.col("v") < 120).alias("dark"), F.stddev_pop("v").alias("std"))
-    kind = F.when(F.col("light") >= 0.7, "white").when(F.col("dark") >= 0.7, "black").when(F.col("std") < 12, "low_std").otherwise("model")
-    return got.select("img", kind.alias("fill"))
+def fill_class(px: DataFrame, masked: Column | None = None, light: int = 215, dark: int = 35, share: float = 0.7, flat: float = 12.0) -> DataFrame:
+    """How to fill an image's mask, judged by its other pixels: white or black if 70 % of them are,
+    low_std if they hardly differ, else model; with the median of the pixels that decided, cut to an integer."""
+    rest = px if masked is None else px.where(~masked)
+    v = F.col("v")
+    part = lambda c: F.avg(c.cast("int"))
+    median = lambda c: F.floor(F.percentile(F.when(c, v), 0.5)).cast("int")
+    got = rest.groupBy("img").agg(part(v > light).alias("light"), part(v < dark).alias("dark"), F.stddev_pop("v").alias("std"), median(v > light).alias("m_light"), median(v < dark).alias("m_dark"), median(F.lit(True)).alias("m_all"))
+    white, black, even = F.col("light") >= share, F.col("dark") >= share, F.col("std") < flat
+    kind = F.when(white, "white").when(black, "black").when(even, "low_std").otherwise("model")
+    return got.select("img", kind.alias("fill"), F.when(white, F.col("m_light")).when(black, F.col("m_dark")).when(even, F.col("m_all")).alias("value"))
 
 
 def image_quality(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -84,3 +90,57 @@ def tiles(heights: DataFrame, size: int = 512, step: int = 448) -> DataFrame:
     usual = F.filter(F.sequence(F.lit(0), length, F.lit(step)), lambda s: s + size < length)
     starts = F.when(length <= size, F.array(F.lit(0).cast(heights.schema["length"].dataType))).otherwise(F.array_union(usual, F.array(length - size)))
     return heights.select("length", F.explode(starts).alias("start"))
+
+
+def detection_windows(pages: DataFrame, size: int = 1024, step: int = 824, tall: int = 1536) -> DataFrame:
+    """Overlapping windows of tall pages, the last one cut at the page's end; lower pages are one window.
+    A window starts at each step until one has reached the end."""
+    h = F.col("height")
+    starts = F.when(h <= tall, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), h.cast("long") - size + step - 1), F.lit(step).cast("long")))
+    spread = pages.select("height", F.explode(starts).alias("top"))
+    return spread.where((F.col("top") == 0) | (F.col("top") - step + size < h)).select("height", "top", F.when(h <= tall, h).otherwise(F.least(F.col("top") + size, h)).cast("long").alias("bottom"))
+
+
+def blend(tiles_: DataFrame) -> DataFrame:
+    """Overlapping tiles' pixels (img, y, x, v, weight) as their weighted mean."""
+    return tiles_.groupBy("img", "y", "x").agg(F.round(F.sum(F.col("v") * F.col("weight")) / F.sum("weight"), 4).alias("v"))
+
+
+def cut_rows(rows: DataFrame, target: int = 1400, search: int = 180, least: int = 500, wider: int = 800, band: int = 12) -> DataFrame:
+    """(img, place, cut): where a tall image (rows img, y, unsafe, score) is cut, one cut after the other.
+
+    The next cut is the row nearest to target rows further whose neighbours within band are all
+    safe (ties: smaller score, then first), within search of that row, else within search +
+    wider, and at least `least` rows from the cut before and from the end.  Without one, or
+    once the rest is at most target + least rows, the cuts end.  Rows' bands come from a
+    window; only the candidates of an image, one array, pass through Python."""
+    w = Window.partitionBy("img").orderBy("y").rowsBetween(-band, band)
+    marked = rows.withColumn("ok", (F.count("*").over(w) == 2 * band + 1) & ~F.max("unsafe").over(w))
+    listed = marked.groupBy("img").agg((F.max("y") + 1).cast("long").alias("height"), F.sort_array(F.collect_list(F.when(F.col("ok"), F.struct(F.col("y").cast("long").alias("y"), F.col("score").cast("double").alias("score"))))).alias("safe"))
+
+    def cut(batches):
+        for pdf in batches:
+            out = []
+            for img, height, safe in zip(pdf["img"], pdf["height"], pdf["safe"], strict=True):
+                at, place = 0, 0
+                while height - at > target + least:
+                    aim, best = at + target, None
+                    for reach in (search, search + wider):
+                        low, high = max(at + least, aim - reach) + band, min(height - least, aim + reach) - band
+                        best = min(((abs(s["y"] - aim), s["score"], s["y"]) for s in safe if low <= s["y"] < high), default=None)
+                        if best:
+                            break
+                    if not best:
+                        break
+                    at = int(best[2])
+                    out.append((img, place, at))
+                    place += 1
+            yield pd.DataFrame(out, columns=["img", "place", "cut"])
+
+    return listed.mapInPandas(cut, "img long, place int, cut long")
+
+
+def memory_span(samples: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """First, largest and last sample of each key."""
+    at = F.struct(*order)
+    return samples.groupBy(key).agg(F.min_by(value, at).alias("start"), F.max(value).alias("peak"), F.max_by(value, at).alias("finish"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +10,10 @@ from ..functions import scalars as s
 from ..operators import bench, manifest, profile, spatial
 from ..sources import links as link_source
 from . import views
+from .catalog import ORACLE, QUERIES, query
 from .views import PAGE_H, PAGE_W, sql, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, run: Query, oracle: str | None = None) -> None:
-    QUERIES[name] = run
-    if oracle:
-        ORACLE[name] = oracle
-
+__all__ = ["ORACLE", "QUERIES"]
 
 INSIDE = """((t.x1 + t.x2) / 2.0 BETWEEN b.x1 AND b.x2 AND (t.y1 + t.y2) / 2.0 BETWEEN b.y1 AND b.y2
   OR greatest(least(t.x2, b.x2) - greatest(t.x1, b.x1), 0) * greatest(least(t.y2, b.y2) - greatest(t.y1, b.y1), 0) >= 0.5 * (t.x2 - t.x1) * (t.y2 - t.y1))"""
@@ -48,25 +38,29 @@ query("nms", lambda k, d: spatial.suppress(views.box(k, d)))
 query("free_text_components", lambda k, d: spatial.components(views.box(k, d).where("kind = 'text'"), spatial.free_text_edges(views.box(k, d))), sql(f"""+ edge AS (SELECT a.page_id, a.box_index AS p, b.box_index AS q FROM box a JOIN box b ON a.page_id = b.page_id AND a.box_index <> b.box_index AND a.kind = 'text' AND b.kind = 'text' AND {GAP['x']} <= 35 AND (abs(a.y1 - b.y1) < 45 OR abs(a.y2 - b.y2) < 45 OR {GAP['y']} <= 40)),
 reach AS (SELECT page_id, box_index, box_index AS r FROM box WHERE kind = 'text' UNION SELECT reach.page_id, reach.box_index, q FROM reach JOIN edge ON edge.page_id = reach.page_id AND p = r)
 SELECT page_id, CAST(box_index AS INTEGER) AS box_index, CAST(min(r) AS INTEGER) AS cluster FROM reach GROUP BY ALL""", "box", recursive=True).replace("GROUP BY ALL", "GROUP BY page_id, box_index"))
-query("crop_region", lambda k, d: views.box(k, d).select("page_id", "box_index", *[c.alias(n) for n, c in g.crop(PAGE_W, PAGE_H).items()]), sql("SELECT page_id, box_index, greatest(x1 - 35, 0) AS cx1, greatest(y1 - 35, 0) AS cy1, least(x2 + 35, 400) AS cx2, least(y2 + 35, 600) AS cy2 FROM box", "box"))
+query("crop_region", lambda k, d: views.box(k, d).select("page_id", "box_index", *[c.alias(n) for n, c in g.crop(PAGE_W, PAGE_H).items()]), sql("""+ p AS (SELECT page_id, box_index, x1 - 35 AS lx, x2 + 35 AS hx, y1 - 35 AS ly, y2 + 35 AS hy, greatest(x2 - x1, y2 - y1) + 70 AS side FROM box),
+q AS (SELECT *, greatest((hx - lx) / greatest(1, hy - ly), (hy - ly) / greatest(1, hx - lx)) > 1.8::DOUBLE AS long, (lx + hx - side) / 2 AS ax, (lx + hx + side) / 2 AS bx, (ly + hy - side) / 2 AS ay, (ly + hy + side) / 2 AS b_y FROM p)
+SELECT page_id, box_index, CAST(floor(CASE WHEN long THEN greatest(lx, 0) WHEN ax < 0 THEN 0 WHEN bx > 400 THEN greatest(0, ax - (bx - 400)) ELSE ax END) AS BIGINT) AS cx1, CAST(floor(CASE WHEN long THEN greatest(ly, 0) WHEN ay < 0 THEN 0 WHEN b_y > 600 THEN greatest(0, ay - (b_y - 600)) ELSE ay END) AS BIGINT) AS cy1,
+  CAST(floor(CASE WHEN long THEN least(hx, 400) WHEN ax < 0 THEN least(400, bx - ax) WHEN bx > 400 THEN 400 ELSE bx END) AS BIGINT) AS cx2, CAST(floor(CASE WHEN long THEN least(hy, 600) WHEN ay < 0 THEN least(600, b_y - ay) WHEN b_y > 600 THEN 600 ELSE b_y END) AS BIGINT) AS cy2 FROM q""", "box"))
 query("move_clamp", lambda k, d: views.box(k, d).select("page_id", "box_index", *s.moved(("x1", "y1", "x2", "y2"), F.col("box_index") * 30 - 60, F.lit(24), PAGE_W, PAGE_H)), sql("SELECT page_id, box_index, x1 + dx AS x1, y1 + dy AS y1, x2 + dx AS x2, y2 + dy AS y2 FROM (SELECT *, greatest(-x1, least(box_index * 30 - 60, 400 - x2)) AS dx, greatest(-y1, least(24, 600 - y2)) AS dy FROM box)", "box"))
 query("branch_union", lambda k, d: (b := views.box(k, d)).where("kind = 'bubble'").select("page_id", "box_index").unionByName(b.where("kind = 'text' and not removed").select("page_id", "box_index")), sql("SELECT page_id, box_index FROM box WHERE kind = 'bubble' UNION ALL SELECT page_id, box_index FROM box WHERE kind = 'text' AND NOT removed", "box"))
 
 query("bench_timing_stats", lambda k, d: bench.timing_stats(views.invocation(k, d)), sql("SELECT case_id, count(*) AS n, round(avg(latency_ms), 4) AS mean_ms, round(quantile_cont(latency_ms, 0.5), 4) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms, round(min(latency_ms), 4) AS min_ms, round(max(latency_ms), 4) AS max_ms, round(stddev_pop(latency_ms), 4) AS stddev_ms FROM invocation GROUP BY case_id", "invocation"))
 query("telemetry_summary", lambda k, d: bench.telemetry_summary(views.invocation(k, d)), sql("SELECT case_id, metric, min(v) AS least, max(v) AS most, round(avg(v), 2) AS mean, min(v) = max(v) AS invariant FROM (SELECT case_id, 'model_calls' AS metric, model_calls AS v FROM invocation UNION ALL SELECT case_id, 'cluster_count', cluster_count FROM invocation) GROUP BY case_id, metric", "invocation"))
 query("invariant_calls", lambda k, d: bench.invariant_calls(views.invocation(k, d)), sql("SELECT case_id, CAST(sum(model_calls) AS BIGINT) AS total, CASE WHEN min(model_calls) = max(model_calls) THEN min(model_calls) END AS per_invocation FROM invocation GROUP BY case_id", "invocation"))
-query("case_execution_rules", lambda k, d: bench.first_violation(views.invocation(k, d)), sql("SELECT * FROM (SELECT case_id, invocation_index, CASE WHEN cluster_count = 0 AND model_calls > 0 THEN 'calls without clusters' WHEN cluster_count > 0 AND model_calls = 0 THEN 'clusters without calls' WHEN NOT coalesce(latency_ms >= 0 AND NOT isnan(latency_ms), false) THEN 'latency not finite or negative' END AS violation FROM invocation) WHERE violation IS NOT NULL", "invocation"))
 query("duplicate_ids", lambda k, d: bench.duplicates(views.invocation(k, d), "user_id"), sql("SELECT user_id, count(*) AS n FROM invocation GROUP BY user_id HAVING count(*) > 1", "invocation"))
 
 
 def _half(k: SparkSession, d: str, odd: int) -> DataFrame:
     rows = views.invocation(k, d).where(F.expr(f"(event_id div 2) % 2 = {odd} and not (case_id like 'click%' and {odd} = 1 and user_id % 20 < 3)"))
-    return rows.groupBy("case_id").agg(F.percentile("latency_ms", 0.5).alias("p50_ms"), F.sum("model_calls").alias("calls"))
+    same = F.min("model_calls") == F.max("model_calls")
+    return rows.groupBy("case_id").agg(F.percentile("latency_ms", 0.5).alias("p50_ms"), F.when(same, F.min("model_calls")).alias("calls"), F.round(F.avg("model_calls"), 2).alias("mean_calls"))
 
 
-query("bench_compare", lambda k, d: bench.compare(_half(k, d, 0), _half(k, d, 1)), sql("""+ half AS (SELECT case_id, (event_id // 2) % 2 AS o, quantile_cont(latency_ms, 0.5) AS p, sum(model_calls) AS c FROM invocation WHERE NOT (case_id LIKE 'click%' AND (event_id // 2) % 2 = 1 AND user_id % 20 < 3) GROUP BY 1, 2)
-SELECT coalesce(a.case_id, b.case_id) AS case_id, CASE WHEN a.p IS NULL OR b.p IS NULL THEN 'incompatible' WHEN b.p > a.p * 1.05 OR b.c > a.c THEN 'regression' ELSE 'ok' END AS status, round((b.p - a.p) / greatest(0.0001, a.p) * 100, 2) AS p50_change
-FROM (SELECT * FROM half WHERE o = 0) a FULL JOIN (SELECT * FROM half WHERE o = 1) b ON a.case_id = b.case_id""", "invocation"))
+query("bench_compare", lambda k, d: bench.compare(_half(k, d, 0), _half(k, d, 1)), sql("""+ half AS (SELECT case_id, (event_id // 2) % 2 AS o, quantile_cont(latency_ms, 0.5) AS p, CASE WHEN min(model_calls) = max(model_calls) THEN min(model_calls) END AS c, round(avg(model_calls), 2) AS m FROM invocation WHERE NOT (case_id LIKE 'click%' AND (event_id // 2) % 2 = 1 AND user_id % 20 < 3) GROUP BY 1, 2),
+both_sides AS (SELECT coalesce(a.case_id, b.case_id) AS case_id, a.p AS ap, b.p AS bp, coalesce(b.c - a.c > 0, round(b.m - a.m, 2) > 0) AS more, round(CAST(round(CAST(b.p - a.p AS DECIMAL(18, 6)), 2) AS DOUBLE) / greatest(0.0001, a.p) * 100, 2) AS p50_change
+FROM (SELECT * FROM half WHERE o = 0) a FULL JOIN (SELECT * FROM half WHERE o = 1) b ON a.case_id = b.case_id)
+SELECT case_id, CASE WHEN ap IS NULL OR bp IS NULL THEN 'incompatible' WHEN p50_change > 5 OR more THEN 'regression' ELSE 'ok' END AS status, p50_change FROM both_sides""", "invocation"))
 query("case_set_diff", lambda k, d: _half(k, d, 0).select("case_id").exceptAll(_half(k, d, 1).select("case_id")), sql("SELECT case_id FROM invocation WHERE (event_id // 2) % 2 = 0 GROUP BY 1 EXCEPT SELECT case_id FROM invocation WHERE (event_id // 2) % 2 = 1 AND NOT (case_id LIKE 'click%' AND user_id % 20 < 3)", "invocation"))
 
 MEANS = "mean AS (SELECT img, y, avg(v) AS m FROM px GROUP BY 1, 2), flagged AS (SELECT img, y, m < quantile_cont(m, 0.9) OVER (PARTITION BY img) - 2 AS is_text FROM mean)"
@@ -78,7 +72,9 @@ query("text_runs", lambda k, d: profile.runs(views.pixel(k, d)), sql(f"""+ {MEAN
 SELECT img, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, CAST(least(3, greatest(1, (first - coalesce(lag(last) OVER (PARTITION BY img ORDER BY first) + 1, 0)) // 2)) AS INTEGER) AS pad_top FROM island""", "px"))
 query("safe_band", lambda k, d: profile.safe_rows(views.pixel(k, d)), sql(f"+ {SAFE} SELECT img, y, score FROM safe", "px"))
 query("nearest_cut", lambda k, d: profile.nearest_cut(views.pixel(k, d)), sql(f"+ {SAFE} SELECT img, arg_min(y, (abs(y - 4), score, y)) AS cut FROM safe GROUP BY img", "px"))
-query("fill_class", lambda k, d: profile.fill_class(views.pixel(k, d)), sql("SELECT img, CASE WHEN avg(CAST(v > 130 AS INTEGER)) >= 0.7 THEN 'white' WHEN avg(CAST(v < 120 AS INTEGER)) >= 0.7 THEN 'black' WHEN stddev_pop(v) < 12 THEN 'low_std' ELSE 'model' END AS fill FROM px GROUP BY img", "px"))
+query("fill_class", lambda k, d: profile.fill_class(views.pixel(k, d).withColumn("v", F.greatest(F.lit(0), F.least(F.lit(255), F.col("v") + (F.col("img") % 3 - 1) * 150))), F.col("x").isin(3, 4) & F.col("y").isin(3, 4)), sql("""+ q AS (SELECT img, greatest(0, least(255, v + (img % 3 - 1) * 150)) AS v FROM px WHERE NOT (x IN (3, 4) AND y IN (3, 4))),
+m AS (SELECT img, avg(CAST(v > 215 AS INTEGER)) AS l, avg(CAST(v < 35 AS INTEGER)) AS k, stddev_pop(v) AS s, quantile_cont(v, 0.5) FILTER (WHERE v > 215) AS ml, quantile_cont(v, 0.5) FILTER (WHERE v < 35) AS mk, quantile_cont(v, 0.5) AS ma FROM q GROUP BY img)
+SELECT img, CASE WHEN l >= 0.7 THEN 'white' WHEN k >= 0.7 THEN 'black' WHEN s < 12 THEN 'low_std' ELSE 'model' END AS fill, CAST(floor(CASE WHEN l >= 0.7 THEN ml WHEN k >= 0.7 THEN mk WHEN s < 12 THEN ma END) AS INTEGER) AS value FROM m""", "px"))
 query("auto_color", lambda k, d: profile.auto_colour(views.pixel(k, d)), sql("SELECT img, CASE WHEN avg(v) < 135 THEN '#FFFFFF' ELSE '#000000' END AS colour FROM px GROUP BY img", "px"))
 query("mask_coverage", lambda k, d: profile.coverage(views.pixel(k, d)), sql("SELECT img, count(*) FILTER (WHERE v > 127) AS pixels, round(count(*) FILTER (WHERE v > 127) / count(*), 4) AS ratio FROM px GROUP BY img", "px"))
 
@@ -109,14 +105,16 @@ HREF = "WITH l AS (SELECT page_id, unnest(h) AS link, unnest(range(len(h))) AS p
 query("html_links", lambda k, d: link_source.links(table(k, d, "pages")), HREF + "SELECT page_id, CAST(place AS INTEGER) AS place, link FROM l")
 query("url_dedupe", lambda k, d: link_source.first_of_each(link_source.links(table(k, d, "pages")), "page_id", "link", "place"), HREF + "SELECT page_id, CAST(min(place) AS INTEGER) AS place, link FROM l GROUP BY page_id, link")
 query("ext_guess", lambda k, d: table(k, d, "pages").select("page_id", s.extension(F.col("url")).alias("ext")), "SELECT page_id, CASE WHEN u LIKE '%.jpg' THEN '.jpg' WHEN u LIKE '%.jpeg' THEN '.jpeg' WHEN u LIKE '%.png' THEN '.png' WHEN u LIKE '%.webp' THEN '.webp' ELSE '.jpg' END AS ext FROM (SELECT page_id, lower(regexp_extract(url, '^[^?#]*')) AS u FROM pages)")
-query("lang_alias", lambda k, d: table(k, d, "documents").select("doc_id", s.language_name(F.col("lang")).alias("name")), "SELECT doc_id, CASE lower(lang) WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' WHEN 'es' THEN 'spanish' ELSE lang END AS name FROM documents")
+query("lang_alias", lambda k, d: table(k, d, "documents").select("doc_id", s.language_name(F.col("lang")).alias("name")), "SELECT doc_id, CASE lower(lang) WHEN 'ko' THEN 'korean' WHEN 'korean' THEN 'korean' WHEN 'zh' THEN 'ch' WHEN 'ch' THEN 'ch' WHEN 'en' THEN 'en' WHEN 'ja' THEN 'japan' WHEN 'japan' THEN 'japan' ELSE lang END AS name FROM documents")
 query("hex_color", lambda k, d: views.page(k, d).select("page_id", (c := s.hex_colour(F.concat(F.lit("#"), F.lpad(F.lower(F.hex("price")), 6, "0")), "#000000")).alias("colour"), s.luminance(c).alias("luminance")), sql("SELECT page_id, '#' || c AS colour, (299 * CAST('0x' || c[1:2] AS BIGINT) + 587 * CAST('0x' || c[3:4] AS BIGINT) + 114 * CAST('0x' || c[5:6] AS BIGINT)) / 1000 AS luminance FROM (SELECT page_id, lpad(to_hex(price), 6, '0') AS c FROM page)", "page"))
 query("worker_clamp", lambda k, d: views.page(k, d).select("page_id", s.clamp(F.nullif(F.col("page_index"), F.lit(0)), 1, 8, 2).alias("workers")), sql("SELECT page_id, greatest(1, least(8, coalesce(nullif(page_index, 0), 2))) AS workers FROM page", "page"))
 query("page_number_parse", lambda k, d: views.page(k, d).select("page_id", s.page_number(F.concat(F.when(F.col("price") % 5 == 0, "x").otherwise(""), F.col("page_index").cast("string")), F.lit(9)).alias("number")), sql("SELECT page_id, CAST(CASE WHEN price % 5 <> 0 AND page_index BETWEEN 1 AND 9 THEN page_index - 1 END AS BIGINT) AS number FROM page", "page"))
 query("natural_sort", lambda k, d: table(k, d, "part").select("p_partkey", s.natural_key(F.concat(F.lit("Page"), F.col("p_partkey").cast("string"), F.lit(".png"))).alias("key")), "SELECT p_partkey, 'page' || lpad(CAST(p_partkey AS VARCHAR), 20, '0') || '.png' AS key FROM part")
-query("ssrf_ipv4", lambda k, d: views.page(k, d).select("page_id", s.address_blocked(s.ipv4(F.concat_ws(".", F.col("price") % 256, F.col("page_id") % 300, F.col("chapter_id") % 256, F.lit(1)))).alias("blocked")), sql("""SELECT page_id, CASE WHEN b <= 255 THEN a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) END AS blocked
-FROM (SELECT page_id, price % 256 AS a, page_id % 300 AS b FROM page)""", "page"))
+query("ssrf_ipv4", lambda k, d: views.page(k, d).select("page_id", s.address_blocked(s.ipv4(F.concat_ws(".", F.col("price") % 256, F.col("page_id") % 300, F.col("chapter_id") % 256, F.lit(1)))).alias("blocked")), sql("""SELECT page_id, CASE WHEN b <= 255 THEN a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND (b = 168 OR (b = 0 AND c IN (0, 2)))) OR (a = 198 AND (b IN (18, 19) OR (b = 51 AND c = 100))) OR (a = 203 AND b = 0 AND c = 113) END AS blocked
+FROM (SELECT page_id, price % 256 AS a, page_id % 300 AS b, chapter_id % 256 AS c FROM page)""", "page"))
 query("ocr_join", lambda k, d: table(k, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.trim("text").alias("t"), "role"))), lambda r: r["t"]), "\n").alias("text")), "SELECT conv_id, string_agg(trim(text), chr(10) ORDER BY turn, trim(text), role) AS text FROM conversations GROUP BY conv_id")
 query("letterbox", lambda k, d: views.box(k, d).select("page_id", "box_index", *[c.alias(n) for n, c in zip(("scale", "pad_x", "pad_y"), g.letterbox(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), strict=True)]), sql("SELECT page_id, box_index, sc AS scale, CAST(floor((1024 - round(w * sc)) / 2) AS BIGINT) AS pad_x, CAST(floor((1024 - round(h * sc)) / 2) AS BIGINT) AS pad_y FROM (SELECT *, least(1024 / w, 1024 / h) AS sc FROM (SELECT page_id, box_index, x2 - x1 AS w, y2 - y1 AS h FROM box))", "box"))
 query("line_height", lambda k, d: views.box(k, d).select("page_id", "box_index", s.line_height(F.col("x1") % 40, F.col("y1") % 20, F.lit(2)).alias("line_height")), sql("SELECT page_id, box_index, CAST(floor(greatest(x1 % 40 + y1 % 20, 8) * 1.18::DOUBLE) AS BIGINT) + 4 AS line_height FROM box", "box"))
 query("missing_models", lambda k, d: table(k, d, "part").select("p_partkey").join(table(k, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti"), "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+
+from . import checks, editing, grouped  # noqa: E402, F401  (they enter their queries)
