@@ -144,3 +144,30 @@ def memory_span(samples: DataFrame, key: str, order: list[str], value: str) -> D
     """First, largest and last sample of each key."""
     at = F.struct(*order)
     return samples.groupBy(key).agg(F.min_by(value, at).alias("start"), F.max(value).alias("peak"), F.max_by(value, at).alias("finish"))
+
+
+def mask_components(px: DataFrame, above: int = 127) -> DataFrame:
+    """(img, component, pixels, x1, y1, x2, y2) of each 8-connected group of mask pixels, numbered by
+    its first pixel in row order; x2 and y2 are exclusive.  One image is one unit: its mask's pixels are one array."""
+
+    def group(batches):
+        for pdf in batches:
+            out = []
+            for img, listed in zip(pdf["img"], pdf["mask"], strict=True):
+                left, number = {(p["y"], p["x"]) for p in listed}, 0
+                for p in listed:
+                    if (first := (p["y"], p["x"])) not in left:
+                        continue
+                    left.discard(first)
+                    found = [first]
+                    for y, x in found:  # grows while it is read
+                        near = {(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                        left -= near
+                        found += near
+                    ys, xs = zip(*found, strict=True)
+                    out.append((img, number, len(found), min(xs), min(ys), max(xs) + 1, max(ys) + 1))
+                    number += 1
+            yield pd.DataFrame(out, columns=["img", "component", "pixels", "x1", "y1", "x2", "y2"])
+
+    mask = px.where(F.col("v") > above).groupBy("img").agg(F.sort_array(F.collect_list(F.struct("y", "x"))).alias("mask"))
+    return mask.mapInPandas(group, "img long, component int, pixels long, x1 int, y1 int, x2 int, y2 int")

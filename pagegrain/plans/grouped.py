@@ -60,6 +60,7 @@ def tall_rows(k: SparkSession, d: str) -> DataFrame:
 
 
 query("cut_rows", lambda k, d: profile.cut_rows(tall_rows(k, d), 140, 18, 50, 80))
+query("mask_components", lambda k, d: profile.mask_components(views.pixel(k, d)))
 query("source_fallback", lambda k, d: with_fallback((p := table(k, d, "part").select("p_partkey", "p_size")).where("p_size < 0"), p.where("p_size > 40")), "SELECT p_partkey, p_size FROM part WHERE p_size > 40")
 
 

@@ -102,6 +102,44 @@ def test_bubble_texts(spark, boxes):
     assert got == want
 
 
+def test_free_texts(spark, boxes):
+    want = set()
+    for page, rows in boxes.items():
+        inside = lambda t, b: b.x1 <= (t.x1 + t.x2) / 2 <= b.x2 and b.y1 <= (t.y1 + t.y2) / 2 <= b.y2 or max(0, min(t.x2, b.x2) - max(t.x1, b.x1)) * max(0, min(t.y2, b.y2) - max(t.y1, b.y1)) >= 0.5 * (t.x2 - t.x1) * (t.y2 - t.y1)
+        free = [t for t in rows if t.kind == "text" and not any(inside(t, b) for b in rows if b.kind == "bubble")]
+        near = lambda a, b: max(a.x1 - b.x2, b.x1 - a.x2) <= 35 and (abs(a.y1 - b.y1) < 45 or abs(a.y2 - b.y2) < 45 or max(a.y1 - b.y2, b.y1 - a.y2) <= 40)
+        while free:
+            cluster, seen = [free.pop(0)], 0
+            while seen < len(cluster):
+                found = [t for t in free if near(t, cluster[seen])]
+                free = [t for t in free if t not in found]
+                cluster += found
+                seen += 1
+            for g in naive_groups(cluster):
+                members = [t for t in cluster if t.box_index in g]
+                (x1, y1, x2, y2), pad = hull(members), 6 if len(members) == 1 else 8
+                x1, y1, x2, y2 = max(0, x1 - 20), max(0, y1 - pad), min(400, x2 + 20), min(600, y2 + pad)
+                if x2 > x1 and y2 > y1 and (x2 - x1) * (y2 - y1) <= 0.35 * 400 * 600:
+                    want.add((page, x1, y1, x2, y2, max(t.confidence for t in members)))
+    got = {(r.page_id, r.x1, r.y1, r.x2, r.y2, r.confidence) for r in QUERIES["free_texts"](spark, SF).collect()}
+    assert got == want
+
+
+def test_mask_components(spark):
+    pixels = {}
+    for r in views.pixel(spark, SF).where("v > 127").collect():
+        pixels.setdefault(r.img, set()).add((r.y, r.x))
+    want = set()
+    for img, left in pixels.items():
+        label = {p: p for p in left}
+        for _ in range(64):  # smallest pixel spreads over neighbours
+            label = {(y, x): min(label[q] for i in (-1, 0, 1) for j in (-1, 0, 1) if (q := (y + i, x + j)) in label) for y, x in label}
+        for number, first in enumerate(sorted(set(label.values()))):
+            ys, xs = zip(*[p for p, f in label.items() if f == first], strict=True)
+            want.add((img, number, len(ys), min(xs), min(ys), max(xs) + 1, max(ys) + 1))
+    assert {tuple(r) for r in QUERIES["mask_components"](spark, SF).collect()} == want
+
+
 def test_detect_is_free_of_overlaps(spark):
     rows = {}
     for r in QUERIES["detect"](spark, SF).collect():
