@@ -1,10 +1,10 @@
 """License scans with a positional rare-token index.
 
 Words' document frequencies are counted over all documents.  The index has the place
-of each licence word in each template.  A document looks up its licence words of the
-highest IDF; postings that agree on a template's relative position support each other;
-a supported template counts if its mandatory phrases stand in the document.  The base
-phrases are counted at every place, whatever the index says."""
+of each licence word in each template.  Every template whose mandatory phrases stand in
+the document is judged by itself: all its words there are looked up, postings that agree
+on its relative position support each other, and each weighs its word's IDF, so that
+rare words decide.  The base phrases are counted at every place, whatever the index says."""
 
 from __future__ import annotations
 
@@ -34,8 +34,7 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
 ]
-RARE = 12  # a document's licence words of the highest IDF that are looked up
-SUPPORT = 0.6  # share of a template's indexed words that must agree on a position
+SUPPORT = 0.6  # share of a template's words in the document, by IDF, that must agree on a position
 #: Bytes of a word, after lower-casing A-Z: digits, a-z, and all above 0x7F.
 PART = np.zeros(256, bool)
 PART[48:58] = PART[97:123] = PART[128:] = True
@@ -53,40 +52,40 @@ class Index:
 
     def __init__(self, df: dict[bytes, int], documents: int):
         self.templates = [(label, [w.encode() for w in text.split()], [[w.encode() for w in p.split()] for p in must]) for label, text, must in TEMPLATES]
-        self.idf = {w: math.log((1 + documents) / (1 + df.get(w, 0))) for w in licence_words()}
+        self.weight = {w: math.log((1 + documents) / (1 + df.get(w, 0))) + 1e-9 for w in licence_words()}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, (_, words, _) in enumerate(self.templates):
             for place, w in enumerate(words):
                 self.postings[w].append((t, place))
 
     def labels(self, words: list[bytes], at: dict[bytes, list[int]]) -> tuple[set[str], float]:
-        """Labels of templates that stand in the document, and the best share of a template's rare words in place."""
-        rare = sorted(at, key=lambda w: (-self.idf[w], w))[:RARE]
-        support: Counter = Counter()
-        for w in rare:
-            for t, place in self.postings[w]:
-                for i in at[w]:
-                    support[t, i - place] += 1
+        """Labels of templates that stand in the document, and the best share of a template's words in place."""
         found, best = set(), 0.0
-        for t in {t for t, _ in support}:
-            label, text, must = self.templates[t]
-            looked = sum(w in rare for w in set(text))
-            if looked < min(2, len(set(text))):
+        for t, (label, text, must) in enumerate(self.templates):
+            if not all(phrase_places(at, p) for p in must):
                 continue
-            top = max(n for (k, _), n in support.items() if k == t) / max(1, sum(w in rare for w in text))
-            near = [d for (k, d), n in support.items() if k == t and n >= SUPPORT * sum(w in rare for w in text)]
-            if near and all(phrase_places(at, p) for p in must):
+            support: Counter = Counter()
+            for w in {w for w in text if w in at}:
+                for k, place in self.postings[w]:
+                    if k == t:
+                        for i in at[w]:
+                            support[i - place] += self.weight[w]
+            whole = sum(self.weight[w] for w in text if w in at)
+            near = [d for d, n in support.items() if n >= SUPPORT * whole]
+            if near:
                 aligned = max(sum(0 <= d + i < len(words) and words[d + i] == w for i, w in enumerate(text)) for d in near) / len(text)
                 found.add(label)
-                best = max(best, aligned, min(top, 1.0) * SUPPORT)
+                best = max(best, aligned, min(max(support.values()) / whole, 1.0) * SUPPORT)
         return found, min(1.0, best)
 
 
 def phrase_places(at: dict[bytes, list[int]], phrase: list[bytes]) -> list[int]:
     """Where a phrase's words stand consecutively, by intersecting shifted positions."""
-    places = set(at.get(phrase[0], ()))
+    if not all(w in at for w in phrase):
+        return []
+    places = set(at[phrase[0]])
     for k, w in enumerate(phrase[1:], 1):
-        places &= {i - k for i in at.get(w, ())}
+        places &= {i - k for i in at[w]}
     return sorted(places)
 
 

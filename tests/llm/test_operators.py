@@ -296,6 +296,17 @@ def test_license_scan(docs, spark, empty):
     assert license_scan.license_scan(docs).count() == docs.count() and license_scan.license_scan(empty).count() == 0
 
 
+def test_license_scan_of_joined_notices(spark):
+    notice = {label: text for label, text, _ in license_scan.TEMPLATES}
+    joined = [notice["mit"], notice["bsd"], notice["mpl"], notice["cc-by"]]
+    common = [(i, f"{notice['bsd']} {notice['mpl']} {notice['cc-by']}", "en") for i in range(2, 30)]
+    rows = [(0, " filler ".join(joined), "en"), (1, " filler ".join(license_scan.TEMPLATES[i][1] for i in range(len(license_scan.TEMPLATES))), "en"), *common]
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(docs_of(spark, rows)).collect()}
+    assert got[0] == "bsd,cc-by,mit,mpl"
+    assert got[1] == ",".join(sorted(notice))
+    assert got[2] == "bsd,cc-by,mpl"
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
