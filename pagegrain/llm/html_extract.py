@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 
 #: Element names by role.
 SKIPPED = set("script style form button input select textarea option noscript template iframe svg canvas object head title".split())
+RAW = set("script style title textarea iframe".split())  # up to their own end tag nothing within is markup
+UNENDED = {"script", "style"}
+IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes style script template".split())
 INLINE = set("a abbr b bdi bdo cite code data dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr del big label img br".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -40,23 +44,117 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
-class Dom(HTMLParser):
-    """A tree of block elements; inline elements' text belongs to the block around them."""
+class Events(HTMLParser):
+    """A page's start tags (tag, attributes), end tags (tag, None) and texts ("", text) in order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.found: list[tuple] = []
+
+    def handle_starttag(self, tag, attrs):
+        self.found.append((tag, attrs))
+
+    def handle_endtag(self, tag):
+        self.found.append((tag, None))
+
+    def handle_data(self, data):
+        self.found.append(("", data))
+
+
+def skips(events: list[tuple]) -> dict[int, int]:
+    """First and last event of what is left out: elements in SKIPPED that their own end tag closes.
+
+    One without it is no reason to leave anything out, but that a head ends where the page's
+    body begins, an option where the next one begins or an element around it ends, and
+    that the parser reads a script or style without end up to the end of the page.  An end
+    tag that comes after an element around it has ended counts as its own up to there."""
+    out: dict[int, int] = {}
+    ends: dict[str, list[int]] = {t: [] for t in RAW}
+    for i in range(len(events) - 1, -1, -1):
+        if events[i][1] is None and events[i][0] in RAW:
+            ends[events[i][0]].append(i)
+    stack: list[tuple[str, int]] = []  # open elements
+    count: Counter = Counter()
+    late: dict[str, tuple[int, int]] = {}
+
+    def pop() -> tuple[str, int]:
+        count[stack[-1][0]] -= 1
+        return stack.pop()
+
+    def close_head(i: int) -> None:
+        while (last := pop())[0] != "head":
+            pass
+        out[last[1]] = i - 1
+
+    i = -1
+    while (i := i + 1) < len(events):
+        tag, held = events[i]
+        if tag == "":
+            if stack and stack[-1][0] == "head" and held.strip():
+                close_head(i)
+        elif held is None:
+            if not count[tag]:
+                if tag in late:
+                    first, last = late.pop(tag)
+                    out[first] = last
+                continue
+            while stack[-1][0] != tag:
+                name, first = pop()
+                if name == "option":
+                    out[first] = i - 1
+                elif name in SKIPPED:
+                    late[name] = first, i - 1
+            name, first = pop()
+            if name in SKIPPED:
+                out[first] = i
+        else:
+            if count["head"] and (tag == "body" or (stack[-1][0] == "head" and tag not in IN_HEAD)):
+                close_head(i)
+            if tag in RAW:
+                while ends[tag] and ends[tag][-1] < i:
+                    ends[tag].pop()
+                if ends[tag]:
+                    out[i] = i = ends[tag].pop()
+                elif tag in UNENDED:
+                    out[i] = i = len(events) - 1
+            elif tag not in VOID and tag not in INLINE:
+                if stack and (stack[-1][0] == "p" or stack[-1][0] == tag == "option"):
+                    name, first = pop()
+                    if name == "option":
+                        out[first] = i - 1
+                stack.append((tag, i))
+                count[tag] += 1
+    return out
+
+
+class Dom:
+    """A tree of block elements; inline elements' text belongs to the block around them."""
+
+    def __init__(self):
         self.root = self.at = Node("root", None, frozenset())
-        self.skip: list[str] = []
         self.anchors = 0
 
+    def feed(self, html: str) -> None:
+        """A whole page."""
+        parser = Events()
+        parser.feed(html)
+        parser.close()
+        gone, i = skips(parser.found), 0
+        while i < len(parser.found):
+            tag, held = parser.found[i]
+            if i in gone:
+                i = gone[i]
+            elif tag == "":
+                self.handle_data(held)
+            elif held is None:
+                self.handle_endtag(tag)
+            else:
+                self.handle_starttag(tag, held)
+            i += 1
+
     def handle_starttag(self, tag, attrs):
-        if self.skip:
-            if tag == self.skip[-1] and tag not in VOID:
-                self.skip.append(tag)
-            return
         if tag in SKIPPED:
-            if tag not in VOID:
-                self.skip.append(tag)
+            self.at.runs.append(" ")
             return
         if tag in INLINE:
             if tag == "br":
@@ -87,9 +185,8 @@ class Dom(HTMLParser):
         self.at = new
 
     def handle_endtag(self, tag):
-        if self.skip:
-            if tag == self.skip[-1]:
-                self.skip.pop()
+        if tag in SKIPPED:
+            self.at.runs.append(" ")
             return
         if tag in INLINE:
             self.anchors = max(0, self.anchors - (tag == "a"))
@@ -101,8 +198,6 @@ class Dom(HTMLParser):
             self.at, self.anchors = node.parent, 0
 
     def handle_data(self, data):
-        if self.skip or not data:
-            return
         self.at.runs.append(data)
         size = len(data.strip())
         self.at.own += size
@@ -113,8 +208,6 @@ class Dom(HTMLParser):
 def parse(html: str) -> Node:
     dom = Dom()
     dom.feed(html)
-    dom.skip = []
-    dom.close()
     return dom.root
 
 
@@ -238,7 +331,6 @@ def trained(pages: int = 500, seed: int = 5) -> Boosted:
     for _ in range(pages):
         dom = _Marked()
         dom.feed(written_page(rng))
-        dom.close()
         nodes = nodes_of(dom.root)
         side: dict[int, bool] = {}
         for n in nodes:
@@ -304,7 +396,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row, from its whole html.
 
     A null or empty html, or one without main text, gives an empty text; n_chars counts
-    code points.  Damaged markup is read as far as it goes.  Repeated rows give equal
+    code points.  Damaged markup is read as far as it goes: a head, form, button
+    or the like whose end tag is missing hides nothing after it.  Repeated rows give equal
     texts; there is no shuffle, and an empty table gives an empty one."""
     model = pages.sparkSession.sparkContext.broadcast(trained())
 

@@ -269,6 +269,23 @@ def test_html_extract(spark):
     assert wrong <= 15
 
 
+def test_html_extract_without_end_tags():
+    def said(html):
+        nodes = html_extract.nodes_of(html_extract.parse(html))
+        return html_extract.main_text(nodes, [True] * len(nodes)).split()
+
+    assert said("<html><head><title>x</title><body><article><p>one</p></article></body></html>") == ["one"]
+    assert said("<head><title>x</title><meta a=b><script>v</script><article><p>one</p></article>") == ["one"]
+    assert said("<head><title>x</title>one <p>two") == ["one", "two"]
+    for tag in ("form", "button", "select", "noscript", "object", "svg", "textarea", "title", "template"):
+        assert said(f"<body><p>a</p><{tag}><p>one</p><p>two</p></body>") == ["a", "one", "two"], tag
+        assert said(f"<div><{tag}><p>one</p></div><p>two</p>") == ["one", "two"], tag
+        assert said(f"<div><{tag}>x</{tag}>one</div><p>two</p>") == ["one", "two"], tag
+    assert said("<div><form>x</div><p>one</p></form>two") == ["one", "two"]
+    assert said("<select><option>x<option>y</select>one") == said("<title>a <b> c</title>one") == ["one"]
+    assert said("one<script>x <p>y</p>") == ["one"]
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.NET/en/1?x", "http://x.net/de/1", "http://m.example.com/de/5#t", "https://b.org/fr/", "no scheme", None, "http://host", "ftp://h.org/a/b/c/d/e/f/g/h", "http://b.org/fr"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, html string")
