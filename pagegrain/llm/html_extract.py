@@ -230,6 +230,7 @@ def nodes_of(root: Node) -> list[Node]:
 def features(nodes: list[Node]) -> np.ndarray:
     """A row for each node."""
     rows, whole = [], max(1, nodes[0].total)
+    tags = {id(n): Counter(c.tag for c in n.children) for n in nodes if n.children}
     seen: dict[int, tuple[bool, bool]] = {}
     for node in nodes:
         up = node.parent
@@ -238,7 +239,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         seen[id(node)] = (good or over[0], bad or over[1])
         place = same = 0
         if up:
-            same = sum(c.tag == node.tag for c in up.children[:64])
+            same = tags[id(up)][node.tag]
             place = len(up.children)
         total = max(1, node.total)
         rows.append((node.own, node.total, node.total / whole, node.linked / total, node.total / node.nodes, node.nodes, node.depth, len(node.children), place, same, node.total / max(1, up.total) if up else 1, (up.linked / max(1, up.total)) if up else 0, good, bad, *over, TAGS.index(node.tag) if node.tag in TAGS else -1))

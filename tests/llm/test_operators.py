@@ -286,6 +286,12 @@ def test_html_extract_without_end_tags():
     assert said("one<script>x <p>y</p>") == ["one"]
 
 
+def test_html_features_count_all_siblings():
+    nodes = html_extract.nodes_of(html_extract.parse("<div>" + "<h2>t</h2>" * 70 + "<p>one</p>" * 90 + "</div>"))
+    same = html_extract.features(nodes)[:, 9]
+    assert {(n.tag, s) for n, s in zip(nodes, same, strict=True)} == {("root", 0), ("div", 1), ("h2", 70), ("p", 90)}
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.NET/en/1?x", "http://x.net/de/1", "http://m.example.com/de/5#t", "https://b.org/fr/", "no scheme", None, "http://host", "ftp://h.org/a/b/c/d/e/f/g/h", "http://b.org/fr"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, html string")
