@@ -9,6 +9,8 @@ summed in each task before any shuffle."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,6 @@ from .scratch import materialise
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the query, (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-DEPTH = 6  # levels of the tree; what lies deeper is one last segment
 CHILDREN = 16  # a node with at least so many children and none frequent is a variable
 SMOOTHING = 10.0  # labelled urls that the prior counts for
 REJECT = 0.8  # smoothed share of bad urls from which a template is rejected
@@ -49,33 +50,38 @@ def generalised(segment: Column) -> Column:
 
 
 def segments(path: Column) -> Column:
-    every = F.filter(F.split(path, "/"), lambda s: s != "")
-    head = F.transform(F.slice(every, 1, DEPTH), generalised)
-    return F.when(F.size(every) > DEPTH, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), generalised)
 
 
 def templates(paths: DataFrame) -> DataFrame:
-    """paths(host, segs, n, labelled, bad) -> (host, segs, template)."""
-    held = materialise(paths.withColumn("prefix", F.lit("")), "paths")
-    for level in range(DEPTH + 1):
+    """paths(host, segs, n, labelled, bad) -> the same with template.  A path leaves the loop where
+    it ends, or where it alone has its prefix: nothing below can be merged then."""
+    held = materialise(paths.withColumns({"prefix": F.lit(""), "template": F.when(F.size("segs") == 0, "")}), "paths")
+    done, level = [], 0
+    while True:
+        done.append(held.where("template is not null"))
+        held = held.where("template is null")
         seg, after = F.try_element_at("segs", F.lit(level + 1)), F.try_element_at("segs", F.lit(level + 2))
-        children = held.where(F.size("segs") > level).groupBy("host", "prefix", seg.alias("seg")).agg(
-            F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"),
+        children = held.groupBy("host", "prefix", seg.alias("seg")).agg(
+            F.sum("n").alias("n"), F.count("*").alias("paths"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"),
             F.min(after).alias("low"), F.max(after).alias("high"), F.max(after.isNull()).alias("ends"))
         children = materialise(children, "children")
         if children.isEmpty():
             break
-        nodes = children.groupBy("host", "prefix").agg(F.sum("n").alias("total"), F.count("*").alias("count"), F.max("n").alias("most"))
+        nodes = children.groupBy("host", "prefix").agg(F.sum("n").alias("total"), F.count("*").alias("count"), F.max("n").alias("most"), F.sum("paths").alias("paths"))
         rate = F.when(F.col("labelled") > 0, F.round(F.col("bad") / F.col("labelled"), 1))
         alike = F.xxhash64("low", "high", "ends", rate)
         groups = children.groupBy("host", "prefix", alike.alias("alike")).agg(F.min("seg").alias("name"), F.count("*").alias("members"))
         variable = (F.col("count") >= CHILDREN) & (F.col("most") * 2 < F.col("total")) & (F.col("n") * F.col("count") <= 2 * F.col("total"))
         token = F.when(variable, "*").when(F.col("members") > 1, F.concat(F.lit("{"), "name", F.lit("..}"))).otherwise(F.col("seg"))
-        named = children.withColumn("alike", alike).join(nodes, ["host", "prefix"]).join(groups, ["host", "prefix", "alike"]).select("host", "prefix", "seg", token.alias("token"))
-        here = held.withColumn("seg", F.coalesce(seg, F.lit("")))
-        joined = here.join(named, ["host", "prefix", "seg"], "left")
-        held = materialise(joined.withColumn("prefix", F.when(F.col("token").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "token"))).drop("seg", "token"), "paths")
-    return held.select("host", "segs", "n", "labelled", "bad", F.col("prefix").alias("template"))
+        named = children.withColumn("alike", alike).join(nodes.alias("nodes"), ["host", "prefix"]).join(groups, ["host", "prefix", "alike"]).select("host", "prefix", "seg", token.alias("token"), (F.col("nodes.paths") == 1).alias("alone"))
+        joined = held.withColumn("seg", seg).join(named, ["host", "prefix", "seg"])
+        prefix = F.concat("prefix", F.lit("/"), "token")
+        rest = F.concat("prefix", F.lit("/"), F.array_join(F.slice("segs", level + 1, F.size("segs")), "/"))
+        template = F.when(F.col("alone"), rest).when(F.size("segs") == level + 1, prefix)
+        held = materialise(joined.select("host", "segs", "n", "labelled", "bad", prefix.alias("prefix"), template.alias("template")), "paths")
+        level += 1
+    return reduce(DataFrame.union, done).drop("prefix")
 
 
 def filter_urls(pages: DataFrame, rules=tuple(RULES), bad: str | None = None) -> DataFrame:

@@ -308,6 +308,14 @@ def test_url_filter(spark):
     assert verdicts[55] == "block" and verdicts[115] == "allow"
 
 
+def test_url_filter_of_deep_paths(spark):
+    deep = [(i, f"http://s.tld/a/b/c/d/e/f/{'spam' if i % 2 else 'fine'}/x{i % 7}/{i}", None if i > 100 else i % 2) for i in range(120)]
+    rows = spark.createDataFrame([*deep, (200, "http://t.tld/" + "/".join("abcdefghijkl") + "/one.html", None)], "page_id long, url string, bad int")
+    got = {r.page_id: (r.template, r.verdict) for r in url_filter.filter_urls(rows, rules=(), bad="bad").collect()}
+    assert [got[i][1] for i in (101, 102, 103, 104)] == ["block", "allow", "block", "allow"]
+    assert got[101][0] != got[102][0] and got[200] == ("/a/b/c/d/e/f/g/h/i/j/k/l/one.html", "allow")
+
+
 def test_license_scan(docs, spark, empty):
     texts = [(1, "Released under the MIT License. mit-license, MIT licenses"), (2, "the GNU General  Public\nLicense"), (3, None), (4, "Licensed under CC BY-NC 4.0"), (5, "plain words of no kind é"), (6, "Apache License and MIT license")]
     got = {r.doc_id: r for r in license_scan.license_scan(docs_of(spark, [(i, t, "en") for i, t in texts])).collect()}
