@@ -24,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{held}"
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -43,3 +51,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         else:
             spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

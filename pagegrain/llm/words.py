@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21  # bytes (or words) handled at once, so that memory doesn't follow a text's length
+CHUNK = 1 << 18  # bytes (or words) handled at once, so that memory doesn't follow a text's length
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 STEP = U64(0xD1342543DE82EF95)
@@ -37,12 +37,12 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**0..n-1 and the same of its inverse, modulo 2**64."""
     held = _powers.get(int(base))
     if held is None or len(held[0]) < n:
-        size = max(n, CHUNK // 4)
+        size = max(n, CHUNK)
         up = np.full(size, base, U64)
         down = np.full(size, U64(pow(int(base), -1, 1 << 64)), U64)
         up[0] = down[0] = 1
         held = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 2 * CHUNK:
+        if size <= 2 * CHUNK:  # what a worker keeps is bounded
             _powers[int(base)] = held
     return held[0][:n], held[1][:n]
 
@@ -87,12 +87,41 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, bytes, words' starts, words' ends, words' hashes) of each text of a column, in order."""
+    data, offsets = utf8(column)
+    for a, b in pieces(offsets):
+        at = offsets[a : b + 1]
+        piece, at = data[at[0] : at[-1]], at - at[0]
+        starts, ends, rows = spans(piece, at)
+        hashes = word_hashes(piece, starts, ends)
+        for k in range(b - a):
+            some = slice(rows[k], rows[k + 1])
+            yield a + k, piece, starts[some], ends[some], hashes[some]
+
+
+def long_word_hash(data: np.ndarray) -> np.uint64:
+    """What word_hashes gives for one word, in parts."""
+    up, _ = powers(BASE, CHUNK)
+    total, shift, whole = U64(0), 1, pow(int(BASE), CHUNK, 1 << 64)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(data), CHUNK):
+            part = BYTE_VALUE[data[a : a + CHUNK]] * up[: min(CHUNK, len(data) - a)]
+            total += part.sum(dtype=U64) * U64(shift)
+            shift = shift * whole % (1 << 64)
+    return mix(np.array([total + U64(len(data))], U64))[0]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each word's bytes."""
     out = np.empty(len(starts), U64)
     word = 0
     while word < len(starts):
         base = int(starts[word])
+        if ends[word] - base > CHUNK:
+            out[word] = long_word_hash(data[base : ends[word]])
+            word += 1
+            continue
         last = max(word + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
         size = int(ends[last - 1]) - base
         up, down = powers(BASE, size)
