@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import discard, materialise
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -24,10 +24,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("id").alias("to"), F.col("label").alias("seen")), "to").join(labels, "id")
         near = near.select(F.explode(F.array("id", "label")).alias("id"), "seen").groupBy("id").agg(F.min("seen").alias("seen"))
-        hooked = labels.join(near, "id", "left").select("id", F.col("label").alias("was"), F.least("label", "seen").alias("label"))
+        hooked = labels.select("id", "label").join(near, "id", "left").select("id", F.col("label").alias("was"), F.least("label", "seen").alias("label"))
         root = labels.select(F.col("id").alias("label"), F.col("label").alias("root"))
         jumped = hooked.join(root, "label", "left").select("id", "was", F.coalesce("root", "label").alias("label"))
-        jumped = materialise(jumped, "labels")
-        labels = jumped.select("id", "label")
-        if jumped.where("label <> was").isEmpty():
-            return labels
+        before, labels = labels, materialise(jumped, "labels")
+        discard(before)
+        if labels.where("label <> was").isEmpty():
+            discard(both, links)
+            return labels.select("id", "label")

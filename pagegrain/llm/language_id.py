@@ -25,6 +25,7 @@ BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 PART = 1 << 18  # bytes of texts whose n-grams are held at once
 LOST = 0.001  # share of right predictions on rows kept out of the training that each test may reject
+MANY = 400  # n-grams beyond which a text's share of known ones is no surer
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 FOLD = np.arange(256, dtype=np.uint8)  # ASCII: letters lower-cased, all else a space
@@ -114,7 +115,7 @@ class Model:
     seen: np.ndarray  # buckets that training rows hold
     usual: float  # mean share of seen n-grams in rows kept out of the training
     sure: float  # least calibrated probability
-    familiar: float  # least deviation from the usual share, times the root of the number of n-grams
+    familiar: float  # least deviation from the usual share, times the root of the number of n-grams, up to MANY
 
     def answers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated probabilities of each row, equal ones where there are no n-grams, and which rows are rejected."""
@@ -134,7 +135,13 @@ class Model:
         size = np.maximum(sizes, 1)
         logits = np.where(sizes[:, None] > 0, (sums / size[:, None] + self.bias) / self.temperature, 0.0)
         p = softmax(logits)
-        return p, (p.max(1) < self.sure) | ((known / size - self.usual) * np.sqrt(size) < self.familiar)
+        return p, (p.max(1) < self.sure) | ((known / size - self.usual) * np.sqrt(np.minimum(size, MANY)) < self.familiar)
+
+
+def lowest(x: np.ndarray) -> float:
+    """A bound that hardly any value like these lies below: the quantile LOST, but no nearer than four
+    deviations, and more of them the fewer values there are to know the tail by."""
+    return float(min(np.quantile(x, LOST), x.mean() - (4 + 100 / len(x)) * x.std()))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -142,7 +149,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages: list[str], dims: int = 16, epochs: int = 8, batch: int = 16, rate: float = 0.5, seed: int = 7) -> Model:
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages: list[str], dims: int = 16, epochs: int = 8, batch: int = 16, least_steps: int = 400, rate: float = 0.5, seed: int = 7) -> Model:
     """SGD over (buckets, counts) rows.  Every row also appears as a small random draw of its
     n-grams, so that short texts are learnt too.  A fifth of each language's rows calibrates."""
     rng = np.random.default_rng(seed)
@@ -154,6 +161,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languag
     embedding = rng.normal(0, 0.1, (BUCKETS, dims)).astype(np.float32)
     layer, bias = np.zeros((dims, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     layer += rng.normal(0, 0.1, layer.shape)
+    epochs = max(epochs, -(-least_steps // -(-len(used) // batch)))  # more rounds over few rows
     steps, step = epochs * -(-len(used) // batch), 0
     for _ in range(epochs):
         rng.shuffle(used)
@@ -201,14 +209,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languag
     logits, shares, sizes, truth = np.array(logits), np.array(shares), np.array(sizes), np.array(truth)
     scale = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
     loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in scale]
-    temperature = float(scale[int(np.argmin(loss))])
+    temperature = float(scale[np.flatnonzero(np.array(loss) <= min(loss) + 1e-4)[-1]])  # the mildest of equally good ones
     p = softmax(logits / temperature)
     right = p.argmax(1) == truth
     if not right.any():
         return Model(languages, table.astype(np.float32), bias, temperature, seen, 0.0, 0.0, 0.0)
     usual = float(shares[::2].mean())
-    away = (shares - usual) * np.sqrt(sizes)
-    return Model(languages, table.astype(np.float32), bias, temperature, seen, usual, float(np.quantile(p.max(1)[right], LOST)), float(np.quantile(away[right], LOST)))
+    away = (shares - usual) * np.sqrt(np.minimum(sizes, MANY))
+    best = np.clip(p.max(1)[right], 1e-12, 1 - 1e-12)
+    sure = 1 / (1 + np.exp(-lowest(np.log(best / (1 - best)))))
+    return Model(languages, table.astype(np.float32), bias, temperature, seen, usual, float(sure), lowest(away[right]))
 
 
 def _counts(batches):

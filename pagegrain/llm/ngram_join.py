@@ -12,11 +12,11 @@ Documents with equal shingle sets form a class; the join runs over classes.
 3. In a bucket, in blocks of bounded size, the signatures' differing bits bound the
    overlap from above; what is left falls into groups of possible links, and a
    class is in one group.
-4. A group's texts meet in blocks: DivideSkip heap-merges each query's short
-   lists, probes the long ones by binary search and keeps sets that reach the
-   overlap.  Only links between what isn't connected yet are written, at most one
-   for each member of a block, but every pair of a list is either tested or already
-   connected.
+4. A group's texts meet in blocks, whatever their number: DivideSkip heap-merges each
+   query's short lists, probes the long ones by binary search and keeps sets that
+   reach the overlap.  Only links between what isn't connected yet are written, at
+   most one for each member of a block, but every pair of a list is either tested or
+   already connected.
 5. The links' connected components are the classes' components."""
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialise
+from .scratch import materialise, own_name
 from .words import LOWER, gram_hashes, mix, pieces, prefix_sums, range_hashes, spans, utf8, word_hashes
 
 SHINGLE = 5
@@ -40,7 +40,6 @@ BITS = 2048
 SLOTS = 1 << 18
 SLOT_ROWS = 64
 BLOCK = 4096  # signatures of a bucket that meet in one task
-PROBED = 256  # so few allowed candidates are probed without merging lists
 TEXTS, SHINGLES = 1024, 1 << 21  # texts, and shingles of them, that meet in one task
 FEATURES = "doc_id long, row_key long, n int, class long, bits binary, slot int, counts binary"
 
@@ -257,8 +256,9 @@ def _possible_links(percent: int):
     return run
 
 
-def divide_skip(query: list[int], index: dict[int, list[int]], least: int) -> list[tuple[int, int]]:
-    """(id, overlap) of indexed sets that share at least so many of query's elements.
+def divide_skip(query: list[int], index: dict[int, list[int]], least: int, wanted=None) -> list[tuple[int, int]]:
+    """(id, overlap) of indexed sets that share at least so many of query's elements; where
+    wanted is given, of those only that it marks.
 
     The longest lists are set aside, as many as DivideSkip's rule gives; the short ones
     are merged by a heap, in which ids that cannot reach the rest of the threshold
@@ -279,13 +279,14 @@ def divide_skip(query: list[int], index: dict[int, list[int]], least: int) -> li
             popped.append(heapq.heappop(heap))
         count = len(popped)
         if count >= need:
-            for k, x in enumerate(long):
-                if count + len(long) - k < least:
-                    break
-                at = bisect_left(x, top)
-                count += at < len(x) and x[at] == top
-            if count >= least:
-                found.append((top, count))
+            if wanted is None or wanted[top]:
+                for k, x in enumerate(long):
+                    if count + len(long) - k < least:
+                        break
+                    at = bisect_left(x, top)
+                    count += at < len(x) and x[at] == top
+                if count >= least:
+                    found.append((top, count))
             to = top + 1
         else:
             while heap and len(popped) < need - 1:
@@ -303,44 +304,28 @@ def divide_skip(query: list[int], index: dict[int, list[int]], least: int) -> li
 def link_group(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect what the group's links connect; places in sets.
 
-    In a larger group a few hubs are first compared with all.  A set then searches
-    only if a set before it that the signatures allow isn't connected with it yet."""
+    Every set is indexed.  A set searches if the signatures allow it a partner that isn't
+    connected with it yet; a few sets spread over the sizes search first, so that
+    large components soon hold together."""
     count = len(sets)
     label, links = np.arange(count), []
-
-    def link(a: int, b: int) -> None:
-        if label[a] != label[b]:
-            label[label == max(label[a], label[b])] = min(label[a], label[b])
-            links.append((a, b))
-
-    order = np.array(sorted(range(count), key=lambda k: len(sets[k])))
-    if count > 8:
-        ok = possible(np.array([len(s) for s in sets], np.int64), folded([parity_bits(s) for s in sets]), percent)
-        for hub in order[:: max(1, count // 16)].tolist():
-            h = sets[hub]
-            for k in np.flatnonzero(ok[hub] & (label != label[hub])).tolist():
-                at = np.searchsorted(h, sets[k])
-                at[at == len(h)] = 0
-                if (h[at] == sets[k]).sum() >= least_overlap(len(h), len(sets[k]), percent):
-                    link(hub, k)
-        ok = ok[np.ix_(order, order)]
+    order = sorted(range(count), key=lambda k: len(sets[k]))
+    sets = [sets[k] for k in order]
+    ok = possible(np.array([len(s) for s in sets], np.int64), folded([parity_bits(s) for s in sets]), percent)
     index: dict[int, list[int]] = {}
-    for place, k in enumerate(order.tolist()):
-        elements, n = sets[k].tolist(), len(sets[k])
-        left = np.flatnonzero(ok[place, :place] & (label[order[:place]] != label[k])) if count > 8 else None
-        if left is not None and len(left) <= PROBED:  # few candidates: the binary search alone
-            for other in order[left].tolist():
-                if label[other] != label[k]:
-                    at = np.searchsorted(sets[other], sets[k])
-                    at[at == len(sets[other])] = 0
-                    if (sets[other][at] == sets[k]).sum() >= least_overlap(n, len(sets[other]), percent):
-                        link(other, k)
-        else:
-            for other, overlap in divide_skip(elements, index, -(-percent * n // 100)):
-                if overlap >= least_overlap(n, len(sets[order[other]]), percent):
-                    link(int(order[other]), k)
-        for x in elements:
-            index.setdefault(x, []).append(place)
+    for k, s in enumerate(sets):
+        for x in s.tolist():
+            index.setdefault(x, []).append(k)
+    hubs = range(0, count, max(1, count // 16))
+    for k in dict.fromkeys([*hubs, *range(count)]):
+        wanted = ok[k] & (label != label[k])
+        if not wanted.any():
+            continue
+        n = len(sets[k])
+        for other, overlap in divide_skip(sets[k].tolist(), index, -(-percent * n // 100), wanted):
+            if label[other] != label[k] and overlap >= least_overlap(n, len(sets[other]), percent):
+                label[label == max(label[k], label[other])] = min(label[k], label[other])
+                links.append((order[k], order[other]))
     return links
 
 
@@ -361,11 +346,13 @@ def _links(percent: int):
 
 
 def _in_blocks(members: DataFrame, size: str) -> DataFrame:
-    """members (pivot, class, ..) dealt to pairs of blocks (i, j) of their bucket, each pair of
-    members meeting in one at least; size is SQL for a bucket's number of blocks."""
-    sizes = members.groupBy("pivot").agg(F.expr(f"cast({size} as int)").alias("blocks"))
+    """members (pivot, class, ..), a written table, dealt to pairs of blocks (i, j) of their
+    bucket, each pair of members meeting in one at least; size is SQL for a bucket's
+    number of blocks.  Only the few buckets with several are written and joined."""
+    sizes = materialise(members.groupBy("pivot").agg(F.expr(f"cast({size} as int)").alias("blocks")).where("blocks > 1"), "blocks")
+    dealt = members.join(sizes, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.col("class"), F.col("blocks").cast("long")).cast("int")
-    dealt = members.join(sizes, "pivot").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o"))
 
 
@@ -383,17 +370,19 @@ def ngram_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     parts = rows.where("hot <> 0").select("hot", "pivot").distinct()
     tops = parts.join(parts.groupBy("hot").agg(F.min("pivot").alias("top")), "hot").select("pivot", "top").distinct()
     members = rows.where("hot = 0").select("pivot", "class").union(rows.where("hot <> 0").select("pivot", "class").distinct().join(tops, "pivot").select("top", "class")).distinct()
-    signed = every.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("row_key").alias("row_key"))
+    signed = every.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("row_key", "doc_id")).alias("row"))
     signed = materialise(signed, "signatures")
     width = lambda n: F.greatest(F.lit(BITS), F.pow(F.lit(2), F.ceil(F.log2(2 * n))).cast("int"))
     least = width(F.col("n"))  # a partner that isn't smaller has this width or the next
-    dealt = members.join(signed.select("class", "n", "bits"), "class").withColumn("width", F.explode(F.array_distinct(F.array(least, width(F.col("n") * (100 / percent))))))
-    dealt = dealt.withColumn("pivot", F.xxhash64("pivot", "width")).drop("width")
-    met = _in_blocks(dealt, f"ceil(count(*) / {BLOCK}D)").select("pivot", "i", "j", "class", "n", "bits")
+    dealt = members.join(signed.select("class", "n"), "class").withColumn("width", F.explode(F.array_distinct(F.array(least, width(F.col("n") * (100 / percent))))))
+    dealt = materialise(dealt.select(F.xxhash64("pivot", "width").alias("pivot"), "class"), "dealt")
+    met = _in_blocks(dealt, f"ceil(count(*) / {BLOCK}D)").select("pivot", "i", "j", "class")
+    met = met.join(signed.select("class", "n", "bits"), "class").select("pivot", "i", "j", "class", "n", "bits")
     near = met.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(_possible_links(percent), "a long, b long")
-    near = connected_components(near).select(F.col("label").alias("pivot"), F.col("id").alias("class")).join(signed.select("class", "n"), "class").select("pivot", "class", "n")
-    needed = near.select("class").join(signed.select("class", "row_key"), "class")
-    texts = docs.select("row_key", "text").join(needed, "row_key").select("class", "text").dropDuplicates(["class"])
+    near = connected_components(near).select(F.col("label").alias("pivot"), F.col("id").alias("class"))
+    near = materialise(near.join(signed.select("class", "n"), "class").select("pivot", "class", "n"), "near")
+    needed = near.select("class").join(signed.select("class", F.col("row.row_key").alias("key"), F.col("row.doc_id").alias("id")), "class")
+    texts = docs.join(needed, (F.col("row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text").dropDuplicates(["class"])
     met = _in_blocks(near, f"greatest(1, ceil(count(*) / {TEXTS}D), ceil(sum(n) / {SHINGLES}D))").select("pivot", "i", "j", "class").join(texts, "class").select("pivot", "i", "j", "class", "text")
     links = met.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "class").mapInArrow(_links(percent), "a long, b long")
     return features, connected_components(links).select(F.col("id").alias("class"), "label")
@@ -426,9 +415,10 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     once if it is repeated.  Rows without words and rows without an id stay, though
     equal rows of the latter become one."""
     decided = _components(docs, percent).where("n = 0 or doc_id is null or doc_id = component_id")
-    decided = decided.groupBy(F.col("row_key").alias("__row_key")).agg(F.expr("count(*) > 1 and max(n) > 0").alias("__repeated"))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("__row_key")
-    kept = docs.select("*", key).join(decided, "__row_key")
+    mine, key, one, repeated = (own_name(docs, x) for x in ("kept_own_key", "kept_key", "kept_doc", "kept_repeated"))
+    decided = decided.groupBy("row_key", "doc_id").agg(F.expr("count(*) > 1 and max(n) > 0").alias(repeated)).toDF(key, one, repeated)
+    found = docs.withColumn(mine, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    kept = found.join(decided, (F.col(mine) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(one)))
     names = [F.col(f"`{name}`") for name in docs.columns]
-    once = kept.where("__repeated").dropDuplicates(["__row_key"])
-    return kept.where("not __repeated").select(*names).union(once.select(*names))
+    once = kept.where(F.col(repeated)).dropDuplicates([key, one])
+    return kept.where(~F.col(repeated)).select(*names).union(once.select(*names))
