@@ -25,6 +25,7 @@ BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 PART = 1 << 18  # bytes of texts whose n-grams are held at once
 LOST = 0.001  # share of right predictions on rows kept out of the training that each test may reject
+FAR = 1.0  # deviation that chance alone gives: n-grams overlap, so theirs is some three times that of independent ones
 MANY = 400  # n-grams beyond which a text's share of known ones is no surer
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -139,9 +140,9 @@ class Model:
 
 
 def lowest(x: np.ndarray) -> float:
-    """A bound that hardly any value like these lies below: the quantile LOST, but no nearer than four
+    """A bound that hardly any value like these lies below: the quantile LOST, but no nearer than six
     deviations, and more of them the fewer values there are to know the tail by."""
-    return float(min(np.quantile(x, LOST), x.mean() - (4 + 100 / len(x)) * x.std()))
+    return float(min(np.quantile(x, LOST), x.mean() - (6 + 100 / len(x)) * x.std()))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -218,7 +219,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languag
     away = (shares - usual) * np.sqrt(np.minimum(sizes, MANY))
     best = np.clip(p.max(1)[right], 1e-12, 1 - 1e-12)
     sure = 1 / (1 + np.exp(-lowest(np.log(best / (1 - best)))))
-    return Model(languages, table.astype(np.float32), bias, temperature, seen, usual, float(sure), lowest(away[right]))
+    return Model(languages, table.astype(np.float32), bias, temperature, seen, usual, float(sure), min(lowest(away[right]), -FAR))
 
 
 def _counts(batches):

@@ -1,129 +1,257 @@
 """License scans with a positional rare-token index.
 
-Words' document frequencies are counted over all documents.  The index has the place
-of each licence word in each template.  Every template whose mandatory phrases stand in
-the document is judged by itself: all its words there are looked up, postings that agree
-on its relative position support each other, and each weighs its word's IDF, so that
-rare words decide.  The base phrases are counted at every place, whatever the index says."""
+Words' document frequencies are counted over all documents.  The index has, for each
+template, its words from the highest IDF down, with their places.  A template that
+stands in a document has the support of most of its words, by IDF, at one relative
+position; so at least one of its rarest words, those that hold the rest of the IDF,
+must be there.  Their occurrences give the relative positions to look at, and at
+each the postings of all words are intersected.  The mandatory phrases, without which a
+licence isn't named, are verified first, since they cost one search of the text each.
+The base phrases are counted at every place, whatever the index says."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialise
 from .words import LOWER
 
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Label, licence words of a notice, phrases that must stand in the document.
+#: Label, text of a licence or of the notice that names it, phrases that must stand in the document.
 TEMPLATES = [
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["permission is hereby granted free of charge", "without restriction"]),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["apache license"]),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["general public license"]),
-    ("gpl", "this work is licensed under the gnu general public license version 3", ["general public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify", "with or without fee"]),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("mit", "Released under the MIT License", ["mit license"]),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+        permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright
+        notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+        ["permission is hereby granted free of charge", "to deal in the software without restriction"],
+    ),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", ["apache license"]),
+    (
+        "apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+        the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License.""",
+        ["apache license version 2 0", "unless required by applicable law or agreed to in writing"],
+    ),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3", ["general public license"]),
+    (
+        "gpl",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation""",
+        ["general public license", "free software foundation"],
+    ),
+    (
+        "gpl-2.0",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later
+        version.""",
+        ["gnu general public license as published by the free software foundation either version 2 of the license"],
+    ),
+    (
+        "gpl-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version.""",
+        ["gnu general public license as published by the free software foundation either version 3 of the license"],
+    ),
+    (
+        "lgpl",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option)
+        any later version.""",
+        ["lesser general public license"],
+    ),
+    (
+        "agpl",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+        any later version.""",
+        ["affero general public license"],
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met""",
+        ["redistribution and use in source and binary forms"],
+    ),
+    (
+        "bsd-2-clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+        of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
+        with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" """,
+        ["redistribution and use in source and binary forms", "with the distribution this software is provided by"],
+    ),
+    (
+        "bsd-3-clause",
+        """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission.""",
+        ["redistribution and use in source and binary forms", "may be used to endorse or promote products derived from this software"],
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        ["permission to use copy modify and", "with or without fee is hereby granted"],
+    ),
+    (
+        "mpl",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/""",
+        ["mozilla public license"],
+    ),
+    (
+        "epl",
+        """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+        which is available at http://www.eclipse.org/legal/epl-2.0""",
+        ["eclipse public license"],
+    ),
+    ("bsl", "Distributed under the Boost Software License, Version 1.0.", ["boost software license"]),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software
+        for any purpose, including commercial applications, and to alter it and redistribute it freely""",
+        ["in no event will the authors be held liable", "alter it and redistribute it freely"],
+    ),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", ["free and unencumbered software"]),
+    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", ["dedicated the work to the public domain"]),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution 4 0 international license"]),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["creative commons attribution sharealike"]),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ["creative commons attribution noncommercial"]),
+    ("cc-by", "Licensed under CC BY 4.0", ["cc by 4 0"]),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0", ["cc by sa"]),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", ["cc by nc"]),
 ]
-SUPPORT = 0.6  # share of a template's words in the document, by IDF, that must agree on a position
+SUPPORT = 0.6  # share of a template's IDF whose words must stand at one relative position
+AT_ONCE = 1 << 18  # bytes of a text, or words compared, at once
 #: Bytes of a word, after lower-casing A-Z: digits, a-z, and all above 0x7F.
 PART = np.zeros(256, bool)
 PART[48:58] = PART[97:123] = PART[128:] = True
 SPACED = np.where(PART[LOWER], LOWER, 32).astype(np.uint8).tobytes()
 SCAN = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+FOUND = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, words binary, word string, n long"
 
 
-def split(text: str | None) -> list[bytes]:
-    """A text's words: A-Z lower-cased runs of digits, letters and bytes above 0x7F."""
-    return (text or "").encode().translate(SPACED).split()
+def normal(text: str | None) -> bytes:
+    """A text's words, A-Z lower-cased runs of digits, letters and bytes above 0x7F, each between two spaces."""
+    spaced, out, at = (text or "").encode().translate(SPACED), [], 0
+    while at < len(spaced):
+        end = len(spaced) if len(spaced) - at <= AT_ONCE else spaced.find(b" ", at + AT_ONCE)
+        end = len(spaced) if end < 0 else end
+        if words := b" ".join(spaced[at:end].split()):
+            out.append(words)
+        at = end
+    return b" " + b" ".join(out) + b" " if out else b" "
+
+
+
+def places(words: bytes, wanted: bytes) -> Iterator[int]:
+    """Index of the first word of each place where a phrase's words stand."""
+    at, word, counted = words.find(wanted), 0, 0
+    while at >= 0:
+        word += words.count(b" ", counted, at)
+        counted = at
+        yield word
+        at = words.find(wanted, at + 1)
+
+
+def licence_words() -> set[bytes]:
+    """The words of all templates: a fixed, small vocabulary."""
+    return {w for _, text, _ in TEMPLATES for w in normal(text).split()}
 
 
 class Index:
-    """Postings of licence words: word -> (template, place)."""
+    """Postings of licence words: for each template its words, from the highest IDF, with their places."""
 
     def __init__(self, df: dict[bytes, int], documents: int):
-        self.templates = [(label, [w.encode() for w in text.split()], [[w.encode() for w in p.split()] for p in must]) for label, text, must in TEMPLATES]
-        self.weight = {w: math.log((1 + documents) / (1 + df.get(w, 0))) + 1e-9 for w in licence_words()}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words, _) in enumerate(self.templates):
-            for place, w in enumerate(words):
-                self.postings[w].append((t, place))
-
-    def labels(self, words: list[bytes], at: dict[bytes, list[int]]) -> tuple[set[str], float]:
+        self.codes = {w: k for k, w in enumerate(sorted(licence_words()))}
+        weight = {w: math.log((1 + documents) / (1 + df.get(w, 0))) + 1e-9 for w in self.codes}
+        self.templates = []
+        for label, text, must in TEMPLATES:
+            words = normal(text).split()
+            codes, weights = np.array([self.codes[w] for w in words]), np.array([weight[w] for w in words])
+            rare, left = [], (1 - SUPPORT) * weights.sum() + 1e-9
+            for w in sorted(set(words), key=lambda w: (-weight[w], w)):  # the fewest rare words without which the support is missed
+                at = np.flatnonzero(codes == self.codes[w])
+                rare.append((self.codes[w], at))
+                left -= weights[at].sum()
+                if left < 0:
+                    break
+            self.templates.append((label, codes, weights, rare, [normal(p) for p in must]))
+
+    def labels(self, words: bytes) -> tuple[set[str], float]:
         """Labels of templates that stand in the document, and the best share of a template's words in place."""
         found, best = set(), 0.0
-        for t, (label, text, must) in enumerate(self.templates):
-            if not all(phrase_places(at, p) for p in must):
-                continue
-            support: Counter = Counter()
-            for w in {w for w in text if w in at}:
-                for k, place in self.postings[w]:
-                    if k == t:
-                        for i in at[w]:
-                            support[i - place] += self.weight[w]
-            whole = sum(self.weight[w] for w in text if w in at)
-            near = [d for d, n in support.items() if n >= SUPPORT * whole]
-            if near:
-                aligned = max(sum(0 <= d + i < len(words) and words[d + i] == w for i, w in enumerate(text)) for d in near) / len(text)
-                found.add(label)
-                best = max(best, aligned, min(max(support.values()) / whole, 1.0) * SUPPORT)
-        return found, min(1.0, best)
-
-
-def phrase_places(at: dict[bytes, list[int]], phrase: list[bytes]) -> list[int]:
-    """Where a phrase's words stand consecutively, by intersecting shifted positions."""
-    if not all(w in at for w in phrase):
-        return []
-    places = set(at[phrase[0]])
-    for k, w in enumerate(phrase[1:], 1):
-        places &= {i - k for i in at[w]}
-    return sorted(places)
-
-
-def licence_words() -> set[bytes]:
-    """The words of all templates and phrases: a fixed, small vocabulary."""
-    return {w.encode() for _, text, must in TEMPLATES for part in (text, *must) for w in part.split()} | {w.encode() for p in BASE for w in p.split()}
+        able = [t for t in self.templates if all(p in words for p in t[4])]
+        if not able:
+            return found, best
+        doc = np.fromiter((self.codes.get(w, -1) for w in words.split()), np.int32, words.count(b" ") - 1)
+        for label, codes, weights, rare, _ in able:
+            starts = np.unique(np.concatenate([(np.flatnonzero(doc == c)[:, None] - at[None, :]).ravel() for c, at in rare]))
+            step = max(1, AT_ONCE // len(codes))
+            for a in range(0, len(starts), step):
+                where = starts[a : a + step, None] + np.arange(len(codes))[None, :]
+                same = (where >= 0) & (where < len(doc))
+                same &= doc[np.clip(where, 0, len(doc) - 1)] == codes[None, :]
+                good = same @ weights >= SUPPORT * weights.sum()
+                if good.any():
+                    found.add(label)
+                    best = max(best, float(same[good].mean(1).max()))
+        return found, best
 
 
-def _frequencies(batches):
+def _find(batches):
+    """Base columns of each row, its words where a licence is named, and the task's document frequencies."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
     wanted, df, documents = licence_words(), Counter(), 0
+    base = {label: normal(p) for p, label in BASE.items()}
+    must = sorted({p for _, _, every in TEMPLATES for p in map(normal, every)})
     for batch in batches:
         documents += len(batch)
-        for text in batch.column(0):
-            df.update(wanted.intersection(split(text.as_py())))
-    yield pa.record_batch([pa.array([None, *(w.decode() for w in df)], pa.string()), pa.array([documents, *df.values()], pa.int64())], ["word", "n"])
+        out = []
+        for text in batch.column(1):
+            words = normal(text.as_py())
+            df.update(wanted.intersection(words.split()))
+            at = {label: list(places(words, p)) for label, p in base.items() if p in words}
+            starts = [i for x in at.values() for i in x]
+            named = any(p in words for p in must)
+            out.append((words.count(b" ") - 1, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(at)), words if named else None))
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        m = len(batch)
+        yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())], names)
+    m = len(df) + 1  # an empty word stands for the number of documents
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    yield pa.record_batch([*(pa.nulls(m, k) for k in kinds), pa.array(["", *(w.decode() for w in df)], pa.string()), pa.array([documents, *df.values()], pa.int64())], names)
 
 
-def _scan(held):
+def _judge(held):
     def run(batches):
-        index, wanted = Index(*held.value), licence_words()
-        base = {label: [w.encode() for w in p.split()] for p, label in BASE.items()}
+        index = Index(*held.value)
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                words = split(text.as_py())
-                at: dict[bytes, list[int]] = {}
-                if not wanted.isdisjoint(words):
-                    at = defaultdict(list)
-                    for i in [i for i, w in enumerate(words) if w in wanted]:
-                        at[words[i]].append(i)
-                places = {label: phrase_places(at, p) for label, p in base.items()} if b"license" in at else {}
-                starts = [i for x in places.values() for i in x]
-                own = {label for label, x in places.items() if x}
-                more, score = index.labels(words, at) if at else (set(), 0.0)
-                out.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(own | more)), max(score, 0.5 if own else 0.0)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [x.split()[0] for x in SCAN.split(", ")])
+            labels, scores = [], []
+            for own, words in zip(batch.column("base_labels").to_pylist(), batch.column("words"), strict=True):
+                own = set(filter(None, own.split(",")))
+                more, score = index.labels(words.as_py()) if words.is_valid else (set(), 0.0)
+                labels.append(",".join(sorted(own | more)))
+                scores.append(min(1.0, max(score, 0.5 if own else 0.0)))
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [x.split()[0] for x in SCAN.split(", ")])
 
     return run
 
@@ -133,10 +261,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words, no places and no labels.  labels adds the
     method's to the base ones; score is the share of the best template's words in
-    place, at least 0.5 with a base label, else 0.  Document frequencies cover all
-    rows; the driver gets one number for each licence word and task's sum."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = docs.select("text").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    df = {r.word.encode(): r.n for r in counted if r.word is not None}
-    held = docs.sparkSession.sparkContext.broadcast((df, sum(r.n for r in counted if r.word is None)))
-    return docs.mapInArrow(_scan(held), SCAN)
+    place, at least 0.5 with a base label, else 0.  Repeated rows are answered each; an
+    empty table gives an empty one.  Texts are read once; the words of those that name a
+    licence are kept for the index, which needs the document frequencies of all rows.
+    The driver gets one number for each licence word."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = materialise(rows.mapInArrow(_find, FOUND), "licences")
+    counted = found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    df = {r.word.encode(): r.n for r in counted}
+    held = docs.sparkSession.sparkContext.broadcast((df, df.pop(b"", 0)))
+    return found.where("word is null").drop("word", "n").mapInArrow(_judge(held), SCAN)

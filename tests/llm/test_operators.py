@@ -133,6 +133,48 @@ def test_substring_dedup(docs, rows, empty):
     assert cut.where("row_key = 'own' and factors = 'own'").count() == len(rows)
 
 
+def test_substring_factors(spark):
+    rng = random.Random(8)
+    one, two = ([f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(2))
+    three = ["x"] * 7 + one[20:190] + ["y"] * 3 + two[100:160] + one[200:249]  # the last copy is one word too short
+    four = one[:60] + two[:60]  # two factors that meet
+    rows = [(1, " ".join(one), "en"), (2, " ".join(two), "en"), (3, " ".join(three), "en"), (4, " ".join(four), "en"), (None, " ".join(one), "en")]
+    found = {r.doc_id: [tuple(f) for f in r.factors] for r in substring_dedup.copied_factors(docs_of(spark, rows)).collect()}
+    assert found == {3: [(7, 170, 1, 20), (180, 60, 2, 100)], 4: [(0, 60, 1, 0), (60, 60, 2, 0)]}
+    start, size, source, at = substring_dedup.parsed(*(np.array(x) for x in ([5, 0, 90, 60], [60, 60, 50, 50], [1, 1, 3, 2], [25, 20, 7, 0])))
+    assert (start.tolist(), size.tolist(), source.tolist(), at.tolist()) == ([0, 60, 90], [65, 50, 50], [1, 2, 3], [20, 0, 7])
+
+
+def test_substring_dedup_in_segments(docs, rows, monkeypatch):
+    whole = sorted(map(str, substring_dedup.substring_dedup(docs).collect()))
+    hashes = np.arange(1000, dtype=np.uint64)
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 64)
+    cut = [(a, b) for a, b in substring_dedup.segments(1000, 50)]
+    assert all(any(a <= s and s + 50 <= b for a, b in cut) for s in range(951)) and len(cut) == 15
+    blocks = [substring_dedup.segment_blocks(hashes[a:b], 50) for a, b in cut]
+    assert sum(int(size.sum()) for _, size, _, _ in blocks) == 951
+    assert len(whole) == len(rows)
+
+
+def test_columns_with_names_of_helpers(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    own = ["own_text_key", "factors_doc", "factors_text", "factors_found", "kept_key", "kept_doc", "kept_repeated", "kept_own_key", "key", "id", "row"]
+    some = spark.createDataFrame([(i, text, *["own"] * len(own)) for i in (1, 2)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in own))
+    cut = substring_dedup.remove_copies(some)
+    assert cut.columns == some.columns and sorted((r.doc_id, r.text, r.key) for r in cut.collect()) == [(1, text, "own"), (2, "", "own")]
+    kept = ngram_join.keep_one(some)
+    assert kept.columns == some.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_long_words_hash_in_parts(monkeypatch):
+    from pagegrain.llm import words
+
+    data = np.random.default_rng(1).integers(97, 123, 5000).astype(np.uint8)
+    want = words.word_hashes(data, np.array([0]), np.array([5000]))
+    monkeypatch.setattr(words, "CHUNK", 256)
+    assert words.word_hashes(data, np.array([0]), np.array([5000])) == want
+
+
 def shingles(t):
     w = [x.lower() for x in words_of(t)]
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
@@ -208,6 +250,27 @@ def test_language_id(spark, docs, empty):
     assert np.mean([r.rejected for r in out]) < 0.02
 
 
+def test_language_id_rejects_other_languages(spark):
+    import pyarrow as pa
+
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(real)
+    other = ["To jest zdanie po polsku, które nie należy do żadnego z języków.", "Ez egy magyar mondat, amely nem tartozik a tanult nyelvek közé.", "Tämä on suomenkielinen lause, joka ei kuulu opetettuihin kieliin.", "日本語の文章です。これは学習されていません", "xkcd qzvw pfff grrt zxqj wqkz hjkl vvxz", "Это предложение на русском языке"]
+    assert model.answers(pa.array(other))[1].all()
+    out = language_id.language_id(real).join(real.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    right = [r for r in out if r.lang == r.lang_pred]
+    assert len(right) > 0.99 * len(out) and sum(r.rejected for r in right) <= 0.005 * len(right) + 1
+    text = real.where("text is not null").limit(50).toPandas()["text"].str.cat(sep=" ")
+    whole = model.answers(pa.array([text, text[:3000]]))
+    small = language_id.PART
+    try:
+        language_id.PART = 500
+        again = model.answers(pa.array([text, text[:3000]]))
+    finally:
+        language_id.PART = small
+    assert np.allclose(whole[0], again[0], atol=1e-6) and (whole[1] == again[1]).all()
+
+
 def test_decontaminate(spark, docs, empty):
     rng = random.Random(1)
     for _ in range(200):
@@ -316,6 +379,64 @@ def test_url_filter_of_deep_paths(spark):
     assert got[101][0] != got[102][0] and got[200] == ("/a/b/c/d/e/f/g/h/i/j/k/l/one.html", "allow")
 
 
+def test_url_filter_blocks_what_looks_like_a_blocked_branch(spark):
+    urls = [f"http://example.com/de/item{k}/{k}" for k in range(60)] + [f"http://example.com/dea/item{k}/{k}" for k in range(20)]
+    urls += [f"http://example.com/about{k}.html" for k in range(9)] + [f"http://b.org/fr/{k}" for k in range(30)] + [f"http://b.org/en/{k}" for k in range(20)]
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, template string, label string")
+    got = [r for r in url_filter.filter_urls(pages).collect()]
+    by = {r.page_id: r for r in got}
+    assert {by[k].verdict for k in range(80)} == {"block"} and {by[k].rule for k in range(60, 80)} == {None}
+    assert by[0].template == by[70].template == "/{de..}/*/<n>"
+    assert {by[k].verdict for k in range(80, len(urls))} == {"allow"}
+
+
+def rule_by_hand(url):
+    at = (url or "").find("://")
+    rest = url[at + 3 :] if at >= 0 else ""
+    cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host, tail = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut]), rest[cut:]
+    path = tail[: min([tail.find(c) for c in "?#" if c in tail], default=len(tail))]
+    fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, max(fits)[1], max(fits)[2]) if fits else (host, path, None, None)
+
+
+def test_url_filter_against_plain_python(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    urls = {r.page_id: r.url for r in pages.collect()}
+    got = url_filter.filter_urls(pages).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        host, path, rule, verdict = rule_by_hand(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict)
+
+
+def base_by_hand(text):
+    import re
+
+    words = [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode())]
+    at = {label: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p, label in license_scan.BASE.items()}
+    every = [i for x in at.values() for i in x]
+    return len(words), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(k for k, x in at.items() if x))
+
+
+def test_license_scan_base_against_plain_python(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    got = license_scan.license_scan(rows).collect()
+    assert len(got) == len(texts) and sum(r.n_base > 0 for r in got) > 5
+    for r in got:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base_by_hand(texts[r.doc_id])
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+
+
+def test_license_scan_of_long_and_unlicensed_texts(spark):
+    long = "the software is free of charge and any person may use it without restriction under these terms " * 40_000
+    full = license_scan.TEMPLATES[1][1]
+    rows = [(1, long, "en"), (2, long + full, "en"), (2, long + full, "en"), (3, "all rights reserved; no licence is granted to anyone", "en"), (4, "we discussed the mozilla public license at length yesterday", "en"), (5, full[: len(full) // 4], "en")]
+    got = sorted((r.doc_id, r.labels) for r in license_scan.license_scan(docs_of(spark, rows)).collect())
+    assert got == [(1, ""), (2, "mit"), (2, "mit"), (3, ""), (4, ""), (5, "")]
+
+
 def test_license_scan(docs, spark, empty):
     texts = [(1, "Released under the MIT License. mit-license, MIT licenses"), (2, "the GNU General  Public\nLicense"), (3, None), (4, "Licensed under CC BY-NC 4.0"), (5, "plain words of no kind é"), (6, "Apache License and MIT license")]
     got = {r.doc_id: r for r in license_scan.license_scan(docs_of(spark, [(i, t, "en") for i, t in texts])).collect()}
