@@ -326,7 +326,9 @@ def test_html_extract(spark):
         nodes = html_extract.nodes_of(dom.root)
         side = {}
         for n in nodes:
-            side[id(n)] = "\0" in n.tokens or (n.parent is not None and side[id(n.parent)])
+            side[id(n)] = -1 in n.tokens or (n.parent is not None and side[id(n.parent)])
+        for n in nodes:
+            n.tokens -= {-1}
         keep = html_extract.decode(nodes, model.log_odds(html_extract.features(nodes)))
         wrong += sum(n.own for n, k in zip(nodes, keep, strict=True) if k == side[id(n)]) > 0.02 * nodes[0].total
     assert wrong <= 15
@@ -340,15 +342,53 @@ def test_html_extract_without_end_tags():
     assert said("<html><head><title>x</title><body><article><p>one</p></article></body></html>") == ["one"]
     assert said("<head><title>x</title><meta a=b><script>v</script><article><p>one</p></article>") == ["one"]
     assert said("<head><title>x</title>one <p>two") == ["one", "two"]
-    for tag in ("form", "button", "select", "noscript", "object", "svg", "textarea", "title", "template"):
+    assert said("<div><form>x</div><p>one</p></form>two") == ["x", "one", "two"]
+    for tag in ("button", "select", "noscript", "object", "svg", "textarea", "title", "template"):
         assert said(f"<body><p>a</p><{tag}><p>one</p><p>two</p></body>") == ["a", "one", "two"], tag
         assert said(f"<div><{tag}><p>one</p></div><p>two</p>") == ["one", "two"], tag
         assert said(f"<div><{tag}>x</{tag}>one</div><p>two</p>") == ["one", "two"], tag
-    assert said("<div><form>x</div><p>one</p></form>two") == ["one", "two"]
+    assert said("<div><button>x</div><p>one</p></button>two") == ["one", "two"]
     assert said("<select><option>x<option>y</select>one") == said("<title>a <b> c</title>one") == ["one"]
     assert said("one<script>x <p>y</p>") == ["one"]
 
 
+def test_html_extract_of_odd_pages(spark):
+    said = "Plain sentences of an article that go on for a while, as articles do."
+    article = f"<article><h1>T</h1>{f'<p>{said}</p>' * 8}</article>"
+    want = "\n".join(["T", *[said] * 8])
+    odd = [
+        f"<div class='post comment-enabled with-sidebar'>{article}</div>",
+        f"<body><form><nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav>{article}</form></body>",
+        f"<body><form>{article}",
+        f"<body><button>{article}",
+        f"<body><noscript>{article}",
+        f"<body>{'<div>' * 3000}{article}{'</div>' * 3000}{'</p></section>' * 3000}</body>",
+    ]
+    rows = [(i, "u", h, "own", "own") for i, h in enumerate([*odd, odd[0]])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == dict.fromkeys(range(7), want)
+    long = spark.createDataFrame([(1, "u", f"<body><article>{f'<p>{said}</p>' * 20000}</article></body>")], "page_id long, url string, html string")
+    assert html_extract.extract(long).first().text == "\n".join([said] * 20000)
+    assert html_extract.extract(long.where("false")).count() == 0
+
+
+def test_html_extract_of_pages(spark):
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    pages = {r.page_id: r.html for r in rows.collect()}
+    found = 0
+    for r in html_extract.extract(rows).collect():
+        at = re.search(r"<article[^>]*>(.*?)</article>", pages[r.page_id] or "", re.S)
+        if at and r.text:
+            found += 1
+            held = html_extract.nodes_of(html_extract.parse(at.group(1)))
+            whole = html_extract.main_text(held, [True] * len(held)).split("\n")
+            assert set(r.text.split("\n")) <= set(whole) and r.n_chars == len(r.text)
+    assert found > 100
+
+
 def test_html_features_count_all_siblings():
     nodes = html_extract.nodes_of(html_extract.parse("<div>" + "<h2>t</h2>" * 70 + "<p>one</p>" * 90 + "</div>"))
     same = html_extract.features(nodes)[:, 9]
