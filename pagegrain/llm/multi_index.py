@@ -6,7 +6,8 @@ a heap until they hold a share of all entries that reached the wanted recall on
 bounded sample of queries searched exactly; the entries of those cells are reranked
 on the original vectors.  Equal vectors are one entry.  Cells lie side by side in
 blocks of bounded size, a large cell in several; a query goes to the blocks that its
-cells touch."""
+cells touch, with the cells it wants there.  A task holds one block's entries and lets
+the block's queries pass."""
 
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,10 +24,11 @@ from pyspark.sql.window import Window
 from .scratch import materialise
 
 K = 20
-CODES = 64  # most centroids of a codebook; 64 * 64 cells at most are known to the driver
-SAMPLE, PROBES = 8192, 128  # vectors that fit the codebooks, queries that fit the share
+CODES = 512  # most centroids of a codebook, which grow with the root of the table; the driver knows a count for each pair of them
+SAMPLE, PROBES = 16384, 128  # vectors that fit the codebooks, queries that fit the share
 WANTED = 0.95  # share of the sample's true neighbours that the walked cells must hold
-BLOCK, QUERIES = 4096, 1024
+BLOCK = 4096  # entries that are held at once
+QUERIES = 1 << 16  # queries of a block for which a task holds its entries; more have them held again
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
@@ -73,26 +76,55 @@ def exact(q: np.ndarray, x: np.ndarray) -> float:
     return math.fsum((q * x).tolist())
 
 
-def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, k: int) -> list[tuple[int, float]]:
+def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, float]]:
     """(id, score) of the k largest inner products of one query, ties to smaller ids."""
     rough = x @ q
-    if allowed is not None:
-        rough = np.where(allowed, rough, -np.inf)
-    live = int(np.isfinite(rough).sum())
-    if not live:
+    if not len(rough):
         return []
-    least = np.partition(rough, -min(k, live))[-min(k, live)]
-    some = np.flatnonzero((rough >= least - 1e-9 * (1 + abs(least))) & np.isfinite(rough))
+    least = np.partition(rough, -min(k, len(rough)))[-min(k, len(rough))]
+    some = np.flatnonzero(rough >= least - 1e-9 * (1 + abs(least)))
     return sorted(((int(ids[i]), exact(q, x[i])) for i in some), key=lambda r: (-r[1], r[0]))[:k]
 
 
+def rerank(batches, k: int):
+    """(q, entry, score) of rows sorted by (block, side, kind, cell): a block's entries, then its queries."""
+    key, held, block = None, [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        at = np.stack([cols[n].to_numpy() for n in ("block", "side", "kind")], 1)
+        ids, cell = cols["entry"].to_numpy(), cols["cell"].to_numpy()
+        v = cols["v"].flatten().to_numpy().reshape(len(batch), -1)
+        cuts = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]).any(1))))
+        out = []
+        for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(batch)).tolist(), strict=True):
+            if key != tuple(at[s, :2]):
+                key, held, block = tuple(at[s, :2]), [], None
+            if at[s, 2] == 0:
+                held.append((ids[s:e], cell[s:e], v[s:e].copy()))
+                continue
+            if block is None:
+                block = tuple(np.concatenate(c) for c in zip(*held, strict=True)) if held else ()
+            if not block:
+                continue
+            for row in range(s, e):
+                wanted = cols["cells"][row].values.to_numpy()
+                first, last = np.searchsorted(block[1], wanted, "left"), np.searchsorted(block[1], wanted, "right")
+                size = last - first
+                place = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                out += [(int(ids[row]), i, score) for i, score in best(v[row], block[2][place], block[0][place], k)]
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["q", "entry", "score"])
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its k
     nearest other rows by inner product, nearest first, ties to the smaller vec_id.
 
     Rows whose vec_id or vector is null, whose vector is zero, empty, holds null or
-    non-finite components or has another length than most take no part; repeated rows
-    count once; fewer rows give fewer neighbours; an empty table gives an empty one."""
+    non-finite components take no part, nor do those of another length than most, which have no
+    inner product with the rest; repeated rows count once; fewer rows give fewer neighbours; an empty table gives an empty one."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -150,15 +182,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     order = [walk(x, books, counts, count) for x in q]
     before = [dict(zip(o, np.cumsum(counts[o]).tolist(), strict=True)) for o in order]
     reach = sorted(before[r["i"]][r["cell"]] for r in near)
-    wanted = reach[min(len(reach) - 1, int(WANTED * len(reach)))] if reach else count
+    wanted = max(k + 1, 1 + reach[min(len(reach) - 1, int(WANTED * len(reach)))]) if reach else count  # its own entry counts, too
 
     # cells side by side in blocks
     whole = counts >= BLOCK
     parts = np.where(whole, -(-counts // BLOCK), 1)
     packed = np.cumsum(np.where(whole, 0, counts)) // BLOCK
     start = np.where(whole, packed[-1] + 1 + np.cumsum(np.where(whole, parts, 0)) - parts, packed)
-    plan = spark.sparkContext.broadcast((counts, start, parts))
-    sides = max(1, -(-placed.where("asked").count() // QUERIES))
+    plan = spark.sparkContext.broadcast(tuple(x.astype(np.int32) for x in (counts, start, parts)))
 
     @F.pandas_udf("int")
     def block_of(cell: pd.Series, entry: pd.Series) -> pd.Series:
@@ -166,33 +197,28 @@ def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         c = cell.to_numpy()
         return pd.Series((start[c] + entry.to_numpy() % parts[c]).astype("int32"))
 
-    @F.pandas_udf("struct<cells binary, blocks array<int>>")
-    def route(v: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<struct<block int, cells array<int>>>")
+    def route(v: pd.Series) -> pd.Series:
         counts, start, parts = plan.value
-        bits, blocks = [], []
-        for x in v:
-            found = walk(np.asarray(x, float), shared.value, counts, wanted)
-            mask = np.zeros(len(counts), bool)
-            mask[found] = True
-            bits.append(np.packbits(mask).tobytes())
-            blocks.append(sorted({int(b) for c in found for b in range(start[c], start[c] + parts[c])}))
-        return pd.DataFrame({"cells": bits, "blocks": blocks})
-
-    side = F.pmod(F.xxhash64("entry"), F.lit(sides)).cast("int")
-    routed = placed.where("asked").select("entry", "v").withColumn("to", route("v"))
-    routed = routed.select("entry", "v", F.col("to.cells").alias("cells"), F.explode("to.blocks").alias("block"), side.alias("side"))
-    dealt = placed.select("entry", "v", "cell", block_of("cell", "entry").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("side"))
-
-    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(left) and len(right):
-            x, ids, cell = matrix(right["v"]), right["entry"].to_numpy(), right["cell"].to_numpy()
-            for entry, v, bits in zip(left["entry"], left["v"], left["cells"], strict=True):
-                allowed = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)[cell]
-                out += [(entry, e, s) for e, s in best(np.asarray(v, float), x, ids, allowed, k + 1)]
-        return pd.DataFrame(out, columns=["q", "entry", "score"]).astype({"q": "int64", "entry": "int64", "score": "float64"})
-
-    got = routed.groupBy("block", "side").cogroup(dealt.groupBy("block", "side")).applyInPandas(rerank, "q long, entry long, score double")
+        for x in v:
+            to: dict[int, list[int]] = {}
+            for c in walk(np.asarray(x, float), shared.value, counts, wanted):
+                for b in range(start[c], start[c] + parts[c]):
+                    to.setdefault(b, []).append(c)
+            out.append([{"block": b, "cells": sorted(c)} for b, c in to.items()])
+        return pd.Series(out)
+
+    routed = placed.where("asked").select("entry", "v", F.explode(route("v")).alias("to"))
+    routed = materialise(routed.select("entry", "v", F.col("to.block").alias("block"), F.col("to.cells").alias("cells")), "routes")
+    many = routed.groupBy("block").agg((1 + F.floor(F.count("*") / QUERIES)).cast("int").alias("sides")).where("sides > 1")
+    many = materialise(many, "wanted-blocks")
+    sides = F.coalesce("sides", F.lit(1))
+    asking = routed.join(many, "block", "left").select("block", F.pmod(F.xxhash64("entry"), sides).cast("int").alias("side"), F.lit(1).alias("kind"), "entry", F.lit(-1).alias("cell"), "v", "cells")
+    dealt = placed.select("entry", "v", "cell", block_of("cell", "entry").alias("block")).join(many, "block", "left")
+    dealt = dealt.select("block", F.explode(F.sequence(F.lit(0), sides - 1)).alias("side"), F.lit(0).alias("kind"), "entry", "cell", "v", F.lit(None).cast("array<int>").alias("cells"))
+    met = dealt.union(asking).repartition("block", "side").sortWithinPartitions("block", "side", "kind", "cell")
+    got = met.mapInArrow(lambda batches: rerank(batches, k + 1), "q long, entry long, score double")
     got = got.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "entry"))).where(F.col("r") <= k + 1)
     # from entries to rows: at most (k + 1) * (k + 1) ids for a query's vector, then each query row takes its own id out
     ids = got.join(placed.select("entry", "ids"), "entry").select("q", F.explode("ids").alias("vec_id"), "score")

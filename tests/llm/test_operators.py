@@ -310,6 +310,27 @@ def test_multi_index(spark):
     assert multi_index.search(few.where("false")).count() == 0
 
 
+def test_multi_index_recall_and_order(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(float)
+    given = spark.createDataFrame([(int(i), v.tolist(), "own", "own", 1) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, entry string, block string, rank int")
+    got = multi_index.search(given.repartition(3)).toPandas()
+    hit = want = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        order = [k for k in np.lexsort((ids, -score)) if k != q][:20]
+        found = got[got["query_id"] == ids[q]].sort_values("rank")
+        assert found["rank"].tolist() == list(range(1, 21)) and ids[q] not in set(found["vec_id"])
+        assert list(zip(-found["score"], found["vec_id"])) == sorted(zip(-found["score"], found["vec_id"]))
+        at = np.searchsorted(ids, found["vec_id"])
+        assert np.allclose(found["score"], score[at], rtol=1e-12, atol=1e-12)
+        hit += len(set(ids[order]) & set(found["vec_id"]))
+        want += 20
+    assert hit >= 0.9 * want
+    ties = spark.createDataFrame([(i, [1.0, float(i == 5)]) for i in (0, 3, 5, 7, 9)], "vec_id long, embedding array<float>")
+    assert [(r["rank"], r.vec_id) for r in multi_index.search(ties).orderBy("rank").collect()] == [(1, 3), (2, 5), (3, 7), (4, 9)]
+
+
 def test_html_extract(spark):
     page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav>
     <div class="ad">Buy now &amp; save</div><article><h1>A &lt;title&gt;</h1><p>First   paragraph with <b>bold</b> text, long enough to be read as an article's paragraph.</p><p><b>Second<br><p>Third &eacute;</article>
