@@ -23,7 +23,7 @@ from .words import BYTE_VALUE, STEP, mix
 
 DECODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 AT_ONCE = 1 << 20  # characters whose pre-tokens are held at once
-KEPT = 1 << 18  # resolved pre-tokens that a task remembers between batches
+KEPT, HELD = 1 << 18, 1 << 24  # resolved pre-tokens that a worker remembers between batches, and bytes of them
 
 
 def bytes_hash(keys: list[bytes]) -> np.ndarray:
@@ -142,10 +142,12 @@ class ByteBpe:
         for place, key in zip(places.tolist(), keys, strict=True):
             self.key_at[place], self.packed_at[place] = key, self.ranks[key].to_bytes(4, "little")
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def resolve(self, tokens: list[str]) -> None:
         """Put the packed ids of distinct pre-tokens into known."""
         keys = [t.encode() for t in tokens]
+        self.size += sum(map(len, keys))
         for token, key, place in zip(tokens, keys, self.hash.places(keys).tolist(), strict=True):
             if self.key_at[place] == key:
                 self.known[token] = self.packed_at[place]
@@ -156,8 +158,9 @@ class ByteBpe:
         """The packed ids of lists of pre-tokens, whose distinct new ones are resolved together."""
         new = set().union(*lists).difference(self.known)
         if new:
-            if len(self.known) + len(new) > KEPT:
+            if len(self.known) + len(new) > KEPT or self.size > HELD:
                 self.known.clear()
+                self.size = 0
                 new = set().union(*lists)
             self.resolve(list(new))
         known = self.known.__getitem__

@@ -14,10 +14,13 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and
+    all runs in one process (tests)."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if held:
         return held.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":  # executors elsewhere would not see it
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     held = tempfile.mkdtemp(prefix="pagegrain-")
     atexit.register(shutil.rmtree, held, True)
     spark.conf.set("spark.checkpoint.dir", f"file://{held}")

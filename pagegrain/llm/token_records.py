@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT = 1 << 20  # encoded words that a task remembers
+KEPT, HELD = 1 << 20, 1 << 25  # encoded words that a worker remembers, and bytes of them
 BUFFER = 1 << 20
 INDEX = "part int, offset long, size long, doc_id long, local_start long, n_tokens long"
 _held: dict[str, tuple] = {}
@@ -58,7 +58,8 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
 class WordEncoder:
     """The tokenizers library over each distinct word of white space once.  The
     vocabulary's pre-tokenizer drops white space and its normalizer doesn't reach
-    across it, so a text's ids are those of its words one after another."""
+    across it, so a text's ids are those of its words one after another; a vocabulary for which
+    that doesn't hold on a sample of texts is refused."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -67,16 +68,23 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.size = 0
+        for text in ("one  two\n\tthree, four", " A\u0301b ß", "x\x0by z", "日本 語"):
+            apart = [i for word in text.encode().split() for i in self.library.encode(word.decode(), add_special_tokens=False).ids]
+            if self.library.encode(text, add_special_tokens=False).ids != apart:
+                raise ValueError("this vocabulary's tokens cross white space")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each whole text; null is empty."""
         lists = [t.encode().split() if t else [] for t in texts]
         new = set().union(*lists).difference(self.known)
         if new:
-            if len(self.known) + len(new) > KEPT:
+            if len(self.known) + len(new) > KEPT or self.size > HELD:
                 self.known.clear()
+                self.size = 0
                 new = set().union(*lists)
             fresh = list(new)
+            self.size += sum(map(len, fresh))
             for at in range(0, len(fresh), 4096):
                 some = fresh[at : at + 4096]
                 for word, found in zip(some, self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
