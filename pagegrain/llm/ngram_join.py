@@ -40,6 +40,7 @@ BITS = 2048
 SLOTS = 1 << 18
 SLOT_ROWS = 64
 BLOCK = 4096  # signatures of a bucket that meet in one task
+SEARCHED = 64  # sets whose inverted lists are searched at once
 TEXTS, SHINGLES = 1024, 1 << 21  # texts, and shingles of them, that meet in one task
 FEATURES = "doc_id long, row_key long, n int, class long, bits binary, slot int, counts binary"
 
@@ -256,9 +257,8 @@ def _possible_links(percent: int):
     return run
 
 
-def divide_skip(query: list[int], index: dict[int, list[int]], least: int, wanted=None) -> list[tuple[int, int]]:
-    """(id, overlap) of indexed sets that share at least so many of query's elements; where
-    wanted is given, of those only that it marks.
+def divide_skip(query: list[int], index: dict[int, list[int]], least: int) -> list[tuple[int, int]]:
+    """(id, overlap) of indexed sets that share at least so many of query's elements.
 
     The longest lists are set aside, as many as DivideSkip's rule gives; the short ones
     are merged by a heap, in which ids that cannot reach the rest of the threshold
@@ -279,14 +279,13 @@ def divide_skip(query: list[int], index: dict[int, list[int]], least: int, wante
             popped.append(heapq.heappop(heap))
         count = len(popped)
         if count >= need:
-            if wanted is None or wanted[top]:
-                for k, x in enumerate(long):
-                    if count + len(long) - k < least:
-                        break
-                    at = bisect_left(x, top)
-                    count += at < len(x) and x[at] == top
-                if count >= least:
-                    found.append((top, count))
+            for k, x in enumerate(long):
+                if count + len(long) - k < least:
+                    break
+                at = bisect_left(x, top)
+                count += at < len(x) and x[at] == top
+            if count >= least:
+                found.append((top, count))
             to = top + 1
         else:
             while heap and len(popped) < need - 1:
@@ -304,28 +303,28 @@ def divide_skip(query: list[int], index: dict[int, list[int]], least: int, wante
 def link_group(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect what the group's links connect; places in sets.
 
-    Every set is indexed.  A set searches if the signatures allow it a partner that isn't
-    connected with it yet; a few sets spread over the sizes search first, so that
-    large components soon hold together."""
+    A set searches among those that the signatures allow it and that aren't connected with
+    it yet, so many of them at a time, since what it finds connects others; a few sets
+    spread over the sizes search first, so that large components soon hold together."""
     count = len(sets)
     label, links = np.arange(count), []
     order = sorted(range(count), key=lambda k: len(sets[k]))
     sets = [sets[k] for k in order]
     ok = possible(np.array([len(s) for s in sets], np.int64), folded([parity_bits(s) for s in sets]), percent)
-    index: dict[int, list[int]] = {}
-    for k, s in enumerate(sets):
-        for x in s.tolist():
-            index.setdefault(x, []).append(k)
+    elements = [s.tolist() for s in sets]
     hubs = range(0, count, max(1, count // 16))
     for k in dict.fromkeys([*hubs, *range(count)]):
-        wanted = ok[k] & (label != label[k])
-        if not wanted.any():
-            continue
-        n = len(sets[k])
-        for other, overlap in divide_skip(sets[k].tolist(), index, -(-percent * n // 100), wanted):
-            if label[other] != label[k] and overlap >= least_overlap(n, len(sets[other]), percent):
-                label[label == max(label[k], label[other])] = min(label[k], label[other])
-                links.append((order[k], order[other]))
+        own, n = set(elements[k]), len(sets[k])
+        while len(some := np.flatnonzero(ok[k] & (label != label[k]))[:SEARCHED]):
+            ok[k, some] = ok[some, k] = False  # tested now
+            index: dict[int, list[int]] = {}
+            for other in some.tolist():
+                for x in own.intersection(elements[other]):
+                    index.setdefault(x, []).append(other)
+            for other, overlap in divide_skip(elements[k], index, -(-percent * n // 100)):
+                if label[other] != label[k] and overlap >= least_overlap(n, len(sets[other]), percent):
+                    label[label == max(label[k], label[other])] = min(label[k], label[other])
+                    links.append((order[k], order[other]))
     return links
 
 
