@@ -64,7 +64,7 @@ def address_blocked(number: Column) -> Column:
 
 def natural_key(text: Column) -> Column:
     """A key under which runs of digits compare as numbers and the rest without case."""
-    return F.array_join(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1)), lambda t: F.when(t.rlike(r"^\d"), F.lpad(t, 20, "0")).otherwise(t)), "")
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1)), lambda t: F.when(t.rlike(r"^\d"), F.concat(F.lpad(F.length(F.regexp_replace(t, "^0+(?=.)", "")).cast("string"), 6, "0"), F.lit("~"), F.regexp_replace(t, "^0+(?=.)", ""))).otherwise(t)), "")
 
 
 def language_name(code: Column) -> Column:

@@ -26,7 +26,7 @@ def timing_stats(runs: DataFrame) -> DataFrame:
     return got.select("case_id", "n", *[F.round(c, 4).alias(c) for c in got.columns[2:]])
 
 
-def telemetry_summary(runs: DataFrame, metrics: tuple[str, ...] = ("model_calls", "cluster_count")) -> DataFrame:
+def telemetry_summary(runs: DataFrame, metrics: tuple[str, ...] = ("model_calls", "cluster_count", "tile_count", "active_tile_count", "shortcut_count")) -> DataFrame:
     """Least, most, mean and whether it never changes, for each metric of a case."""
     long = runs.select("case_id", F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m))])).alias("metric", "v"))
     return long.groupBy("case_id", "metric").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.round(F.avg("v"), 2).alias("mean"), (F.min("v") == F.max("v")).alias("invariant"))
@@ -37,6 +37,27 @@ def invariant_calls(runs: DataFrame) -> DataFrame:
     return runs.groupBy("case_id").agg(F.sum("model_calls").alias("total"), F.when(same, F.min("model_calls")).alias("per_invocation"))
 
 
+def set_difference(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """case_id, side of the cases that only one of two runs has."""
+    only = lambda a, b, side: a.select("case_id").exceptAll(b.select("case_id")).withColumn("side", F.lit(side))
+    return only(baseline, candidate, "baseline").union(only(candidate, baseline, "candidate"))
+
+
+def quality_gate(pairs: DataFrame) -> DataFrame:
+    """img, status of image pairs (psnr, ssim, mae; base_psnr, base_ssim, base_mae or null) against the
+    floors and the recorded baseline; a pair without a golden image (null psnr) is incompatible."""
+    drop = F.round(F.coalesce("base_psnr", F.lit(100.0)) - F.col("psnr"), 2), F.round(F.coalesce("base_ssim", F.lit(1.0)) - F.col("ssim"), 4), F.round(F.col("mae") - F.coalesce("base_mae", F.lit(0.0)), 4)
+    bad = (F.col("psnr") < 30) | (F.col("ssim") < 0.85) | (F.col("mae") > 5) | (drop[0] > 2) | (drop[1] > 0.05) | (drop[2] > 2)
+    return pairs.select("img", F.when(F.col("psnr").isNull(), "incompatible").when(bad, "regression").otherwise("ok").alias("status"))
+
+
+def tampered(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """name, state of every expected file: ok, changed or missing, by the SHA-256 of its content."""
+    found = files.select("name", F.sha2("content", 256).alias("sha256"))
+    state = F.when(F.col("sha256").isNull(), "missing").when(F.col("sha256") == F.col("expected"), "ok").otherwise("changed")
+    return expected.join(found, "name", "left").select("name", state.alias("state"))
+
+
 def first_of(rules: list[tuple[str, Column]]) -> Column:
     """The name of the first rule whose condition (a violation) holds, else null."""
     return reduce(lambda rest, r: F.when(F.coalesce(r[1], F.lit(False)), r[0]).otherwise(rest), reversed(rules), F.lit(None).cast("string"))

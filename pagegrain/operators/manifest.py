@@ -38,8 +38,32 @@ def three_way(snapshot: DataFrame, server: DataFrame, current: DataFrame, key: s
 
 def fingerprint(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """A digest of the state that a commit must find unchanged."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]
-    return rows.select(key, F.sha2(F.concat_ws("|", *parts), 256).alias("state"))
+    return rows.select(key, F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("state"))
+
+
+def guarded(snapshot: DataFrame, current: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, committed): whether work on a snapshot may be committed, since the state is still the same."""
+    seen = fingerprint(snapshot, key, columns).withColumnRenamed("state", "seen")
+    return seen.join(fingerprint(current, key, columns), key, "left").select(key, F.col("seen").eqNullSafe(F.col("state")).alias("committed"))
+
+
+def write_back(boxes: DataFrame, results: DataFrame) -> DataFrame:
+    """(page_id, box_index, written): whether a box still is where its text was read, and not removed."""
+    corners = ["x1", "y1", "x2", "y2"]
+    read = results.select("page_id", "box_index", *[F.col(c).alias(f"read_{c}") for c in corners])
+    same = ~F.col("removed")
+    for c in corners:
+        same = same & F.col(c).eqNullSafe(F.col(f"read_{c}"))
+    return boxes.join(read, ["page_id", "box_index"]).select("page_id", "box_index", same.alias("written"))
+
+
+def failures(pages: DataFrame) -> DataFrame:
+    """chapter_id, failed, message of each chapter with failed pages (page_index, error or null), for
+    which all or some pages failed, with the first error."""
+    got = pages.groupBy("chapter_id").agg(F.count("*").alias("n"), F.count("error").alias("failed"), F.sort_array(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("page_index", "error")))).alias("e")).where("failed > 0")
+    which = F.array_join(F.transform("e", lambda x: x["page_index"].cast("string")), ", ")
+    text = F.when(F.col("failed") == F.col("n"), F.concat(F.lit("all pages failed, first: "), F.col("e")[0]["error"])).otherwise(F.concat(F.lit("failed: "), which, F.lit("; first: "), F.col("e")[0]["error"]))
+    return got.select("chapter_id", "failed", text.alias("message"))
 
 
 def debounced(edits: DataFrame, key: str, gap_ms: int) -> DataFrame:
@@ -56,11 +80,12 @@ def changes_only(edits: DataFrame, key: str, value: str) -> DataFrame:
     return edits.withColumn("before", F.lag(value).over(w)).where(~F.col(value).eqNullSafe(F.col("before")) | F.col("before").isNull()).select(key, "event_id", value)
 
 
-def stale(edits: DataFrame, key: str, every: int = 5) -> DataFrame:
-    """Optimistic commits: one that read the version before the last is stale."""
+def stale(edits: DataFrame, key: str, began: Column) -> DataFrame:
+    """Optimistic commits: one is stale if the state changed (another edit of its key) after its work began."""
     w = Window.partitionBy(key).orderBy("ts", "event_id")
-    rows = edits.withColumn("version", F.row_number().over(w)).withColumn("read", F.col("version") - 1 - (F.col("event_id") % every == 0).cast("int"))
-    return rows.select(key, "event_id", "version", (F.col("read") < F.col("version") - 1).alias("stale"))
+    last = F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)
+    rows = edits.withColumns({"version": F.row_number().over(w), "last": last, "began": began})
+    return rows.select(key, "event_id", "version", F.coalesce(F.col("last") > F.col("began"), F.lit(False)).alias("stale"))
 
 
 def accumulated(edits: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ def text_rows(px: DataFrame) -> DataFrame:
     return rows.withColumn("is_text", F.col("mean") < limit).select("img", "y", "is_text")
 
 
-def runs(px: DataFrame, least: int = 2) -> DataFrame:
+def runs(px: DataFrame, least: int = 4) -> DataFrame:
     """Gaps and islands: first and last row of each run of at least so many text rows, with
     a padding of half the gap to its neighbours, from 1 to 3."""
     w = Window.partitionBy("img").orderBy("y")
@@ -33,17 +35,17 @@ def runs(px: DataFrame, least: int = 2) -> DataFrame:
     return kept.select("img", "first", "last", F.least(F.lit(3), F.greatest(F.lit(1), top)).cast("int").alias("pad_top"))
 
 
-def safe_rows(px: DataFrame, reach: int = 1, limit: float = 18.0) -> DataFrame:
+def safe_rows(px: DataFrame, reach: int = 12, limit: float = 18.0) -> DataFrame:
     """Rows around which all rows within reach exist and have a small score."""
     w = Window.partitionBy("img").orderBy("y").rowsBetween(-reach, reach)
     scored = row_profile(px)
     return scored.withColumn("ok", (F.count("*").over(w) == 2 * reach + 1) & (F.max("score").over(w) <= limit + 16)).where("ok").select("img", "y", "score")
 
 
-def nearest_cut(px: DataFrame, target: int = 4) -> DataFrame:
+def nearest_cut(px: DataFrame, target: int = 1400, reach: int = 12) -> DataFrame:
     """The safe row nearest to a target; ties by the smaller score, then the first."""
     near = F.struct(F.abs(F.col("y") - target), "score", "y")
-    return safe_rows(px).groupBy("img").agg(F.min_by("y", near).alias("cut"))
+    return safe_rows(px, reach).groupBy("img").agg(F.min_by("y", near).alias("cut"))
 
 
 def fill_class(px: DataFrame, masked: Column | None = None, light: int = 215, dark: int = 35, share: float = 0.7, flat: float = 12.0) -> DataFrame:
@@ -122,12 +124,12 @@ def cut_rows(rows: DataFrame, target: int = 1400, search: int = 180, least: int
         for pdf in batches:
             out = []
             for img, height, safe in zip(pdf["img"], pdf["height"], pdf["safe"], strict=True):
-                at, place = 0, 0
+                at, place, ys = 0, 0, [s["y"] for s in safe]
                 while height - at > target + least:
                     aim, best = at + target, None
                     for reach in (search, search + wider):
                         low, high = max(at + least, aim - reach) + band, min(height - least, aim + reach) - band
-                        best = min(((abs(s["y"] - aim), s["score"], s["y"]) for s in safe if low <= s["y"] < high), default=None)
+                        best = min(((abs(s["y"] - aim), s["score"], s["y"]) for s in safe[bisect_left(ys, low) : bisect_left(ys, max(low, high))]), default=None)
                         if best:
                             break
                     if not best:
@@ -140,6 +142,18 @@ def cut_rows(rows: DataFrame, target: int = 1400, search: int = 180, least: int
     return listed.mapInPandas(cut, "img long, place int, cut long")
 
 
+def grown(px: DataFrame, reach: int) -> DataFrame:
+    """The largest value within reach in both directions, by two passes of windows within an image."""
+    row, column = (Window.partitionBy("img", a).orderBy(b).rangeBetween(-reach, reach) for a, b in (("y", "x"), ("x", "y")))
+    wide = px.withColumn("v", F.max("v").over(row))
+    return wide.select("img", "y", "x", F.max("v").over(column).alias("v"))
+
+
+def painted(px: DataFrame, above: int) -> DataFrame:
+    """Whether an image has any pixel above a value."""
+    return px.groupBy("img").agg(F.bool_or(F.col("v") > above).alias("painted"))
+
+
 def memory_span(samples: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """First, largest and last sample of each key."""
     at = F.struct(*order)

@@ -72,7 +72,8 @@ query("render_invalidation", lambda k, d: manifest.is_rendered(views.page(k, d).
 query("keep_manual", lambda k, d: manifest.keep_manual((b := views.box(k, d)).where("not removed").select("page_id", "box_index"), b.where("removed").withColumn("manual", F.col("box_index") % 2 == 0)), sql("SELECT page_id, box_index FROM box WHERE NOT removed OR box_index % 2 = 0", "box"))
 query("upload_guard", lambda k, d: manifest.accept_uploads(table(k, d, "orders").select(F.col("o_custkey").alias("chapter_id"), F.when(F.col("o_orderkey") % 2 == 0, "f").alias("name"), F.col("o_totalprice").cast("long").alias("size")), 9, 1_500_000), "SELECT chapter_id, CASE WHEN n = 0 THEN 'no file' WHEN n > 9 THEN 'too many files' WHEN b > 1500000 THEN 'too large' END AS refused FROM (SELECT o_custkey AS chapter_id, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS n, sum(CAST(trunc(o_totalprice) AS BIGINT)) AS b FROM orders GROUP BY 1)")
 
-query("ocr_choice", lambda k, d: table(k, d, "documents").select("doc_id", layout.read_choice(F.expr("substring(text, 1, cast(doc_id % 3 as int))"), F.expr("substring(text, 1, cast(doc_id % 2 as int))")).alias("text")), "SELECT doc_id, CASE WHEN length(trim(r)) >= 2 THEN r WHEN length(e) >= length(r) THEN e ELSE r END AS text FROM (SELECT doc_id, coalesce(substring(text, 1, doc_id % 3), '') AS r, coalesce(substring(text, 1, doc_id % 2), '') AS e FROM documents)")
+RAW, READ = ("CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN ' ' WHEN 2 THEN NULL ELSE '.' END", "CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat(text, '!') ELSE '' END")
+query("ocr_choice", lambda k, d: table(k, d, "documents").select("doc_id", layout.read_choice(F.expr(RAW), F.expr(READ)).alias("text")), f"SELECT doc_id, CASE WHEN length(trim(r)) >= 2 THEN r WHEN length(e) >= length(r) THEN e ELSE r END AS text FROM (SELECT doc_id, coalesce({RAW}, '') AS r, coalesce({READ}, '') AS e FROM documents)")
 query("ocr_lines", lambda k, d: table(k, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(F.col("turn").alias("y"), "text", (F.col("turn") % 4 / 4).alias("confidence"))).alias("l")).select("conv_id", layout.joined_lines(F.col("l")).alias("text")), "SELECT c.conv_id, coalesce(t, '') AS text FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, string_agg(trim(text, ' '), chr(10) ORDER BY turn, text) AS t FROM conversations WHERE turn % 4 > 1 AND trim(text, ' ') <> '' GROUP BY 1) x ON c.conv_id = x.conv_id")
 
 

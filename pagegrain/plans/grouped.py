@@ -53,13 +53,13 @@ query("tile_blend", lambda k, d: profile.blend(views.pixel(k, d).withColumn("img
 
 
 def tall_rows(k: SparkSession, d: str) -> DataFrame:
-    """Line items as rows of tall images; some rows hold content."""
+    """Line items of a thousand orders each as rows of a tall image; some rows hold content."""
     order = Window.partitionBy("img").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    item = table(k, d, "lineitem").withColumn("img", F.col("l_orderkey") % 7)
+    item = table(k, d, "lineitem").withColumn("img", F.expr("l_orderkey div 1000"))
     return item.select("img", (F.row_number().over(order) - 1).alias("y"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 61 == 0).alias("unsafe"), F.col("l_quantity").alias("score"))
 
 
-query("cut_rows", lambda k, d: profile.cut_rows(tall_rows(k, d), 140, 18, 50, 80))
+query("cut_rows", lambda k, d: profile.cut_rows(tall_rows(k, d)))
 query("mask_components", lambda k, d: profile.mask_components(views.pixel(k, d)))
 query("source_fallback", lambda k, d: with_fallback((p := table(k, d, "part").select("p_partkey", "p_size")).where("p_size < 0"), p.where("p_size > 40")), "SELECT p_partkey, p_size FROM part WHERE p_size > 40")
 

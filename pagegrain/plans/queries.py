@@ -46,7 +46,6 @@ query("move_clamp", lambda k, d: views.box(k, d).select("page_id", "box_index",
 query("branch_union", lambda k, d: (b := views.box(k, d)).where("kind = 'bubble'").select("page_id", "box_index").unionByName(b.where("kind = 'text' and not removed").select("page_id", "box_index")), sql("SELECT page_id, box_index FROM box WHERE kind = 'bubble' UNION ALL SELECT page_id, box_index FROM box WHERE kind = 'text' AND NOT removed", "box"))
 
 query("bench_timing_stats", lambda k, d: bench.timing_stats(views.invocation(k, d)), sql("SELECT case_id, count(*) AS n, round(avg(latency_ms), 4) AS mean_ms, round(quantile_cont(latency_ms, 0.5), 4) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms, round(min(latency_ms), 4) AS min_ms, round(max(latency_ms), 4) AS max_ms, round(stddev_pop(latency_ms), 4) AS stddev_ms FROM invocation GROUP BY case_id", "invocation"))
-query("telemetry_summary", lambda k, d: bench.telemetry_summary(views.invocation(k, d)), sql("SELECT case_id, metric, min(v) AS least, max(v) AS most, round(avg(v), 2) AS mean, min(v) = max(v) AS invariant FROM (SELECT case_id, 'model_calls' AS metric, model_calls AS v FROM invocation UNION ALL SELECT case_id, 'cluster_count', cluster_count FROM invocation) GROUP BY case_id, metric", "invocation"))
 query("invariant_calls", lambda k, d: bench.invariant_calls(views.invocation(k, d)), sql("SELECT case_id, CAST(sum(model_calls) AS BIGINT) AS total, CASE WHEN min(model_calls) = max(model_calls) THEN min(model_calls) END AS per_invocation FROM invocation GROUP BY case_id", "invocation"))
 query("duplicate_ids", lambda k, d: bench.duplicates(views.invocation(k, d), "user_id"), sql("SELECT user_id, count(*) AS n FROM invocation GROUP BY user_id HAVING count(*) > 1", "invocation"))
 
@@ -61,17 +60,16 @@ query("bench_compare", lambda k, d: bench.compare(_half(k, d, 0), _half(k, d, 1)
 both_sides AS (SELECT coalesce(a.case_id, b.case_id) AS case_id, a.p AS ap, b.p AS bp, coalesce(b.c - a.c > 0, round(b.m - a.m, 2) > 0) AS more, round(CAST(round(CAST(b.p - a.p AS DECIMAL(18, 6)), 2) AS DOUBLE) / greatest(0.0001, a.p) * 100, 2) AS p50_change
 FROM (SELECT * FROM half WHERE o = 0) a FULL JOIN (SELECT * FROM half WHERE o = 1) b ON a.case_id = b.case_id)
 SELECT case_id, CASE WHEN ap IS NULL OR bp IS NULL THEN 'incompatible' WHEN p50_change > 5 OR more THEN 'regression' ELSE 'ok' END AS status, p50_change FROM both_sides""", "invocation"))
-query("case_set_diff", lambda k, d: _half(k, d, 0).select("case_id").exceptAll(_half(k, d, 1).select("case_id")), sql("SELECT case_id FROM invocation WHERE (event_id // 2) % 2 = 0 GROUP BY 1 EXCEPT SELECT case_id FROM invocation WHERE (event_id // 2) % 2 = 1 AND NOT (case_id LIKE 'click%' AND user_id % 20 < 3)", "invocation"))
 
 MEANS = "mean AS (SELECT img, y, avg(v) AS m FROM px GROUP BY 1, 2), flagged AS (SELECT img, y, m < quantile_cont(m, 0.9) OVER (PARTITION BY img) - 2 AS is_text FROM mean)"
 SCORE = "score AS (SELECT img, y, round(stddev_pop(v) + 2 * count(*) FILTER (WHERE abs(255 - v) > 18 AND abs(v) > 18), 4) AS score FROM px GROUP BY 1, 2)"
 SAFE = f"{SCORE}, safe AS (SELECT * FROM (SELECT img, y, score, count(*) OVER w = 3 AND max(score) OVER w <= 34 AS ok FROM score WINDOW w AS (PARTITION BY img ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) WHERE ok)"
 query("row_profile", lambda k, d: profile.row_profile(views.pixel(k, d)), sql(f"+ {SCORE} SELECT img, y, score FROM score", "px"))
 query("row_text_flag", lambda k, d: profile.text_rows(views.pixel(k, d)), sql(f"+ {MEANS} SELECT img, y, is_text FROM flagged", "px"))
-query("text_runs", lambda k, d: profile.runs(views.pixel(k, d)), sql(f"""+ {MEANS}, island AS (SELECT img, min(y) AS first, max(y) AS last FROM (SELECT img, y, y - row_number() OVER (PARTITION BY img ORDER BY y) AS g FROM flagged WHERE is_text) GROUP BY img, g HAVING max(y) - min(y) + 1 >= 2)
+query("text_runs", lambda k, d: profile.runs(views.pixel(k, d), 2), sql(f"""+ {MEANS}, island AS (SELECT img, min(y) AS first, max(y) AS last FROM (SELECT img, y, y - row_number() OVER (PARTITION BY img ORDER BY y) AS g FROM flagged WHERE is_text) GROUP BY img, g HAVING max(y) - min(y) + 1 >= 2)
 SELECT img, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, CAST(least(3, greatest(1, (first - coalesce(lag(last) OVER (PARTITION BY img ORDER BY first) + 1, 0)) // 2)) AS INTEGER) AS pad_top FROM island""", "px"))
-query("safe_band", lambda k, d: profile.safe_rows(views.pixel(k, d)), sql(f"+ {SAFE} SELECT img, y, score FROM safe", "px"))
-query("nearest_cut", lambda k, d: profile.nearest_cut(views.pixel(k, d)), sql(f"+ {SAFE} SELECT img, arg_min(y, (abs(y - 4), score, y)) AS cut FROM safe GROUP BY img", "px"))
+query("safe_band", lambda k, d: profile.safe_rows(views.pixel(k, d), 1), sql(f"+ {SAFE} SELECT img, y, score FROM safe", "px"))
+query("nearest_cut", lambda k, d: profile.nearest_cut(views.pixel(k, d), 4, 1), sql(f"+ {SAFE} SELECT img, arg_min(y, (abs(y - 4), score, y)) AS cut FROM safe GROUP BY img", "px"))
 query("fill_class", lambda k, d: profile.fill_class(views.pixel(k, d).withColumn("v", F.greatest(F.lit(0), F.least(F.lit(255), F.col("v") + (F.col("img") % 3 - 1) * 150))), F.col("x").isin(3, 4) & F.col("y").isin(3, 4)), sql("""+ q AS (SELECT img, greatest(0, least(255, v + (img % 3 - 1) * 150)) AS v FROM px WHERE NOT (x IN (3, 4) AND y IN (3, 4))),
 m AS (SELECT img, avg(CAST(v > 215 AS INTEGER)) AS l, avg(CAST(v < 35 AS INTEGER)) AS k, stddev_pop(v) AS s, quantile_cont(v, 0.5) FILTER (WHERE v > 215) AS ml, quantile_cont(v, 0.5) FILTER (WHERE v < 35) AS mk, quantile_cont(v, 0.5) AS ma FROM q GROUP BY img)
 SELECT img, CASE WHEN l >= 0.7 THEN 'white' WHEN k >= 0.7 THEN 'black' WHEN s < 12 THEN 'low_std' ELSE 'model' END AS fill, CAST(floor(CASE WHEN l >= 0.7 THEN ml WHEN k >= 0.7 THEN mk WHEN s < 12 THEN ma END) AS INTEGER) AS value FROM m""", "px"))
@@ -94,11 +92,9 @@ query("slice_label", lambda k, d: manifest.slice_labels(views.page(k, d)), sql("
 query("recent_chapters", lambda k, d: views.page(k, d).groupBy("chapter_id").agg(F.max("page_id").alias("updated")).orderBy(F.desc("updated")), sql("SELECT chapter_id, max(page_id) AS updated FROM page GROUP BY chapter_id ORDER BY 2 DESC", "page"))
 query("draft_upsert", lambda k, d: manifest.overlay(views.page(k, d).select("page_id", "price"), views.page(k, d).where("page_id % 3 = 0").select((F.col("page_id") + 1).alias("page_id"), (-F.col("price")).alias("price")), ["page_id"], "price"), sql("SELECT page_id, coalesce(e.price, p.price) AS price FROM page p FULL JOIN (SELECT page_id + 1 AS page_id, -price AS price FROM page WHERE page_id % 3 = 0) e USING (page_id)", "page"))
 query("three_way_merge", lambda k, d: manifest.three_way(*[(p := views.page(k, d)).select("page_id", F.when(F.col("page_id") % m == 0, F.lit(x)).otherwise(F.col("price")).alias("price")) for m, x in ((1 << 40, 0), (2, -1), (3, -2))], "page_id", "price"), sql("SELECT page_id, CASE WHEN page_id % 3 = 0 AND price <> -2 THEN -2 WHEN page_id % 2 = 0 THEN -1 ELSE price END AS price FROM page", "page"))
-query("state_fingerprint", lambda k, d: manifest.fingerprint(views.page(k, d), "page_id", ["chapter_id", "page_index", "skipped", "price"]), sql("SELECT page_id, sha256(chapter_id || '|' || page_index || '|' || CAST(skipped AS VARCHAR) || '|' || price) AS state FROM page", "page"))
 query("debounce_text", lambda k, d: manifest.debounced(table(k, d, "events"), "user_id", 3_600_000), """WITH e AS (SELECT *, coalesce(CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 3600000000 AS INTEGER), 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM e) SELECT user_id, CAST(burst AS BIGINT) AS burst, arg_max(value, (ts, event_id)) AS value, count(*) AS n FROM b GROUP BY 1, 2""")
 query("checkpoint_dedupe", lambda k, d: manifest.changes_only(table(k, d, "events"), "user_id", "event_type"), "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR event_type IS DISTINCT FROM before")
-query("stale_commits", lambda k, d: manifest.stale(table(k, d, "events"), "user_id"), "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS version, event_id % 5 = 0 AS stale FROM events")
 query("mask_accumulate", lambda k, d: manifest.accumulated(table(k, d, "events"), "user_id"), "WITH e AS (SELECT *, sum(CAST(event_id % 10 = 0 AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch FROM events) SELECT user_id, event_id, max(value) OVER (PARTITION BY user_id, epoch ORDER BY ts, event_id) AS mask FROM e")
 
 HREF = "WITH l AS (SELECT page_id, unnest(h) AS link, unnest(range(len(h))) AS place FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS h FROM pages)) "
@@ -106,15 +102,12 @@ query("html_links", lambda k, d: link_source.links(table(k, d, "pages")), HREF +
 query("url_dedupe", lambda k, d: link_source.first_of_each(link_source.links(table(k, d, "pages")), "page_id", "link", "place"), HREF + "SELECT page_id, CAST(min(place) AS INTEGER) AS place, link FROM l GROUP BY page_id, link")
 query("ext_guess", lambda k, d: table(k, d, "pages").select("page_id", s.extension(F.col("url")).alias("ext")), "SELECT page_id, CASE WHEN u LIKE '%.jpg' THEN '.jpg' WHEN u LIKE '%.jpeg' THEN '.jpeg' WHEN u LIKE '%.png' THEN '.png' WHEN u LIKE '%.webp' THEN '.webp' ELSE '.jpg' END AS ext FROM (SELECT page_id, lower(regexp_extract(url, '^[^?#]*')) AS u FROM pages)")
 query("lang_alias", lambda k, d: table(k, d, "documents").select("doc_id", s.language_name(F.col("lang")).alias("name")), "SELECT doc_id, CASE lower(lang) WHEN 'ko' THEN 'korean' WHEN 'korean' THEN 'korean' WHEN 'zh' THEN 'ch' WHEN 'ch' THEN 'ch' WHEN 'en' THEN 'en' WHEN 'ja' THEN 'japan' WHEN 'japan' THEN 'japan' ELSE lang END AS name FROM documents")
-query("hex_color", lambda k, d: views.page(k, d).select("page_id", (c := s.hex_colour(F.concat(F.lit("#"), F.lpad(F.lower(F.hex("price")), 6, "0")), "#000000")).alias("colour"), s.luminance(c).alias("luminance")), sql("SELECT page_id, '#' || c AS colour, (299 * CAST('0x' || c[1:2] AS BIGINT) + 587 * CAST('0x' || c[3:4] AS BIGINT) + 114 * CAST('0x' || c[5:6] AS BIGINT)) / 1000 AS luminance FROM (SELECT page_id, lpad(to_hex(price), 6, '0') AS c FROM page)", "page"))
 query("worker_clamp", lambda k, d: views.page(k, d).select("page_id", s.clamp(F.nullif(F.col("page_index"), F.lit(0)), 1, 8, 2).alias("workers")), sql("SELECT page_id, greatest(1, least(8, coalesce(nullif(page_index, 0), 2))) AS workers FROM page", "page"))
 query("page_number_parse", lambda k, d: views.page(k, d).select("page_id", s.page_number(F.concat(F.when(F.col("price") % 5 == 0, "x").otherwise(""), F.col("page_index").cast("string")), F.lit(9)).alias("number")), sql("SELECT page_id, CAST(CASE WHEN price % 5 <> 0 AND page_index BETWEEN 1 AND 9 THEN page_index - 1 END AS BIGINT) AS number FROM page", "page"))
-query("natural_sort", lambda k, d: table(k, d, "part").select("p_partkey", s.natural_key(F.concat(F.lit("Page"), F.col("p_partkey").cast("string"), F.lit(".png"))).alias("key")), "SELECT p_partkey, 'page' || lpad(CAST(p_partkey AS VARCHAR), 20, '0') || '.png' AS key FROM part")
 query("ssrf_ipv4", lambda k, d: views.page(k, d).select("page_id", s.address_blocked(s.ipv4(F.concat_ws(".", F.col("price") % 256, F.col("page_id") % 300, F.col("chapter_id") % 256, F.lit(1)))).alias("blocked")), sql("""SELECT page_id, CASE WHEN b <= 255 THEN a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND (b = 168 OR (b = 0 AND c IN (0, 2)))) OR (a = 198 AND (b IN (18, 19) OR (b = 51 AND c = 100))) OR (a = 203 AND b = 0 AND c = 113) END AS blocked
 FROM (SELECT page_id, price % 256 AS a, page_id % 300 AS b, chapter_id % 256 AS c FROM page)""", "page"))
 query("ocr_join", lambda k, d: table(k, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.trim("text").alias("t"), "role"))), lambda r: r["t"]), "\n").alias("text")), "SELECT conv_id, string_agg(trim(text), chr(10) ORDER BY turn, trim(text), role) AS text FROM conversations GROUP BY conv_id")
 query("letterbox", lambda k, d: views.box(k, d).select("page_id", "box_index", *[c.alias(n) for n, c in zip(("scale", "pad_x", "pad_y"), g.letterbox(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), strict=True)]), sql("SELECT page_id, box_index, sc AS scale, CAST(floor((1024 - round(w * sc)) / 2) AS BIGINT) AS pad_x, CAST(floor((1024 - round(h * sc)) / 2) AS BIGINT) AS pad_y FROM (SELECT *, least(1024 / w, 1024 / h) AS sc FROM (SELECT page_id, box_index, x2 - x1 AS w, y2 - y1 AS h FROM box))", "box"))
 query("line_height", lambda k, d: views.box(k, d).select("page_id", "box_index", s.line_height(F.col("x1") % 40, F.col("y1") % 20, F.lit(2)).alias("line_height")), sql("SELECT page_id, box_index, CAST(floor(greatest(x1 % 40 + y1 % 20, 8) * 1.18::DOUBLE) AS BIGINT) + 4 AS line_height FROM box", "box"))
-query("missing_models", lambda k, d: table(k, d, "part").select("p_partkey").join(table(k, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti"), "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
 
-from . import checks, editing, grouped  # noqa: E402, F401  (they enter their queries)
+from . import checks, editing, grouped, screen  # noqa: E402, F401  (they enter their queries)

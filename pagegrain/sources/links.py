@@ -13,6 +13,21 @@ def links(pages: DataFrame, attribute: str = "href") -> DataFrame:
     return pages.select("page_id", F.posexplode(found).alias("place", "link"))
 
 
+def images(pages: DataFrame) -> DataFrame:
+    """(page_id, place, link) of each img element: its data-src, else its src, in any quotes or none;
+    links without http or https go, places are those among all img elements.  Comments
+    and scripts hold no elements; nothing is deduplicated."""
+
+    def value(tag, name):
+        form = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+        return F.nullif(F.trim(F.concat(*[F.regexp_extract(tag, form, k) for k in (1, 2, 3)])), F.lit(""))
+
+    html = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script>", "")
+    found = pages.select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))).alias("place", "tag"))
+    found = found.select("page_id", "place", F.coalesce(value(F.col("tag"), "data-src"), value(F.col("tag"), "src")).alias("link"))
+    return found.where(F.col("link").rlike("(?i)^https?://"))
+
+
 def first_of_each(rows: DataFrame, key: str, value: str, place: str) -> DataFrame:
     """Ordered dedupe: the first row of each value within a key."""
     r = F.row_number().over(Window.partitionBy(key, value).orderBy(place))

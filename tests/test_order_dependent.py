@@ -175,7 +175,9 @@ def test_cut_rows(spark):
     for r in grouped.tall_rows(spark, SF).orderBy("img", "y").collect():
         rows.setdefault(r.img, []).append((r.y, r.unsafe, r.score))
     want = {(img, i, y) for img, held in rows.items() for i, y in enumerate(naive_cuts(held, 140, 18, 50, 80, 12))}
-    assert {tuple(r) for r in QUERIES["cut_rows"](spark, SF).collect()} == want
+    assert {tuple(r) for r in profile.cut_rows(grouped.tall_rows(spark, SF), 140, 18, 50, 80).collect()} == want and len(want) > 20
+    want = {(img, i, y) for img, held in rows.items() for i, y in enumerate(naive_cuts(held, 1400, 180, 500, 800, 12))}
+    assert {tuple(r) for r in QUERIES["cut_rows"](spark, SF).collect()} == want and want
     low = spark.createDataFrame([(1, y, False, 0.0) for y in range(50)], "img long, y int, unsafe boolean, score double")
     assert profile.cut_rows(low).count() == 0
 
@@ -270,3 +272,40 @@ def test_compare_notes_other_workloads_and_images(spark):
 def test_empty_tables(spark):
     none = views.box(spark, SF).where("false")
     assert grouping.detect(none, 400, 600).count() == grouping.capacity_clusters(none).count() == grouping.line_groups(none).count() == 0
+
+
+def test_chapters_round_trip(spark, tmp_path):
+    import json
+
+    from pagegrain.sources import chapters
+
+    page = {"original": "a.png", "boxes": [{"x1": 1, "y1": 2, "x2": 3, "y2": 4, "confidence": 1.0, "mask": None}]}
+    rows = [("0a1b2c3d", json.dumps({"chapter_id": "0a1b2c3d", "source_url": "u", "pages": [page, page]})), ("ffffffff", '{"pages": ['), ("00000000", '{"pages": []}'), ("11111111", None)]
+    written = spark.createDataFrame(rows, "chapter_id string, manifest string")
+    chapters.write_all(written, str(tmp_path))
+    chapters.write_all(written.where("chapter_id = '0a1b2c3d'"), str(tmp_path))
+    assert sorted(p.name for p in (tmp_path / "0a1b2c3d").iterdir() if not p.name.endswith(".crc")) == ["manifest.json"]
+    found = chapters.summaries(chapters.scan(spark, str(tmp_path))).drop("updated").collect()
+    assert [tuple(r) for r in found] == [("0a1b2c3d", "u", 2, "preview", 0)]
+    one = chapters.read_one(spark, str(tmp_path), "0a1b2c3d").first()
+    assert one.pages[1].boxes[0].x2 == 3 and one.workflow is None
+    with pytest.raises(ValueError):
+        chapters.read_one(spark, str(tmp_path), "../../etc")
+    with pytest.raises(ValueError):
+        chapters.write_all(written.withColumn("chapter_id", F.lit("x")), str(tmp_path))
+
+
+def test_digest_tells_states_apart(spark):
+    from pagegrain.operators import manifest
+
+    rows = [(1, "a|b", "c"), (2, "a", "b|c"), (3, None, "c"), (4, "~", "c"), (5, "null", "c")]
+    states = manifest.fingerprint(spark.createDataFrame(rows, "id int, a string, b string"), "id", ["a", "b"]).collect()
+    assert len({r.state for r in states}) == 5
+
+
+def test_natural_order(spark):
+    from pagegrain.functions import scalars
+
+    names = ["x2", "x10", "X1", "x007", "10", "9", "x" + "9" * 30, "x1" + "0" * 30]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(scalars.natural_key(F.col("n"))).collect()]
+    assert got == ["9", "10", "X1", "x2", "x007", "x10", "x" + "9" * 30, "x1" + "0" * 30]
