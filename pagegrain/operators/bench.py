@@ -192,3 +192,10 @@ def quality_regression(psnr: Column, ssim: Column, mae: Column, base: tuple[floa
 
 def duplicates(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def golden_pairs(cases: DataFrame, baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(case_id, state) of each case's pair of images, given as (case_id, digest) by run; a missing baseline is told first."""
+    both = cases.join(baseline.select("case_id", F.col("digest").alias("b")), "case_id", "left").join(candidate.select("case_id", F.col("digest").alias("c")), "case_id", "left")
+    state = F.when(F.col("b").isNull(), "missing baseline").when(F.col("c").isNull(), "missing candidate").when(F.col("b") == F.col("c"), "identical").otherwise("differs")
+    return both.select("case_id", state.alias("state"))

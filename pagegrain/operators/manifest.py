@@ -205,3 +205,17 @@ def accept_uploads(files: DataFrame, most: int = 300, total: int = 500 << 20) ->
     """(chapter_id, refused): the request guard: at least one file, not too many, not too large together."""
     got = files.groupBy("chapter_id").agg(F.count("name").alias("n"), F.sum("size").alias("bytes"))
     return got.select("chapter_id", F.when(F.col("n") == 0, "no file").when(F.col("n") > most, "too many files").when(F.col("bytes") > total, "too large").alias("refused"))
+
+
+def geometry_saves(edits: DataFrame, key: str, at: str, order: str, wait: int = 300, reply: Column | int = 0) -> DataFrame:
+    """The saves of a debounced geometry: (key, order, generation, aborted, cleared).
+
+    A save is sent once no edit has come for `wait` after an edit, and answered `reply` later.  It is
+    aborted if the next save is sent before that, and clears the object's dirty mark only if no
+    edit came since, that is, if its generation (number of edits so far) is still the last."""
+    w = Window.partitionBy(key).orderBy(at, order)
+    seen = edits.withColumns({"generation": F.row_number().over(w), "following": F.lead(at).over(w), "answered": F.col(at) + wait + reply})
+    sent = seen.where(F.col("following").isNull() | (F.col("following") - F.col(at) > wait))
+    later = F.lead(at).over(w) + wait
+    aborted = F.coalesce(later < F.col("answered"), F.lit(False))
+    return sent.withColumn("aborted", aborted).select(key, order, "generation", "aborted", (~F.col("aborted") & (F.col("following").isNull() | (F.col("following") > F.col("answered")))).alias("cleared"))
