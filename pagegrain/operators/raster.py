@@ -1,7 +1,7 @@
 """Masks of pages from boxes' masks, and slices of tall images.
 
 A mask is kept by rows, (page_id, y, row), row being an array of the page's width; rows that
-are absent hold nothing.  A page's rows are spread over tasks, no page must fit in one.
+are absent hold nothing.  A page's rows are spread over tasks but for windows over a page, which spill.
 """
 
 from __future__ import annotations
@@ -26,15 +26,15 @@ def square(size: int) -> dict[int, int]:
     return dict.fromkeys(range(-r, r + 1), r)
 
 
-def _merged(rows: DataFrame) -> DataFrame:
-    """Rows of one page and place as their largest values."""
-    listed = rows.groupBy("page_id", "y").agg(F.collect_list("row").alias("rows"))
-    merged = F.aggregate("rows", F.array_repeat(F.lit(0), F.size(F.col("rows")[0])), lambda a, r: F.zip_with(a, r, lambda p, q: F.greatest(p, q)))
-    return listed.select("page_id", "y", merged.alias("row"))
+def _merged(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Arrays of equal length that share their keys, as their largest values; null where there is none."""
+    listed = rows.groupBy(*keys).agg(*(F.collect_list(n).alias(n) for n in names))
+    largest = lambda n: F.aggregate(n, F.array_repeat(F.lit(0), F.size(F.get(n, F.lit(0)))), lambda a, r: F.zip_with(a, r, lambda p, q: F.greatest(p, q)))
+    return listed.select(*keys, *(F.when(F.size(n) > 0, largest(n)).alias(n) for n in names))
 
 
 def pasted(boxes: DataFrame, margin: int = 8) -> DataFrame:
-    """Boxes (page_id, width, height of the page, x1, y1, x2, y2, mask) as rows of their pages' masks.
+    """Boxes (page_id, width, height of the page, x1, y1, x2, y2, mask) as rows (page_id, height, y, row) of their pages' masks.
 
     Where boxes overlap the largest value counts.  A mask of another size than its box is
     stretched to it by nearest pixels; a box without one is a filled rectangle, wider by margin
@@ -51,46 +51,49 @@ def pasted(boxes: DataFrame, margin: int = 8) -> DataFrame:
 
     source = lambda y: F.when(F.col("own"), F.get("mask", nearest(y, "y1", "y2", F.size("mask"))))
     lines = F.transform(F.sequence("top", F.col("bottom") - 1), lambda y: F.struct(y.alias("y"), source(y).alias("line")))
-    b = b.select("page_id", "width", "x1", "x2", "left", "right", "own", F.explode(lines).alias("l")).select("*", "l.y", "l.line")
+    b = b.select("page_id", "width", "height", "x1", "x2", "left", "right", "own", F.explode(lines).alias("l")).select("*", "l.y", "l.line")
     value = lambda x: F.when(F.col("own"), F.get("line", nearest(x, "x1", "x2", F.size("line")))).otherwise(255).cast("int")
     middle = F.transform(F.sequence("left", F.col("right") - 1), value)
     row = F.concat(F.array_repeat(F.lit(0), F.col("left")), middle, F.array_repeat(F.lit(0), (F.col("width") - F.col("right")).cast("int")))
-    return _merged(b.select("page_id", "y", row.alias("row")))
+    return _merged(b.select("page_id", "height", "y", row.alias("row")), ["page_id", "height", "y"], ["row"])
 
 
-def dilated(rows: DataFrame, reach: dict[int, int], heights: DataFrame) -> DataFrame:
-    """Each pixel as the largest around it; reach: how far sideways for each row above and below.
-    heights: page_id, height."""
-    x = F.sequence(F.lit(0), F.size("row") - 1)
+def dilated(rows: DataFrame, keys: list[str], shapes: dict[str, tuple[str, dict[int, int]]], when: Column | None = None) -> DataFrame:
+    """Several dilations of rows (keys with height, y, arrays) by one shuffle: name -> array and how far sideways
+    it reaches for each row above and below.  Rows for which `when` doesn't hold stay as they are."""
+    when = F.lit(True) if when is None else when
+    x = lambda source: F.sequence(F.lit(0), F.size(source) - 1)
 
-    def wide(r: int) -> Column:
-        return F.transform(x, lambda i: F.array_max(F.slice("row", F.greatest(F.lit(1), i + 1 - r), F.least(i, F.lit(r)) + r + 1)))
+    def wide(source: str, r: int) -> Column:
+        return F.transform(x(source), lambda i: F.array_max(F.slice(source, F.greatest(F.lit(1), i + 1 - r), F.least(i, F.lit(r)) + r + 1))) if r else F.col(source)
 
-    spread = F.array(*(F.struct((F.col("y") + dy).alias("y"), F.lit(r).alias("r")) for dy, r in reach.items()))
-    by_width = F.create_map(*(p for r in sorted(set(reach.values())) for p in (F.lit(r), wide(r))))
-    moved = rows.select("page_id", by_width.alias("wide"), spread.alias("spread")).select("page_id", "wide", F.explode("spread").alias("s"))
-    moved = moved.select("page_id", F.col("s.y").alias("y"), F.element_at("wide", F.col("s.r")).alias("row")).where("y >= 0")
-    return _merged(moved.join(heights, "page_id").where("y < height").drop("height"))
+    needed = sorted({(source, r) for source, reach in shapes.values() for r in (0, *reach.values())})
+    widened = F.create_map(*(p for source, r in needed for p in (F.lit(f"{source} {r}"), F.when(when | F.lit(r == 0), wide(source, r)))))
 
+    def step(dy: int) -> Column:
+        names = (F.when(when, F.lit(f"{source} {reach[dy]}") if dy in reach else F.lit(None)).when(F.lit(dy == 0), f"{source} 0").alias(name) for name, (source, reach) in shapes.items())
+        return F.when(when | F.lit(dy == 0), F.struct((F.col("y") + dy).alias("y"), *names))
 
-def page_masks(boxes: DataFrame, gray: DataFrame, usual: int = 7, large: int = 9, busy: float = 18.0) -> tuple[DataFrame, DataFrame]:
-    """(page_id, y, row) of each page's dilated mask, and the pages that took the large ellipse.
+    steps = F.array_compact(F.array(*(step(dy) for dy in sorted({dy for _, reach in shapes.values() for dy in reach}))))
+    moved = rows.select(*keys, widened.alias("widened"), F.explode(steps).alias("s")).where("s.y >= 0 and s.y < height")
+    return _merged(moved.select(*keys, F.col("s.y").alias("y"), *(F.element_at("widened", F.col(f"s.{n}")).alias(n) for n in shapes)), [*keys, "y"], list(shapes))
+
+
+def page_masks(boxes: DataFrame, gray: DataFrame, usual: int = 7, large: int = 9, busy: float = 18.0) -> DataFrame:
+    """(page_id, y, row, wide) of each page's dilated mask; wide: whether the page took the large ellipse.
 
     gray: (page_id, y, gray), an array for each row of a page.  The mask of pasted boxes grows by
     the usual ellipse, or by the large one if the pixels around the grown mask deviate by more than
     busy.  A mask with no value above 127 stays as it is."""
-    heights = boxes.groupBy("page_id").agg(F.max("height").alias("height"))
-    mask = pasted(boxes).withColumn("live", F.max(F.array_max("row")).over(Window.partitionBy("page_id")) > LIVE)
-    live, still = mask.where("live").drop("live"), mask.where("not live").drop("live")
-    grown = dilated(live, ellipse(usual), heights)
-    around = dilated(grown, square(3), heights).withColumnRenamed("row", "outer").join(grown, ["page_id", "y"], "left").join(gray, ["page_id", "y"])
-    inner = lambda i: F.coalesce(F.get("row", i), F.lit(0))
-    ring = F.filter("gray", lambda _, i: (F.get("outer", i) > LIVE) & (inner(i) <= LIVE))
-    total = lambda square_: F.aggregate("ring", F.lit(0).cast("long"), lambda a, v: a + (v * v if square_ else v))
-    sums = around.select("page_id", ring.alias("ring")).groupBy("page_id").agg(F.sum(F.size("ring")).alias("n"), F.sum(total(False)).alias("s"), F.sum(total(True)).alias("q"))
-    wider = sums.where(F.col("n") * F.col("q") - F.col("s") * F.col("s") > busy**2 * F.col("n") * F.col("n")).select("page_id")
-    more = dilated(live.join(wider, "page_id", "left_semi"), ellipse(large), heights)
-    return grown.join(wider, "page_id", "left_anti").unionByName(more).unionByName(still), wider
+    page, keys = Window.partitionBy("page_id"), ["page_id", "height", "live"]
+    mask = pasted(boxes).withColumn("live", F.max(F.array_max("row")).over(page) > LIVE)
+    grown = dilated(mask, keys, {"usual": ("row", ellipse(usual)), "large": ("row", ellipse(large))}, F.col("live"))
+    around = dilated(grown, keys, {"usual": ("usual", {0: 0}), "large": ("large", {0: 0}), "outer": ("usual", square(3))}).join(gray, ["page_id", "y"], "left")
+    ring = F.when(F.col("live"), F.filter("gray", lambda _, i: (F.get("outer", i) > LIVE) & (F.coalesce(F.get("usual", i), F.lit(0)) <= LIVE)))
+    total = lambda power: F.sum(F.aggregate("ring", F.lit(0).cast("long"), lambda a, v: a + v * v if power == 2 else a + (v if power else 1))).over(page)
+    sums = around.withColumn("ring", ring).withColumns({"n": total(0), "s": total(1), "q": total(2)})
+    wide = F.coalesce(F.col("n") * F.col("q") - F.col("s") * F.col("s") > busy**2 * F.col("n") * F.col("n"), F.lit(False))
+    return sums.select("page_id", "y", F.when(wide, F.col("large")).otherwise(F.col("usual")).alias("row"), wide.alias("wide")).where("row is not null")
 
 
 def slices(images: DataFrame, cuts: DataFrame, prefix: Column, suffix: Column) -> DataFrame:

@@ -33,11 +33,9 @@ def _boxes(k: SparkSession, d: str) -> DataFrame:
 
 
 def page_mask(k: SparkSession, d: str) -> DataFrame:
-    mask, wider = raster.page_masks(_boxes(k, d), _gray(k, d))
     place = F.zip_with("row", F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda v, x: v * (C("y") * SIDE + x)).cast("array<long>")
     total = lambda a: F.sum(F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v))
-    got = mask.groupBy("page_id").agg(F.sum(F.size(F.filter("row", lambda v: v > 127))).alias("pixels"), total("row").alias("total"), total(place).alias("placed"))
-    return got.join(wider.withColumn("wide", F.lit(True)), "page_id", "left").select("page_id", "pixels", "total", "placed", F.coalesce("wide", F.lit(False)).alias("wide"))
+    return raster.page_masks(_boxes(k, d), _gray(k, d)).groupBy("page_id", "wide").agg(F.sum(F.size(F.filter("row", lambda v: v > 127))).alias("pixels"), total("row").alias("total"), total(place).alias("placed"))
 
 
 def _grown(source: str, kernel: str) -> str:
