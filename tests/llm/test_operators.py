@@ -293,6 +293,49 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.where("false")).count() == 0
 
 
+def edits(p, t):
+    """Smallest distance of p to a substring of t, by the whole matrix."""
+    row = np.zeros(len(t) + 1, dtype=int)
+    for i, x in enumerate(p, 1):
+        step = np.minimum(row[1:] + 1, row[:-1] + np.array([x != y for y in t]))
+        row = np.concatenate([[i], step])
+        row = np.minimum.accumulate(row - np.arange(len(row))) + np.arange(len(row))
+    return int(row.min())
+
+
+def test_decontaminate_against_the_whole_matrix(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcde", k=rng.randint(2, 8))) for _ in range(40)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice((3, 12, 20))))) for i in range(6)]
+    items.append((9, items[0][1]))  # two items with one text
+
+    def edited(text, n):
+        for _ in range(n):
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(("", "x", text[at] + "y")) + text[at + 1 :]
+        return text
+
+    texts = []
+    for i in range(24):
+        held = edited(items[i % 6][1], i % 5 * 2)
+        texts.append((i, f"{' '.join(rng.choices(words, k=15))}, {held.upper() if i % 2 else held}; {' '.join(rng.choices(words, k=15))}"))
+    texts += [(50, texts[0][1]), (50, texts[0][1]), (51, "é. " * 60_000 + items[2][1] + " é" * 60_000), (52, items[1][1][:20])]
+    want = []
+    for i, text in texts:
+        for item_id, item in items:
+            p, t = decontaminate.normal(item), decontaminate.normal(text)
+            t = t if i != 51 else t[len(t) // 2 - 2000 : len(t) // 2 + 2000]
+            if (d := edits(p, t)) <= int(len(p) * decontaminate.RATE):
+                want.append((i, item_id, d, len(p)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    some = docs_of(spark, [(i, t, "en") for i, t in texts]).repartition(3)
+    got = sorted((r.doc_id, r.item_id, r.distance, r.n_chars) for r in decontaminate.leaks(some, bench).collect())
+    assert got == sorted(want)
+    assert len({d for _, _, d, _ in got}) >= 4 and 51 in {r[0] for r in got}  # exact and edited copies occur, and the long text's
+    hit = {r[0] for r in want}
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(some, bench).collect()) == sorted(i for i, _ in texts if i not in hit)
+
+
 def test_multi_index(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
@@ -531,3 +574,12 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
             docs = out
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns[0] == "doc_id" and out.count() == 0
