@@ -39,7 +39,7 @@ def pasted(boxes: DataFrame, margin: int = 8) -> DataFrame:
     Where boxes overlap the largest value counts.  A mask of another size than its box is
     stretched to it by nearest pixels; a box without one is a filled rectangle, wider by margin
     and with its ends included.  Boxes without an area, or off the page, give nothing."""
-    own = (F.size("mask") > 0) & (F.size(F.col("mask")[0]) > 0)
+    own = (F.size("mask") > 0) & (F.size(F.get("mask", F.lit(0))) > 0)
     b = boxes.withColumn("own", F.coalesce(own, F.lit(False))).where("x2 > x1 and y2 > y1")
     more = F.when(F.col("own"), 0).otherwise(margin)
     low = lambda c: F.greatest(F.lit(0), F.col(c) - more).cast("int")
