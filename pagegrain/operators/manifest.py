@@ -219,3 +219,31 @@ def geometry_saves(edits: DataFrame, key: str, at: str, order: str, wait: int =
     later = F.lead(at).over(w) + wait
     aborted = F.coalesce(later < F.col("answered"), F.lit(False))
     return sent.withColumn("aborted", aborted).select(key, order, "generation", "aborted", (~F.col("aborted") & (F.col("following").isNull() | (F.col("following") > F.col("answered")))).alias("cleared"))
+
+
+def insert_object(pages: DataFrame, requests: DataFrame, least: int = 10) -> DataFrame:
+    """(page_id, width, height, rendered, text_objects, refused): pages with the text objects asked for.
+
+    pages: page_id, image_width, image_height, width, height, rendered, text_objects (array of id, shape, x1, y1, x2, y2,
+    ocr_text, translation, style); requests: page_id, id, shape, x1, y1, x2, y2.  A region is cut at its image and put in order; one under
+    `least` on a side is refused (its id is in `refused`).  Objects are appended by id, empty and with the default style; a
+    page that gets one takes the image's size unless it has one, and isn't rendered any more.  Requests for pages that don't exist are dropped."""
+    style = F.create_map(*(F.lit(x) for k, v in STYLE.items() for x in (k, str(v).lower() if isinstance(v, bool) else v)))
+    asked = requests.join(pages.select("page_id", "image_width", "image_height"), "page_id")
+    cut = {c: F.greatest(F.lit(0), F.least(F.col(c), F.col("image_width" if c[0] == "x" else "image_height"))) for c in ("x1", "y1", "x2", "y2")}
+    corner = {f"{c}{i}": f(cut[f"{c}1"], cut[f"{c}2"]) for c in "xy" for i, f in ((1, F.least), (2, F.greatest))}
+    good = (corner["x2"] - corner["x1"] >= least) & (corner["y2"] - corner["y1"] >= least)
+    made = F.struct("id", "shape", *(corner[c].cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")), F.lit("").alias("ocr_text"), F.lit("").alias("translation"), style.alias("style"))
+    listed = asked.groupBy("page_id").agg(F.array_compact(F.collect_list(F.when(good, made))).alias("new"), F.sort_array(F.collect_list(F.when(~good, F.col("id")))).alias("refused"))
+    listed = listed.withColumn("new", F.array_sort("new", lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)))
+    both = pages.join(listed, "page_id", "left")
+    some = F.coalesce(F.size("new") > 0, F.lit(False))
+    held = F.coalesce("text_objects", F.array().cast(pages.schema["text_objects"].dataType))
+    return both.select(
+        "page_id",
+        F.when(some, F.coalesce("width", "image_width")).otherwise(F.col("width")).alias("width"),
+        F.when(some, F.coalesce("height", "image_height")).otherwise(F.col("height")).alias("height"),
+        (F.coalesce("rendered", F.lit(False)) & ~some).alias("rendered"),
+        F.when(some, F.concat(held, F.col("new").cast(pages.schema["text_objects"].dataType))).otherwise(F.col("text_objects")).alias("text_objects"),
+        F.coalesce("refused", F.array().cast("array<string>")).alias("refused"),
+    )

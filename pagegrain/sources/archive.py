@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,19 +78,25 @@ def accepted(found: DataFrame, entry: int = ENTRY, total: int = TOTAL, files: in
 
 
 def pages(uploads: DataFrame, **limits: int) -> DataFrame:
-    """(chapter_id, page, name, content) of the accepted images; names lose their folders."""
+    """(chapter_id, page, name, content, error) of the accepted images; names lose their folders.  An entry that
+    can't be read (broken, encrypted, packed in an unknown way) has an error and no content; one upload's contents are held at a time."""
     wanted = accepted(entries(uploads), **limits)
     chosen = wanted.groupBy("chapter_id", "upload").agg(F.collect_list(F.struct("entry", "page")).alias("wanted"))
 
+    def content(archive, entry: str) -> tuple[bytes | None, str | None]:
+        try:
+            return archive.read(entry), None
+        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, zlib.error) as why:
+            return None, type(why).__name__
+
     def read(batches):
         for pdf in batches:
-            rows = []
-            for chapter, name, content, wanted_ in zip(pdf["chapter_id"], pdf["name"], pdf["content"], pdf["wanted"], strict=True):
-                archive = _open(name, content)
-                rows += [(chapter, w["page"], re.split(r"[/\\]", w["entry"])[-1], archive.read(w["entry"]) if archive else content) for w in wanted_]
-            yield pd.DataFrame(rows, columns=["chapter_id", "page", "name", "content"])
+            for chapter, name, whole, wanted_ in zip(pdf["chapter_id"], pdf["name"], pdf["content"], pdf["wanted"], strict=True):
+                archive = _open(name, whole)
+                rows = [(chapter, w["page"], re.split(r"[/\\]", w["entry"])[-1], *(content(archive, w["entry"]) if archive else (whole, None))) for w in wanted_]
+                yield pd.DataFrame(rows, columns=["chapter_id", "page", "name", "content", "error"])
 
-    return uploads.join(chosen, ["chapter_id", "upload"]).select("chapter_id", "name", "content", "wanted").mapInPandas(read, "chapter_id string, page int, name string, content binary")
+    return uploads.join(chosen, ["chapter_id", "upload"]).select("chapter_id", "name", "content", "wanted").mapInPandas(read, "chapter_id string, page int, name string, content binary, error string")
 
 
 def uploads(spark, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,6 +28,22 @@ def images(pages: DataFrame) -> DataFrame:
     return found.where(F.col("link").rlike("(?i)^https?://"))
 
 
+def page_images(elements: DataFrame, attributes: tuple[str, ...] = ("src", "data_src"), least: int = 400) -> DataFrame:
+    """(page_id, number, link) of a rendered page's img elements (page_id, place, width, attributes): the first attribute
+    that isn't empty, if it begins with http.  Elements known to be narrower than `least` go; each
+    link counts once, where it stands first; numbers go from 0 without gaps."""
+    link = F.coalesce(*(F.nullif(F.col(a), F.lit("")) for a in attributes))
+    wide = elements.where(F.coalesce(F.col("width") >= least, F.lit(True))).select("page_id", "place", link.alias("link")).where(F.col("link").startswith("http"))
+    first = wide.groupBy("page_id", "link").agg(F.min("place").alias("place"))
+    return first.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("place")) - 1).alias("number"), "link")
+
+
+def fetched_images(elements: DataFrame, open_link: Column, least: int = 300) -> DataFrame:
+    """(page_id, number, link) of what a worker fetches: names of lazy images first, and links for which open_link (of `link`) doesn't hold
+    left out after they were numbered, so that numbers have gaps there."""
+    return page_images(elements, ("data_src", "data_original", "data_lazy", "src"), least).where(open_link)
+
+
 def first_of_each(rows: DataFrame, key: str, value: str, place: str) -> DataFrame:
     """Ordered dedupe: the first row of each value within a key."""
     r = F.row_number().over(Window.partitionBy(key, value).orderBy(place))
