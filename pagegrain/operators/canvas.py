@@ -158,3 +158,32 @@ def split_tall(pages: DataFrame, boxes: DataFrame) -> DataFrame:
 
     held = boxes.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("box_index", "x1", "y1", "x2", "y2", "mask"))).alias("boxes"))
     return pages.select("page_id", "gray").join(held, "page_id").mapInPandas(split, LINES)
+
+
+def split_rows(rows: DataFrame, boxes: DataFrame, tall: int = 45, bucket: int = 64) -> DataFrame:
+    """(page_id, box_index, line, x1, y1, x2, y2): split_tall's boxes, of pages kept by rows (page_id, y, row).
+
+    Only tall boxes look at pixels, and only at the rows and columns they cover, and one row around
+    them: boxes and rows meet by buckets of rows, so a page is never in one place.  A page's rows are complete; a tall
+    box on a page without rows stays."""
+    corners = ("x1", "y1", "x2", "y2")
+    own = boxes.select("page_id", "box_index", *(F.col(c).cast("int").alias(c) for c in corners))
+    low, high = F.greatest(F.lit(0), F.col("y1") - 1), F.col("y2")
+    asked = own.where(F.col("y2") - F.col("y1") > tall).withColumn("bucket", F.explode(F.sequence(F.floor(low / bucket), F.floor(high / bucket))))
+    there = rows.select("page_id", F.col("y").cast("int").alias("y"), "row", F.floor(F.col("y") / bucket).alias("bucket"))
+    met = asked.join(there, ["page_id", "bucket"]).where((F.col("y") >= low) & (F.col("y") <= high) & (F.col("x2") > F.col("x1")))
+    part = F.slice("row", F.greatest(F.lit(0), F.col("x1")) + 1, F.col("x2") - F.greatest(F.lit(0), F.col("x1")))
+    crops = met.groupBy("page_id", "box_index", *corners).agg(F.sort_array(F.collect_list(F.struct("y", part.alias("part")))).alias("crop"))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for page, index, x1, y1, x2, y2, crop in pdf.itertuples(index=False):
+                gray, top = np.stack([np.asarray(r["part"]) for r in crop]), crop[0]["y"]
+                lines = text_lines(gray, (0, y1 - top, x2 - x1, y2 - top))
+                out += [(page, index, k, x1 + a, top + b, x1 + c, top + d) for k, (a, b, c, d) in enumerate(lines)]
+            yield pd.DataFrame(out, columns=["page_id", "box_index", "line", *corners])
+
+    lines = crops.select("page_id", "box_index", *corners, "crop").mapInPandas(split, "page_id long, box_index int, line int, x1 int, y1 int, x2 int, y2 int")
+    rest = own.join(crops.select("page_id", "box_index"), ["page_id", "box_index"], "left_anti")
+    return lines.unionByName(rest.select("page_id", F.col("box_index").cast("int").alias("box_index"), F.lit(0).alias("line"), *corners))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .canvas import split_rows
+from .held import held
 from .spatial import components, free_text_edges, pairs, standalone_text, suppress, text_in_bubble, valid_boxes
 
 BOX = ("box_index", "x1", "y1", "x2", "y2")
@@ -129,9 +131,10 @@ def free_texts(boxes: DataFrame, w: int, h: int, most: float = 0.35) -> DataFram
     return out.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) <= most * w * h))
 
 
-def detect(boxes: DataFrame, w: int, h: int, empty_bubbles: DataFrame | None = None, iou: float = 0.35, floor: float = 0.05) -> DataFrame:
+def detect(boxes: DataFrame, w: int, h: int, empty_bubbles: DataFrame | None = None, iou: float = 0.35, floor: float = 0.05, rows: DataFrame | None = None) -> DataFrame:
     """(page_id, x1, y1, x2, y2, confidence): texts of bubbles, bubbles without text (where given: those
-    with a mask) and clusters of free texts, valid ones only, after a last suppression over confidences from 0.05."""
+    with a mask) and clusters of free texts, valid ones only, after a last suppression over confidences from 0.05.
+    With the pages' pixels (rows: page_id, y, row) tall boxes are split into their lines before."""
     sides = ["page_id", *BOX[1:], "confidence"]
     found = bubble_texts(boxes).select(*sides).unionByName(free_texts(boxes, w, h).select(*sides))
     if empty_bubbles is not None:
@@ -139,6 +142,10 @@ def detect(boxes: DataFrame, w: int, h: int, empty_bubbles: DataFrame | None = N
     found = valid_boxes(found, w, h).where(F.col("confidence") >= floor).distinct()
     order = F.row_number().over(_order())
     numbered = found.withColumn("box_index", order)
+    if rows is not None:
+        numbered = held(numbered)
+        lines = split_rows(rows, numbered).drop("line").join(numbered.select("page_id", "box_index", "confidence"), ["page_id", "box_index"])
+        numbered = held(lines.select(*sides).distinct().withColumn("box_index", order))
     return numbered.join(suppress(numbered, iou), ["page_id", "box_index"], "left_semi").select(*sides)
 
 

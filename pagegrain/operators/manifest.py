@@ -247,3 +247,19 @@ def insert_object(pages: DataFrame, requests: DataFrame, least: int = 10) -> Dat
         F.when(some, F.concat(held, F.col("new").cast(pages.schema["text_objects"].dataType))).otherwise(F.col("text_objects")).alias("text_objects"),
         F.coalesce("refused", F.array().cast("array<string>")).alias("refused"),
     )
+
+
+def render_limits(requests: DataFrame, key: str, most: int = 100, longest: int = 5000) -> DataFrame:
+    """(key, error) of render requests (translations map<string, string>, horizontal and vertical alignments, as maps): too many entries of
+    one of them, a text that is too long, or an alignment that isn't allowed; the first of these, null if there is none."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    held = lambda c: F.coalesce(F.map_values(c), F.array().cast("array<string>"))
+    error = (
+        F.when(size("translations") > most, "too many translations")
+        .when(F.exists(held("translations"), lambda t: F.char_length(t) > longest), "text too long")
+        .when(size("horizontal") > most, "too many horizontal alignments")
+        .when(F.exists(held("horizontal"), lambda a: ~a.isin("left", "center", "right")), "horizontal alignment")
+        .when(size("vertical") > most, "too many vertical alignments")
+        .when(F.exists(held("vertical"), lambda a: ~a.isin("top", "middle", "bottom")), "vertical alignment")
+    )
+    return requests.select(key, error.alias("error"))

@@ -185,3 +185,29 @@ def mask_components(px: DataFrame, above: int = 127) -> DataFrame:
 
     mask = px.where(F.col("v") > above).groupBy("img").agg(F.sort_array(F.collect_list(F.struct("y", "x"))).alias("mask"))
     return mask.mapInPandas(group, "img long, component int, pixels long, x1 int, y1 int, x2 int, y2 int")
+
+
+def line_runs(rows: DataFrame, least: int = 4, most: int = 3) -> DataFrame:
+    """(img, first, last, pad_top, pad_bottom) of each run of at least so many rows of text of images kept by rows (img, y, row): half the gap
+    to the kept run above and below, from 1 to 3; the gaps of the outer runs reach to the image's ends."""
+    mean = F.aggregate("row", F.lit(0.0), lambda a, v: a + v) / F.size("row")
+    page = Window.partitionBy("img")
+    means = rows.where(F.size("row") > 0).select("img", "y", mean.alias("mean"))
+    flagged = means.withColumns({"text": F.col("mean") < F.percentile("mean", 0.9).over(page) - 2, "height": F.max("y").over(page) + 1}).where("text")
+    island = flagged.withColumn("g", F.col("y") - F.row_number().over(page.orderBy("y"))).groupBy("img", "height", "g").agg(F.min("y").alias("first"), F.max("y").alias("last")).where(F.col("last") - F.col("first") + 1 >= least)
+    o = page.orderBy("first")
+    pad = lambda gap: F.least(F.lit(most), F.greatest(F.lit(1), F.floor(gap / 2))).cast("int")
+    above = F.col("first") - F.coalesce(F.lag("last").over(o) + 1, F.lit(0))
+    below = F.coalesce(F.lead("first").over(o), F.col("height")) - F.col("last") - 1
+    return island.select("img", "first", "last", pad(above).alias("pad_top"), pad(below).alias("pad_bottom"))
+
+
+def safe_cut(rows: DataFrame, target: int = 1400, search: int = 180, least: int = 500, band: int = 12) -> DataFrame:
+    """(img, cut): the first cut of a tall image (rows img, y, unsafe, score): of the rows within search of target, at least `least` from both
+    ends and band from the search's ends, whose neighbours within band all exist and are safe, the nearest one to target; ties by
+    the smaller score, then the first.  Null if there is none."""
+    w = Window.partitionBy("img").orderBy("y").rowsBetween(-band, band)
+    seen = rows.select("img", "y", "score", ((F.count("*").over(w) == 2 * band + 1) & ~F.max("unsafe").over(w)).alias("ok"), (F.max("y").over(Window.partitionBy("img")) + 1).alias("height"))
+    low, high = F.greatest(F.lit(least), F.lit(target - search)) + band, F.least(F.col("height") - least, F.lit(target + search)) - band
+    inside = F.col("ok") & (F.col("y") >= low) & (F.col("y") < high)
+    return seen.groupBy("img").agg(F.min_by("y", F.when(inside, F.struct(F.abs(F.col("y") - target), "score", "y"))).alias("cut"), F.count_if(inside).alias("n")).select("img", F.when(F.col("n") > 0, F.col("cut")).alias("cut"))

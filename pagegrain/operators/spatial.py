@@ -5,8 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.geometry import area, centre, contains, corner, gaps, iou, overlap
+from ..functions.geometry import centre, contains, corner, gaps, iou, overlap
 
 
 def valid_boxes(boxes: DataFrame, w: int, h: int) -> DataFrame:
@@ -133,5 +134,54 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("page_id").agg(F.array_join(F.transform(listed, lambda r: r["box_index"].cast("string")), ",").alias("reading"))
 
 
-def box_areas(boxes: DataFrame) -> DataFrame:
-    return boxes.select("page_id", "box_index", area().alias("area"))
+
+def mapped_back(boxes: DataFrame, w: int, h: int) -> DataFrame:
+    """Boxes of several passes over one image (page_id, pass, box_index, corners, confidence) on the image itself: `plain` ones as they are, those
+    of a `flipped` pass mirrored, those of a `small` one (.85 of both sides, rounded) enlarged, cut at the image.  Boxes without an area go, as do
+    those of a small pass over an image of 10 pixels or less."""
+    small = {"x": round(w * 0.85), "y": round(h * 0.85)}
+    size = {"x": w, "y": h}
+    flipped, shrunk = F.col("pass") == "flipped", F.col("pass") == "small"
+    cut = lambda v, c: F.greatest(F.lit(0), F.least(F.lit(size[c]), v)).cast("long")
+    out = {}
+    for c in "xy":
+        for i, other in ((1, 2), (2, 1)):
+            own = F.col(f"{c}{i}")
+            mirrored = cut(F.lit(w) - F.col(f"x{other}") if c == "x" else own, c)
+            out[f"{c}{i}"] = F.when(flipped, mirrored).when(shrunk, cut(F.bround(own / F.lit(small[c] / size[c])), c)).otherwise(own.cast("long"))
+    fits = ~shrunk | F.lit(min(small.values()) > 10)
+    return boxes.where(fits).select("page_id", "pass", "box_index", *(v.alias(c) for c, v in out.items()), "confidence").where("x2 > x1 and y2 > y1")
+
+
+def passes_merged(boxes: DataFrame, w: int, h: int, threshold: float = 0.3) -> DataFrame:
+    """The boxes of all passes on the image, after suppression; ties by pass (plain, flipped, small) and index."""
+    back = mapped_back(boxes, w, h)
+    place = F.when(F.col("pass") == "plain", 0).when(F.col("pass") == "flipped", 1).otherwise(2)
+    order = F.row_number().over(Window.partitionBy("page_id").orderBy(place, "box_index"))
+    numbered = back.withColumn("number", order)
+    kept = suppress(numbered.select("page_id", F.col("number").alias("box_index"), "x1", "y1", "x2", "y2", "confidence"), threshold)
+    return numbered.join(kept.select("page_id", F.col("box_index").alias("number")), ["page_id", "number"], "left_semi").drop("number")
+
+
+def empty_bubbles(boxes: DataFrame) -> DataFrame:
+    """bubbles_without_text of boxes with masks (arrays of rows): only those whose mask has their size and anything
+    in it, with confidence and the mask cut like the box.  What is left must have the mask's size, too."""
+    shrunk = bubbles_without_text(boxes.drop("mask")).withColumnsRenamed({c: f"n{c}" for c in ("x1", "y1", "x2", "y2")})
+    rows = boxes.join(shrunk, ["page_id", "box_index"])
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    whole = (F.size("mask") == h) & F.forall("mask", lambda r: F.size(r) == w) & F.exists("mask", lambda r: F.exists(r, lambda v: v > 0))
+    mx, my = F.col("nx1") - F.col("x1"), F.col("ny1") - F.col("y1")
+    fits = (w > 2 * mx) & (h > 2 * my)
+    part = F.transform(F.slice("mask", (my + 1).cast("int"), F.greatest(F.lit(0), h - 2 * my).cast("int")), lambda r: F.slice(r, (mx + 1).cast("int"), F.greatest(F.lit(0), w - 2 * mx).cast("int")))
+    return rows.where(F.coalesce(whole & fits, F.lit(False))).select("page_id", "box_index", *(F.col(f"n{c}").alias(c) for c in ("x1", "y1", "x2", "y2")), "confidence", part.alias("mask"))
+
+
+def free_text_hulls(boxes: DataFrame, w: int, h: int, pad_x: int = 20, pad_y: int = 8, single: int = 6) -> DataFrame:
+    """A hull for each cluster of near texts, padded and cut at the page, with the best confidence and whether it is to be split by lines: over
+    three boxes, or higher than four of their mean heights.  A single box is padded less above and below."""
+    texts = boxes.where("kind = 'text'")
+    held = texts.join(components(texts, free_text_edges(texts)), ["page_id", "box_index"])
+    hull = held.groupBy("page_id", "cluster").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.max("confidence").alias("confidence"), F.count("*").alias("n"), F.sum(F.col("y2") - F.col("y1")).alias("heights"))
+    pad = F.when(F.col("n") == 1, single).otherwise(pad_y)
+    split = (F.col("n") > 3) | (F.col("n") > 1) & ((F.col("y2") - F.col("y1")) * F.col("n") > 4 * F.col("heights"))
+    return hull.select("page_id", "cluster", F.greatest(F.lit(0), F.col("x1") - pad_x).alias("x1"), F.greatest(F.lit(0), F.col("y1") - pad).alias("y1"), F.least(F.lit(w), F.col("x2") + pad_x).alias("x2"), F.least(F.lit(h), F.col("y2") + pad).alias("y2"), "confidence", split.alias("split"))

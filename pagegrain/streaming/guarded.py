@@ -2,7 +2,7 @@
 
 State is a base table and what batches have committed.  A batch writes its committed rows and its refused ones under its own id;
 what it reads are batches before it alone, so that a batch that is run again writes the same rows
-over the old ones, and readers see a batch whole or not at all."""
+over the old ones."""
 
 from __future__ import annotations
 
@@ -18,6 +18,24 @@ def digest(columns: list[str], of: Callable[[str], Column] = F.col) -> Column:
     return F.sha2(F.to_json(F.struct(*(of(c).alias(c) for c in columns)), {"ignoreNullFields": "false"}), 256)
 
 
+def judged(attempts: DataFrame, now: DataFrame, key: str, state: list[str]) -> DataFrame:
+    """key, seq, state columns, reason of attempts (key, seq, seen, state columns) at rows of now (key, state columns): reason is null for
+    those that may be committed, `changed` where the state is no longer the one with digest `seen`, `unknown`
+    where the key doesn't exist.  Attempts at one key follow their seq; each must have seen what the one committed before it left."""
+    made = attempts.select(key, "seq", "seen", *state, digest(state).alias("made"))
+    listed = made.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", "seen", "made", *state))).alias("tries"))
+    listed = listed.join(now.select(key, digest(state).alias("now")), key, "left")
+    start = F.struct(F.col("now").alias("now"), F.array().cast("array<boolean>").alias("ok"))
+
+    def step(held: Column, one: Column) -> Column:
+        fits = F.coalesce(held["now"] == one["seen"], F.lit(False))
+        return F.struct(F.when(fits, one["made"]).otherwise(held["now"]).alias("now"), F.concat(held["ok"], F.array(fits)).alias("ok"))
+
+    told = listed.withColumn("ok", F.aggregate("tries", start, step)["ok"])
+    each = told.select(key, F.col("now").isNull().alias("unknown"), F.inline(F.arrays_zip("tries", "ok")))
+    return each.select(key, "tries.seq", *(f"tries.{c}" for c in state), F.when(~F.col("ok"), F.when(F.col("unknown"), "unknown").otherwise("changed")).alias("reason"))
+
+
 class Guarded:
     """Rows (key, seq, seen, state columns) are attempts: work made from the state with digest `seen`."""
 
@@ -49,25 +67,11 @@ class Guarded:
         return self._written(spark, "refused", schema, None).select(self.key, "seq", "reason")
 
     def __call__(self, attempts: DataFrame, batch: int) -> None:
-        """Write one batch, as foreachBatch does.  Attempts at one key follow their seq: each must have seen what the one committed before it
-        has left.  Attempts at keys that don't exist, or without a key, are refused, too."""
+        """Write one batch, as foreachBatch does: what may be committed, and what is refused with its reason."""
         spark = attempts.sparkSession
-        now = self.current(spark, batch).select(self.key, digest(self.state).alias("now"))
-        made = attempts.select(self.key, "seq", "seen", *self.state, digest(self.state).alias("made"))
-        listed = made.groupBy(self.key).agg(F.sort_array(F.collect_list(F.struct("seq", "seen", "made", *self.state))).alias("tries")).join(now, self.key, "left")
-        tried = listed.schema["tries"].dataType.simpleString()
-        start = F.struct(F.col("now").alias("now"), F.array().cast("array<boolean>").alias("ok"))
-
-        def step(held: Column, one: Column) -> Column:
-            fits = F.coalesce(held["now"] == one["seen"], F.lit(False))
-            return F.struct(F.when(fits, one["made"]).otherwise(held["now"]).alias("now"), F.concat(held["ok"], F.array(fits)).alias("ok"))
-
-        judged = listed.withColumn("ok", F.aggregate(F.col("tries").cast(tried), start, step)["ok"])
-        each = judged.select(self.key, "now", F.inline(F.arrays_zip("tries", "ok"))).select(self.key, "now", "tries.*", "ok")
-        reason = F.when(F.col(self.key).isNull() | F.col("now").isNull(), "unknown").otherwise("changed")
-        spark_rows = each.persist()  # both sides come from one fold
+        each = judged(attempts, self.current(spark, batch), self.key, self.state).persist()  # both tables come from one fold
         try:
-            spark_rows.where("ok").select(self.key, *self.state, "seq").write.mode("overwrite").parquet(self._batch("committed", batch))
-            spark_rows.where("not ok").select(self.key, "seq", reason.alias("reason")).write.mode("overwrite").parquet(self._batch("refused", batch))
+            each.where("reason is null").select(self.key, *self.state, "seq").write.mode("overwrite").parquet(self._batch("committed", batch))
+            each.where("reason is not null").select(self.key, "seq", "reason").write.mode("overwrite").parquet(self._batch("refused", batch))
         finally:
-            spark_rows.unpersist()
+            each.unpersist()
