@@ -89,3 +89,18 @@ def joined_lines(lines: Column, least: float = 0.25) -> Column:
     """The texts of lines array<struct<y, text, confidence>> by y, trimmed, without weak and empty ones."""
     kept = F.filter(F.sort_array(lines), lambda r: (r["confidence"] > least) & (F.trim(r["text"]) != ""))
     return F.array_join(F.transform(kept, lambda r: F.trim(r["text"])), "\n")
+
+
+def bold_offsets(bold: Column) -> Column:
+    """Where a text is drawn for each time it is: bold text four times, a pixel to the right and below."""
+    at = lambda *places: F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in places))
+    return F.when(F.coalesce(bold, F.lit(False)), at((0, 0), (1, 0), (0, 1), (1, 1))).otherwise(at((0, 0)))
+
+
+def corner_radius(radius: Column, w: Column, h: Column) -> Column:
+    """The radius of a background's corners: not under 0, and not over half of the shorter side less one."""
+    return F.greatest(F.lit(0), F.least(radius.cast("int"), F.floor((F.least(w, h) - 1) / 2).cast("int")))
+
+
+def has_background(colour: Column) -> Column:
+    return ~F.coalesce(colour.isin("transparent", "none", ""), F.lit(True))

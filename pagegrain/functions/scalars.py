@@ -84,3 +84,8 @@ def moved(box: tuple[str, str, str, str], dx: Column, dy: Column, w: int, h: int
     x1, y1, x2, y2 = map(F.col, box)
     dx, dy = F.greatest(-x1, F.least(dx, w - x2)), F.greatest(-y1, F.least(dy, h - y2))
     return [(x1 + dx).alias("x1"), (y1 + dy).alias("y1"), (x2 + dx).alias("x2"), (y2 + dy).alias("y2")]
+
+
+def reader(lang: Column) -> Column:
+    """Which reader of text a language takes, and by which name it knows it."""
+    return F.when(lang == "ja", F.struct(F.lit("page").alias("reader"), F.lit(None).cast("string").alias("name"))).otherwise(F.struct(F.lit("lines").alias("reader"), language_name(lang).alias("name")))

@@ -47,8 +47,8 @@ def tiles_of(mask: np.ndarray, size: int = 512, overlap: int = 64) -> list[dict]
     return [{"y1": y1, "x1": x1, "y2": y2, "x2": x2, "active": bool(mask[y1:y2, x1:x2].any())} for y1, x1, y2, x2 in corners]
 
 
-def filled(gray: np.ndarray, parts: Iterable[Part], tiled: bool, least: int = 4) -> tuple[list[tuple], np.ndarray]:
-    """The plan's rows of an image's parts in order, and the image with its constant fills."""
+def filled(gray: np.ndarray, parts: Iterable[Part], least: int = 4) -> tuple[list[tuple], np.ndarray]:
+    """The plan's rows of an image's parts in order, and the image with its constant fills.  Crops of mask parts are tiled, those of boxes aren't."""
     out, plan, waiting = gray.copy(), [], []
     for number, (boxes, crop, mask) in enumerate(parts):
         x1, y1, x2, y2 = crop
@@ -58,7 +58,7 @@ def filled(gray: np.ndarray, parts: Iterable[Part], tiled: bool, least: int = 4)
             continue
         route, value = fill_of(out[y1:y2, x1:x2], mask)
         changed = [n for n, (a, b, c, d), m in waiting if min(c, x2) > max(a, x1) and min(d, y2) > max(b, y1) and m[max(b, y1) - b : min(d, y2) - b, max(a, x1) - a : min(c, x2) - a].any()]
-        plan.append((number, boxes, *crop, pixels, route, value, changed[-1] if changed else None, tiles_of(mask) if tiled and route == "model" else []))
+        plan.append((number, boxes, *crop, pixels, route, value, changed[-1] if changed else None, tiles_of(mask) if not boxes and route == "model" else []))
         if route == "model":
             waiting.append((number, crop, mask))
         else:
@@ -147,7 +147,7 @@ def box_parts(gray: np.ndarray, boxes: list[dict], reach: int = 35, side: int =
                 yield sorted(b["box_index"] for b in members), crop, local_mask(members, crop, gray[crop[1] : crop[3], crop[0] : crop[2]])
 
 
-def _planned(batches, parts_of: Callable, tiled: bool, rows: bool) -> Iterator[pa.RecordBatch]:
+def _planned(batches, parts_of: Callable, rows: bool) -> Iterator[pa.RecordBatch]:
     """The plan's rows, or the filled images' rows, of each image."""
     schema = pa.schema([("img", pa.int64()), ("part", pa.int32()), ("boxes", pa.list_(pa.int32())), *((n, pa.int32()) for n in ("x1", "y1", "x2", "y2")), ("pixels", pa.int64()), ("route", pa.string()), ("value", pa.int32()), ("waits_for", pa.int32()), ("tiles", pa.list_(pa.struct([*((n, pa.int32()) for n in ("y1", "x1", "y2", "x2")), ("active", pa.bool_())])))])
     for batch in batches:
@@ -156,7 +156,7 @@ def _planned(batches, parts_of: Callable, tiled: bool, rows: bool) -> Iterator[p
             if not (held.is_valid and len(held.values) and batch["img"][i].is_valid):
                 continue
             img, gray = batch["img"][i].as_py(), image(held.values).astype(np.int64)
-            plan, out = filled(gray, parts_of(gray, batch, i) if gray.size else [], tiled)
+            plan, out = filled(gray, parts_of(gray, batch, i) if gray.size else [])
             if rows:
                 flat = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1], out.astype(np.int32).ravel())
                 yield pa.record_batch([pa.array(np.full(len(out), img)), pa.array(np.arange(len(out), dtype=np.int32)), flat], ["img", "y", "row"])
@@ -176,21 +176,42 @@ def _by_boxes(gray: np.ndarray, batch: pa.RecordBatch, i: int) -> Iterable[Part]
     return box_parts(gray, batch["boxes"][i].as_py() or [])
 
 
+def _by_edit(gray: np.ndarray, batch: pa.RecordBatch, i: int, faint: int = 10) -> Iterator[Part]:
+    """What an edited page is filled with again: its boxes that aren't removed, then what was painted by hand, however faint, in the page's size."""
+    yield from box_parts(gray, [b for b in batch["boxes"][i].as_py() or [] if not b["removed"]])
+    held = batch["manual"][i]
+    if held.is_valid and len(held.values):
+        manual = image(held.values)
+        h, w = gray.shape
+        manual = manual[np.ix_(np.arange(h) * manual.shape[0] // h, np.arange(w) * manual.shape[1] // w)]
+        yield from mask_parts((manual > faint) * 255)
+
+
 def mask_plan(images: DataFrame) -> DataFrame:
     """The plan of images (img, gray, mask: rows of one size), part by part.  Images or masks that are
     null or empty have no parts."""
-    return images.select("img", "gray", "mask").mapInArrow(lambda b: _planned(b, _by_mask, True, False), PLAN)
+    return images.select("img", "gray", "mask").mapInArrow(lambda b: _planned(b, _by_mask, False), PLAN)
 
 
 def mask_filled(images: DataFrame) -> DataFrame:
     """(img, y, row): those images with their constant fills."""
-    return images.select("img", "gray", "mask").mapInArrow(lambda b: _planned(b, _by_mask, True, True), "img long, y int, row array<int>")
+    return images.select("img", "gray", "mask").mapInArrow(lambda b: _planned(b, _by_mask, True), "img long, y int, row array<int>")
 
 
 def box_plan(images: DataFrame) -> DataFrame:
     """The plan of images (img, gray, boxes: array of box_index, x1, y1, x2, y2, mask); crops of boxes aren't tiled."""
-    return images.select("img", "gray", "boxes").mapInArrow(lambda b: _planned(b, _by_boxes, False, False), PLAN)
+    return images.select("img", "gray", "boxes").mapInArrow(lambda b: _planned(b, _by_boxes, False), PLAN)
 
 
 def box_filled(images: DataFrame) -> DataFrame:
-    return images.select("img", "gray", "boxes").mapInArrow(lambda b: _planned(b, _by_boxes, False, True), "img long, y int, row array<int>")
+    return images.select("img", "gray", "boxes").mapInArrow(lambda b: _planned(b, _by_boxes, True), "img long, y int, row array<int>")
+
+
+def second_plan(images: DataFrame) -> DataFrame:
+    """The plan of pages that were edited (img, gray, boxes with removed, manual: a mask of any size, or null): parts of boxes first, then those of
+    the manual mask, which see what the boxes' fills have left."""
+    return images.select("img", "gray", "boxes", "manual").mapInArrow(lambda b: _planned(b, _by_edit, False), PLAN)
+
+
+def second_filled(images: DataFrame) -> DataFrame:
+    return images.select("img", "gray", "boxes", "manual").mapInArrow(lambda b: _planned(b, _by_edit, True), "img long, y int, row array<int>")

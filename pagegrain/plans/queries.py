@@ -110,4 +110,4 @@ query("ocr_join", lambda k, d: table(k, d, "conversations").groupBy("conv_id").a
 query("letterbox", lambda k, d: views.box(k, d).select("page_id", "box_index", *[c.alias(n) for n, c in zip(("scale", "pad_x", "pad_y"), g.letterbox(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), strict=True)]), sql("SELECT page_id, box_index, sc AS scale, CAST(floor((1024 - round(w * sc)) / 2) AS BIGINT) AS pad_x, CAST(floor((1024 - round(h * sc)) / 2) AS BIGINT) AS pad_y FROM (SELECT *, least(1024 / w, 1024 / h) AS sc FROM (SELECT page_id, box_index, x2 - x1 AS w, y2 - y1 AS h FROM box))", "box"))
 query("line_height", lambda k, d: views.box(k, d).select("page_id", "box_index", s.line_height(F.col("x1") % 40, F.col("y1") % 20, F.lit(2)).alias("line_height")), sql("SELECT page_id, box_index, CAST(floor(greatest(x1 % 40 + y1 % 20, 8) * 1.18::DOUBLE) AS BIGINT) + 4 AS line_height FROM box", "box"))
 
-from . import canvas, checks, detection, editing, grouped, masks, media, saves, screen  # noqa: E402, F401  (they enter their queries)
+from . import canvas, checks, detection, editing, grouped, masks, media, processing, saves, screen  # noqa: E402, F401  (they enter their queries)

@@ -142,7 +142,7 @@ def stored_masks(rows: DataFrame, key: str, payload: str = "mask") -> DataFrame:
         if not text:
             return None
         try:
-            data = base64.b64decode(text, validate=True)
+            data = base64.b64decode("".join(text.split()), validate=True)  # lines may be broken
         except (binascii.Error, ValueError) as why:
             raise Broken("base64") from why
         return gray(decoded(data))

@@ -225,3 +225,66 @@ def test_guarded_stream(spark, tmp_path):
     q.stop()
     assert sink.current(spark).first().v == 10
     assert {r.seq for r in sink.refused(spark).collect()} == {2, 5}
+
+
+def test_a_page_from_candidates_to_its_plan(spark):
+    """The composition's steps, against detection and exclusions one by one, and the plan against the same parts taken by hand."""
+    from pagegrain.operators import fill, processing
+    from pagegrain.plans import processing as plans
+
+    some = "page_id % 17 = 3"
+    rows, boxes, outside = (t(spark, SF).where(some) for t in (detection.page_rows, detection.page_boxes, plans.excluded))
+    found = processing.found_boxes(rows, boxes, outside, detection.WIDE, detection.HIGH)
+    listed, gray = {}, {}
+    for r in boxes.orderBy("page_id", "box_index").collect():
+        listed.setdefault(r.page_id, []).append((r.kind, r.x1, r.y1, r.x2, r.y2, r.confidence))
+    for r in rows.orderBy("page_id", "y").collect():
+        gray.setdefault(r.page_id, []).append(r.row)
+    out = {r.page_id: (min(r.ax, r.bx), max(r.ax, r.bx), min(r.ay, r.cy), max(r.ay, r.cy)) for r in outside.collect()}
+    want = {}
+    for page, own in listed.items():
+        for b in detected(own, np.array(gray[page]), detection.WIDE, detection.HIGH):
+            a = out[page]
+            if not (a[0] <= (b[0] + b[2]) / 2 <= a[1] and a[2] <= (b[1] + b[3]) / 2 <= a[3]):
+                want.setdefault(page, set()).add(b)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.page_id, {})[r.box_index] = (r.x1, r.y1, r.x2, r.y2, r.confidence)
+    assert {p: set(x.values()) for p, x in got.items()} == want and sum(map(len, want.values())) < sum(len(detected(o, np.array(gray[p]), detection.WIDE, detection.HIGH)) for p, o in listed.items())
+    plan = {}
+    for r in processing.page_plan(rows.repartition(3), found).collect():
+        plan.setdefault(r.img, []).append((r.part, tuple(r.boxes), r.pixels, r.route, r.value))
+    for page, own in got.items():
+        g = np.array(gray[page])
+        parts = fill.box_parts(g, [{"box_index": i, "x1": b[0], "y1": b[1], "x2": b[2], "y2": b[3], "mask": None} for i, b in own.items()])
+        assert sorted(plan.get(page, [])) == [(p[0], tuple(p[1]), p[6], p[7], p[8]) for p in fill.filled(g, parts)[0]]
+        assert sorted(i for p in plan.get(page, []) for i in p[1]) == sorted(own) or any(len(p[1]) > 1 for p in plan.get(page, []))
+
+
+def test_second_pass(spark):
+    from pagegrain.operators import fill
+
+    g = np.full((60, 60), 250)
+    boxes = [(0, 10, 10, 20, 20, None, False), (1, 40, 40, 50, 50, None, True)]
+    manual = np.zeros((30, 30), int)
+    manual[25, 25], manual[2, 2] = 11, 10
+    schema = "img long, gray array<array<int>>, boxes array<struct<box_index: int, x1: int, y1: int, x2: int, y2: int, mask: array<array<int>>, removed: boolean>>, manual array<array<int>>"
+    rows = spark.createDataFrame([(1, g.tolist(), boxes, manual.tolist()), (2, g.tolist(), None, None)], schema)
+    got = sorted((r.img, r.part, tuple(r.boxes), r.route, r.value) for r in fill.second_plan(rows).collect())
+    assert got == [(1, 0, (0,), "white", 250), (1, 1, (), "white", 250)]
+    nine = {d: round((16 - d * d) ** 0.5) for d in range(-4, 5)}
+    spot = {(y + dy, x + dx) for y in (50, 51) for x in (50, 51) for dy, r in nine.items() for dx in range(-r, r + 1) if y + dy < 60 and x + dx < 60}
+    assert {r.part: r.pixels for r in fill.second_plan(rows).collect()}[1] == len(spot)
+
+
+def test_files_are_written_whole(spark, tmp_path):
+    from pagegrain.sources.output import write_files
+
+    folder = str(tmp_path / "out")
+    rows = spark.createDataFrame([(f"c{i % 3}/page_{i:03d}.png", bytes([i] * i)) for i in range(20)] + [("c0/none", None)], "path string, content binary")
+    for _ in range(2):
+        write_files(rows.repartition(4), folder)
+    found = {str(p.relative_to(folder)): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert found == {r.path: bytes(r.content or b"") for r in rows.collect()}
+    with pytest.raises(Exception, match="outside"):
+        write_files(spark.createDataFrame([("../x", b"1")], "path string, content binary"), folder)
