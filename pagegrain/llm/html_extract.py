@@ -238,6 +238,7 @@ def nodes_of(root: Node) -> list[Node]:
     return out
 
 
+TRUST = 0.3  # of a container's log-odds, where they are positive, count for each block in it
 FORMS = 15  # features before those of names and tokens
 
 
@@ -268,7 +269,7 @@ def features(nodes: list[Node]) -> np.ndarray:
 class Boosted:
     """Binary log-loss boosting of small regression trees on quantile bins."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32):
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 5, rate: float = 0.3, bins: int = 32):
         flags = np.flatnonzero(((x == 0) | (x == 1)).all(0))
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
         for f in flags:
@@ -336,7 +337,7 @@ SIDE_NAMES = {
     "aside": "sidebar aside side related related-posts share social widget tags trending".split(),
     "notice": "cookie cookie-notice consent notice alert popup modal newsletter subscribe signup login".split(),
     "form": "search search-form contact contact-form login-form signup-form subscribe-form".split(),
-    "comments": "comments comment-list discussion replies responses respond".split(),
+    "comments": "comments comment-list discussion discuss thread disqus replies responses respond talkback feedback".split(),
     "footer": "footer site-footer copyright legal colophon disclaimer".split(),
 }
 EITHER = "wrap wrapper container row col inner box block section group layout page site clearfix with-sidebar has-sidebar comment-enabled comments-open menu-open no-ads ad-free has-footer sticky-header".split()
@@ -367,6 +368,8 @@ def written_page(rng: random.Random) -> str:
         tag = {"nav": "nav", "header": "header", "aside": "aside", "footer": "footer", "comments": "section", "form": "form"}.get(kind, "div")
         tag = tag if kind == "form" or rng.random() < 0.6 else "div"
         name = attrs(SIDE_NAMES[kind], 0.95 if tag == "div" else 0.5)
+        told = tag in ("footer", "aside") or any(n in name for n in SIDE_NAMES[kind])  # else its paragraphs could be the article's
+        thread = rng.choice(('<div class="comment"><p>{}</p></div>', '<div class="reply"><p>{}</p></div>', '<div class="user-post"><p>{}</p></div>', *(("<div>{}</div>", "<div><p>{}</p></div>") * told)))
         body = {
             "nav": lambda: links(rng.randint(2, 12)),
             "header": lambda: f"<p>{text(1, 8)}</p>{links(rng.randint(0, 6))}",
@@ -374,8 +377,8 @@ def written_page(rng: random.Random) -> str:
             "aside": lambda: f"<h3>{text(1, 4)}</h3><p>{text(2, 40)}</p>{links(rng.randint(0, 6))}",
             "notice": lambda: f"<p>{text(4, 40)}</p>",
             "form": lambda: f"<label>{text(1, 5)}</label><input name=q>" + rng.choice(("", f"<p>{text(2, 25)}</p>", f"<div>{text(1, 8)}</div>")) + "<button>ok</button>",
-            "footer": lambda: rng.choice((f"&copy; {text(2, 20)}", f"<p>{text(2, 20)}</p>{links(3)}", f"<p>&copy; 20{rng.randint(10, 30)} {text(1, 6)}</p>")),
-            "comments": lambda: f"<h3>{text(1, 3)}</h3>" + "".join(f'<div class="{rng.choice(["comment", "reply", "", "user-post"])}"><p>{text(2, 60)}</p></div>' for _ in range(rng.randint(1, 6))),
+            "footer": lambda: rng.choice((f"&copy; {text(2, 20)}", f"<p>{text(2, 20)}</p>{links(3)}", f"<p>&copy; 20{rng.randint(10, 30)} {text(1, 6)}</p>", "".join(f"<p>{text(5, 60)}</p>" for _ in range(rng.randint(1, 4))) if tag == "footer" else f"&copy; {text(5, 30)}")),
+            "comments": lambda: (f"<h3>{text(1, 3)}</h3>" if rng.random() < 0.7 else "") + "".join(thread.format(text(2, 60)) for _ in range(rng.randint(1, 6))),
         }[kind]()
         return f"<{tag} data-x=1{name}>{body}</{tag}>"
 
@@ -390,13 +393,35 @@ def written_page(rng: random.Random) -> str:
         return "".join(side(rng.choice(kinds)) for _ in range(rng.randint(0, most)))
 
     before, within, after = ["nav", "header", "ad", "aside", "notice", "form"], ["aside", "ad", "notice", "form"], ["nav", "ad", "aside", "notice", "comments", "form"]
-    body = (f"<h1>{text(2, 12)}</h1>" if rng.random() < 0.9 else "") + "".join(block() if rng.random() > 0.06 else side(rng.choice(within)) for _ in range(rng.randint(1, 25)))
+    def bare() -> str:
+        """Main text in its container itself: lines, or a few long stretches."""
+        stretch = [text(5, 120) for _ in range(rng.randint(1, 12))]
+        return rng.choice(("<br><br>", "<br>", "<br><br><b>" + text(1, 4) + "</b><br>", "\n")).join(stretch)
+
+    form = rng.random()  # most pages have blocks, some bare text, preformatted text or lists of links as what they are about
+    title = f"<h1>{text(2, 12)}</h1>" if rng.random() < 0.9 else ""
+    if form < 0.7:
+        body = title + "".join(block() if rng.random() > 0.08 else side(rng.choice(within)) for _ in range(rng.randint(1, 25)))
+    elif form < 0.86:
+        body = (title if rng.random() < 0.6 else "") + bare() + "".join(side(rng.choice(within)) + bare() for _ in range(rng.choice((0, 0, 1, 2))))
+    elif form < 0.92:
+        body = (title if rng.random() < 0.6 else "") + f"<pre>{text(10, 300)}</pre>"
+    else:
+        body = f"<h1>{text(2, 12)}</h1>" + (f"<p>{text(4, 40)}</p>" if rng.random() < 0.6 else "") + links(rng.randint(4, 15))
     body += side("comments") if rng.random() < 0.25 else ""
     tag = rng.choice(["article"] * 4 + ["main", "div", "div", "div", "section"])
+    if form >= 0.92:  # a list of links is content where the page says so
+        tag = rng.choice(("article", "article", "main"))
     body = f"<{tag}{attrs(MAIN_NAMES, 0.35 if tag == 'article' else 0.85)}>{body}</{tag}>"
+    if rng.random() < 0.06:  # a layout by table cells
+        cell = lambda inside: f"<td{attrs(SIDE_NAMES['nav'], 0.4)} data-x=1>{inside}</td>"
+        body = f"<table><tr>{cell(links(rng.randint(2, 9)) if rng.random() < 0.5 else ' '.join(f'<a href=/{i}>{text(1, 2)}</a>' for i in range(rng.randint(2, 9))))}<td>{body}</td>{cell(text(2, 25)) if rng.random() < 0.3 else ''}</tr></table>"
     for _ in range(rng.choice((0, 0, 1, 1, 2, 5, 12))):
         body = f'<div class="{" ".join(rng.sample(EITHER, rng.randint(1, 3)))}">{parts(before, 1)}{body}{parts(after, 1)}</div>'
     page = f"{parts(before, 4)}{body}{parts(after, 3)}{side('footer') if rng.random() < 0.8 else ''}"
+    if rng.random() < 0.07:  # nothing but text, with or without markup in it
+        page = rng.choice((text(20, 400), bare(), f"<pre>{text(20, 300)}</pre>", f"{title}{bare()}", f"<p>{text(20, 90)}</p>"))
+        page = (parts(before, 1) if rng.random() < 0.3 else "") + page
     if rng.random() < 0.1:
         page = f"<form>{page}</form>"
     if broken:
@@ -424,7 +449,10 @@ def trained(pages: int = 700, seed: int = 5) -> Boosted:
             side[id(n)] = -1 in n.tokens or (n.parent is not None and side[id(n.parent)])
         for n in nodes:
             n.tokens -= {-1}
-        keep = [i for i, n in enumerate(nodes) if n.total and (n.own or side[id(n)])]
+        mixed: dict[int, bool] = {}  # main nodes around side ones: neither label is theirs
+        for n in reversed(nodes):
+            mixed[id(n)] = any(mixed[id(c)] or (c.total and side[id(c)]) for c in n.children)
+        keep = [i for i, n in enumerate(nodes) if n.total and (n.own or side[id(n)] or not mixed[id(n)])]
         xs.append(features(nodes)[keep])
         ys += [0.0 if side[id(nodes[i])] else 1.0 for i in keep]
     return Boosted(np.concatenate(xs), np.array(ys))
@@ -434,6 +462,9 @@ def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
     """Which nodes' own text stays: the best consistent choice over the tree."""
     at = {id(n): i for i, n in enumerate(nodes)}
     weight = np.array([n.own ** 0.5 if n.own else 0.0 for n in nodes])
+    # in a container that is likely main text a block is given the benefit of the doubt
+    trust = np.array([TRUST * max(0.0, float(odds[at[id(n.parent)]])) if n.parent else 0.0 for n in nodes])
+    odds = np.clip(odds + trust * (odds > -6), -6, 6)
     gain = odds * np.where(weight > 0, weight, 0.0)
     keep_all, best, choice = gain.copy(), np.zeros(len(nodes)), [0] * len(nodes)
     inner = [0.0] * len(nodes)

@@ -220,3 +220,64 @@ def test_word_counts(spark):
 def test_variants_of_nothing(spark):
     assert spelling.spelling_variants(docs_of(spark, [(1, None, "s")])).count() == 0
     assert spelling.variants(spark.createDataFrame([("single", 5)], "word string, n long")).collect()[0] == ("single", None, "single", 5, 0, None)
+
+
+WORDS = "the quick brown fox jumps over a lazy dog while many people watch it from the other side of the river and wonder what will happen next".split()
+FILL = random.Random(1)
+
+
+def prose(n):
+    return " ".join(FILL.choices(WORDS, k=n))
+
+
+NAV = "<nav><ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in WORDS[:6]) + "</ul></nav>"
+LINES = "<br><br>".join(prose(60) for _ in range(9))
+BLOCKS = "".join(f"<p>{prose(50)}</p>" for _ in range(6))
+ARTICLE = f"<article><h1>{prose(5)}</h1>{BLOCKS}</article>"
+
+
+def on_page(main, nav=NAV, footer="<footer>&copy; 2020 example</footer>"):
+    return f"<!DOCTYPE html><html><head><title>t</title></head><body>{nav}{main}{footer}</body></html>"
+
+
+#: what a page holds, how many characters its text has at least, and what it must not have
+SHAPES = {
+    "article of lines": (on_page(f"<article>{LINES}</article>"), 2000, "2020"),
+    "named div of lines": (on_page(f'<div class="post">{LINES}</div>'), 2000, "2020"),
+    "div with an id, of lines": (on_page(f'<div id="content">{LINES}</div>'), 2000, "2020"),
+    "preformatted": (on_page(f"<pre>{prose(300)}</pre>"), 1000, "2020"),
+    "text in the body": (on_page(prose(300)), 1000, "2020"),
+    "no markup": (prose(300), 1000, "2020"),
+    "advert in the article": (on_page(f'<article><h1>{prose(5)}</h1>{BLOCKS}<div class="ad">Zebra this now</div>{BLOCKS}</article>'), 2500, "Zebra"),
+    "footer of paragraphs": (on_page(ARTICLE, footer=f"<footer><p>Zebra {prose(20)}</p><p>Zebra {prose(20)}</p></footer>"), 1200, "Zebra"),
+    "thread of comments": (on_page(ARTICLE + f'<div id="disqus_thread"><div><p>Zebra {prose(20)}</p></div><div><p>Zebra {prose(15)}</p></div></div>'), 1200, "Zebra"),
+    "layout by a table": (f"<html><body><table><tr><td><a href=/>Zebra</a> <a href=/n>News</a></td><td><h1>{prose(5)}</h1>{BLOCKS}</td></tr></table></body></html>", 1200, "Zebra"),
+    "list of links": (on_page("<article><h1>Where to go</h1><ul>" + "".join(f'<li><a href="/x{i}">{prose(4)}</a></li>' for i in range(10)) + "</ul></article>"), 180, "2020"),
+}
+
+
+def test_html_extract_of_many_shapes(spark):
+    from pagegrain.llm import html_extract
+
+    rows = spark.createDataFrame([(i, n, h) for i, (n, (h, _, _)) in enumerate(SHAPES.items())], "page_id long, url string, html string")
+    got = {r.url: r.text for r in html_extract.extract(rows).collect()}
+    assert {n: len(got[n]) >= least and no not in got[n] for n, (_, least, no) in SHAPES.items()} == dict.fromkeys(SHAPES, True)
+    assert got["list of links"].count("\n") == 10
+
+
+def test_html_extract_keeps_whole_articles(spark):
+    """Words of pages' articles and of what is extracted, both ways."""
+    from pagegrain.llm import html_extract
+
+    both = kept = whole = 0
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r.page_id: r.html or "" for r in rows.collect()}
+    for r in html_extract.extract(rows).collect():
+        at = re.search("<article.*?</article>", html[r.page_id], re.S)
+        if at:
+            nodes = html_extract.nodes_of(html_extract.parse(at.group(0)))
+            want, have = Counter(html_extract.main_text(nodes, [True] * len(nodes)).split()), Counter(r.text.split())
+            both += (want & have).total()
+            kept += have.total()
+            whole += want.total()
+    assert whole > 10_000 and both >= 0.99 * kept and both >= 0.99 * whole
