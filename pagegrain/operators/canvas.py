@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,22 +84,25 @@ def flood_select(px: DataFrame, clicks: DataFrame, channels: tuple[str, ...] = (
     rows (x2 exclusive), but refused whole if it is more than share of the image or more than
     `most` pixels.  A click outside of its image selects nothing.  One image is one array."""
 
-    def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for img, click, y, x, held in zip(pdf["img"], pdf["click"], pdf["y"], pdf["x"], pdf["held"], strict=True):
-                cells = np.array([[p[c] for c in ("y", "x", *channels)] for p in held], np.int64)
-                image = np.full((*(cells[:, :2].max(0) + 1), len(channels)), np.iinfo(np.int32).min, np.int64)
-                image[cells[:, 0], cells[:, 1]] = cells[:, 2:]
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                held = batch["held"][i].values
+                ys, xs = (held.field(c).to_numpy() for c in ("y", "x"))
+                image = np.full((ys.max() + 1, xs.max() + 1, len(channels)), np.iinfo(np.int32).min, np.int64)
+                image[ys, xs] = np.stack([held.field(c).to_numpy() for c in channels], 1)
                 height, width = image.shape[:2]
-                runs = like_seed(image, int(y), int(x), tolerance) if 0 <= y < height and 0 <= x < width else np.zeros((0, 3), np.int64)
+                y, x = batch["y"][i].as_py(), batch["x"][i].as_py()
+                runs = like_seed(image, y, x, tolerance) if 0 <= y < height and 0 <= x < width else np.zeros((0, 3), np.int64)
                 count = int((runs[:, 2] - runs[:, 1]).sum())
                 refused = count > min(int(height * width * share + 0.5), most)
-                out.append((img, click, refused, 0 if refused else count, [] if refused else [dict(zip(("y", "x1", "x2"), r, strict=True)) for r in runs.tolist()]))
-            yield pd.DataFrame(out, columns=["img", "click", "refused", "pixels", "runs"])
+                runs = runs[:0] if refused else runs
+                listed = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in runs.T], ["y", "x1", "x2"])
+                found = pa.ListArray.from_arrays(pa.array([0, len(runs)], pa.int32()), listed)
+                yield pa.record_batch([batch["img"].slice(i, 1).cast(pa.int64()), batch["click"].slice(i, 1).cast(pa.int64()), pa.array([refused]), pa.array([0 if refused else count], pa.int64()), found], ["img", "click", "refused", "pixels", "runs"])
 
     images = px.groupBy("img").agg(F.collect_list(F.struct("y", "x", *channels)).alias("held"))
-    return images.join(clicks.select("img", "click", "y", "x").dropna(), "img").mapInPandas(select, SELECTION)
+    return images.join(clicks.select("img", "click", "y", "x").dropna(), "img").mapInArrow(select, SELECTION)
 
 
 def text_lines(gray: np.ndarray, box: tuple[int, int, int, int], tall: int = 45, least: int = 4, pad: int = 3, trim: int = 10) -> list[tuple[int, int, int, int]]:

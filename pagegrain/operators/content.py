@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .labels import linked
 from .raster import ellipse
 
 STRIP = 2048  # rows whose gradients are held at once
@@ -41,15 +42,7 @@ def joined(rows: np.ndarray, begins: np.ndarray, ends: np.ndarray, corners: bool
     count = np.maximum(0, last - first)
     a = np.repeat(label, count)
     b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        for side in (a, b):
-            np.minimum.at(label, before[side], low)
-            np.minimum.at(label, side, low)
-        label = label[label]
-        if (label == before).all():
-            return label
+    return linked(len(rows), a, b)
 
 
 def gradient_edges(gray: np.ndarray, low: int, high: int) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .canvas import split_rows
 from .held import held
-from .spatial import components, free_text_edges, pairs, standalone_text, suppress, text_in_bubble, valid_boxes
+from .spatial import near_texts, pairs, standalone_text, suppress, text_in_bubble, valid_boxes
 
 BOX = ("box_index", "x1", "y1", "x2", "y2")
 
@@ -122,7 +122,7 @@ def free_texts(boxes: DataFrame, w: int, h: int, most: float = 0.35) -> DataFram
     """A hull for each line group of each cluster of texts outside bubbles, padded by 20 and 8 (a
     single box: 6), cut at the page; hulls over .35 of the page are dropped."""
     texts = boxes.join(standalone_text(boxes), ["page_id", "box_index"], "left_semi")
-    clustered = texts.join(components(texts, free_text_edges(texts)), ["page_id", "box_index"])
+    clustered = texts.join(near_texts(texts), ["page_id", "box_index"])
     keys = ("page_id", "cluster")
     hull = _hulls(clustered.join(line_groups(clustered, keys), [*keys, "box_index"]), [*keys, "line_group"])
     pad = F.when(F.col("n") == 1, 6).otherwise(8)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .content import joined
+
 
 def row_profile(px: DataFrame) -> DataFrame:
     """Deviation of each row plus twice the number of pixels far from white and from black."""
@@ -165,26 +169,23 @@ def mask_components(px: DataFrame, above: int = 127) -> DataFrame:
     its first pixel in row order; x2 and y2 are exclusive.  One image is one unit: its mask's pixels are one array."""
 
     def group(batches):
-        for pdf in batches:
-            out = []
-            for img, listed in zip(pdf["img"], pdf["mask"], strict=True):
-                left, number = {(p["y"], p["x"]) for p in listed}, 0
-                for p in listed:
-                    if (first := (p["y"], p["x"])) not in left:
-                        continue
-                    left.discard(first)
-                    found = [first]
-                    for y, x in found:  # grows while it is read
-                        near = {(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
-                        left -= near
-                        found += near
-                    ys, xs = zip(*found, strict=True)
-                    out.append((img, number, len(found), min(xs), min(ys), max(xs) + 1, max(ys) + 1))
-                    number += 1
-            yield pd.DataFrame(out, columns=["img", "component", "pixels", "x1", "y1", "x2", "y2"])
+        for batch in batches:
+            for i in range(len(batch)):
+                held = batch["mask"][i].values
+                ys, xs = (held.field(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+                new = np.r_[True, (ys[1:] != ys[:-1]) | (xs[1:] != xs[:-1] + 1)]
+                rows, begins, ends = ys[new], xs[new], xs[np.r_[new[1:], True]] + 1
+                label = joined(rows, begins, ends)
+                first, at = np.unique(label, return_inverse=True)  # numbered by their first runs
+                n = len(first)
+                box = [np.full(n, start) for start in (np.iinfo(np.int32).max, np.iinfo(np.int32).max, -1, -1)]
+                for f, to, value in zip((np.minimum, np.minimum, np.maximum, np.maximum), box, (begins, rows, ends, rows + 1), strict=True):
+                    f.at(to, at, value)
+                pixels = np.bincount(at, ends - begins, n).astype(np.int64)
+                yield pa.record_batch([pa.array(np.full(n, batch["img"][i].as_py())), pa.array(np.arange(n, dtype=np.int32)), pa.array(pixels), *(pa.array(c.astype(np.int32)) for c in box)], ["img", "component", "pixels", "x1", "y1", "x2", "y2"])
 
     mask = px.where(F.col("v") > above).groupBy("img").agg(F.sort_array(F.collect_list(F.struct("y", "x"))).alias("mask"))
-    return mask.mapInPandas(group, "img long, component int, pixels long, x1 int, y1 int, x2 int, y2 int")
+    return mask.mapInArrow(group, "img long, component int, pixels long, x1 int, y1 int, x2 int, y2 int")
 
 
 def line_runs(rows: DataFrame, least: int = 4, most: int = 3) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import centre, contains, corner, gaps, iou, overlap
+from .labels import linked
 
 
 def valid_boxes(boxes: DataFrame, w: int, h: int) -> DataFrame:
@@ -123,6 +126,32 @@ def components(boxes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(links, "page_id", "left").mapInPandas(close, "page_id long, box_index int, cluster int")
 
 
+def near_texts(boxes: DataFrame, x_gap: int = 35, y_gap: int = 40, edge: int = 45) -> DataFrame:
+    """(page_id, box_index, cluster): components of free_text_edges over a page's texts by one shuffle: a page's
+    boxes are one row of arrays, and pairs are compared by them."""
+
+    def close(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                held = batch["boxes"][i].values
+                index, x1, y1, x2, y2 = (held.field(c).to_numpy() for c in ("box_index", "x1", "y1", "x2", "y2"))
+                a, b = [], []
+                for s in range(0, len(index), 1024):  # so many rows of the page's matrix at once
+                    some = slice(s, s + 1024)
+                    dx = np.maximum(x1[some, None] - x2, x1 - x2[some, None])
+                    dy = np.maximum(y1[some, None] - y2, y1 - y2[some, None])
+                    near = (dx <= x_gap) & ((np.abs(y1[some, None] - y1) < edge) | (np.abs(y2[some, None] - y2) < edge) | (dy <= y_gap))
+                    p, q = np.nonzero(near)
+                    a.append(p + s)
+                    b.append(q)
+                label = linked(len(index), np.concatenate(a), np.concatenate(b))
+                yield pa.record_batch([pa.array(np.full(len(index), batch["page_id"][i].as_py())), pa.array(index.astype(np.int32)), pa.array(index[label].astype(np.int32))], ["page_id", "box_index", "cluster"])
+
+    corners = (F.col(c).cast("long").alias(c) for c in ("box_index", "x1", "y1", "x2", "y2"))
+    texts = boxes.where("kind = 'text'").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*corners))).alias("boxes"))
+    return texts.select(F.col("page_id").cast("long").alias("page_id"), "boxes").mapInArrow(close, "page_id long, box_index int, cluster int")
+
+
 def best_box(boxes: DataFrame) -> DataFrame:
     """The most confident box of each page and kind; ties to the smaller index."""
     return boxes.groupBy("page_id", "kind").agg(F.min_by("box_index", F.struct(-F.col("confidence"), "box_index")).alias("box_index"), F.max("confidence").alias("confidence"))
@@ -180,7 +209,7 @@ def free_text_hulls(boxes: DataFrame, w: int, h: int, pad_x: int = 20, pad_y: in
     """A hull for each cluster of near texts, padded and cut at the page, with the best confidence and whether it is to be split by lines: over
     three boxes, or higher than four of their mean heights.  A single box is padded less above and below."""
     texts = boxes.where("kind = 'text'")
-    held = texts.join(components(texts, free_text_edges(texts)), ["page_id", "box_index"])
+    held = texts.join(near_texts(texts), ["page_id", "box_index"])
     hull = held.groupBy("page_id", "cluster").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.max("confidence").alias("confidence"), F.count("*").alias("n"), F.sum(F.col("y2") - F.col("y1")).alias("heights"))
     pad = F.when(F.col("n") == 1, single).otherwise(pad_y)
     split = (F.col("n") > 3) | (F.col("n") > 1) & ((F.col("y2") - F.col("y1")) * F.col("n") > 4 * F.col("heights"))

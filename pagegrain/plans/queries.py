@@ -35,7 +35,7 @@ query("cluster_hull", lambda k, d: spatial.cluster_hulls(views.box(k, d), PAGE_W
 query("best_box", lambda k, d: spatial.best_box(views.box(k, d)), sql("SELECT page_id, kind, arg_min(box_index, (-confidence, box_index)) AS box_index, max(confidence) AS confidence FROM box GROUP BY ALL", "box"))
 query("reading_order", lambda k, d: spatial.reading_order(views.box(k, d)), sql("SELECT page_id, string_agg(CAST(box_index AS VARCHAR), ',' ORDER BY y1, x1, box_index) AS reading FROM box GROUP BY page_id", "box"))
 query("nms", lambda k, d: spatial.suppress(views.box(k, d)))
-query("free_text_components", lambda k, d: spatial.components(views.box(k, d).where("kind = 'text'"), spatial.free_text_edges(views.box(k, d))), sql(f"""+ edge AS (SELECT a.page_id, a.box_index AS p, b.box_index AS q FROM box a JOIN box b ON a.page_id = b.page_id AND a.box_index <> b.box_index AND a.kind = 'text' AND b.kind = 'text' AND {GAP['x']} <= 35 AND (abs(a.y1 - b.y1) < 45 OR abs(a.y2 - b.y2) < 45 OR {GAP['y']} <= 40)),
+query("free_text_components", lambda k, d: spatial.near_texts(views.box(k, d)), sql(f"""+ edge AS (SELECT a.page_id, a.box_index AS p, b.box_index AS q FROM box a JOIN box b ON a.page_id = b.page_id AND a.box_index <> b.box_index AND a.kind = 'text' AND b.kind = 'text' AND {GAP['x']} <= 35 AND (abs(a.y1 - b.y1) < 45 OR abs(a.y2 - b.y2) < 45 OR {GAP['y']} <= 40)),
 reach AS (SELECT page_id, box_index, box_index AS r FROM box WHERE kind = 'text' UNION SELECT reach.page_id, reach.box_index, q FROM reach JOIN edge ON edge.page_id = reach.page_id AND p = r)
 SELECT page_id, CAST(box_index AS INTEGER) AS box_index, CAST(min(r) AS INTEGER) AS cluster FROM reach GROUP BY ALL""", "box", recursive=True).replace("GROUP BY ALL", "GROUP BY page_id, box_index"))
 query("crop_region", lambda k, d: views.box(k, d).select("page_id", "box_index", *[c.alias(n) for n, c in g.crop(PAGE_W, PAGE_H).items()]), sql("""+ p AS (SELECT page_id, box_index, x1 - 35 AS lx, x2 + 35 AS hx, y1 - 35 AS ly, y2 + 35 AS hy, greatest(x2 - x1, y2 - y1) + 70 AS side FROM box),
@@ -97,7 +97,10 @@ b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bu
 query("checkpoint_dedupe", lambda k, d: manifest.changes_only(table(k, d, "events"), "user_id", "event_type"), "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR event_type IS DISTINCT FROM before")
 query("mask_accumulate", lambda k, d: manifest.accumulated(table(k, d, "events"), "user_id"), "WITH e AS (SELECT *, sum(CAST(event_id % 10 = 0 AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch FROM events) SELECT user_id, event_id, max(value) OVER (PARTITION BY user_id, epoch ORDER BY ts, event_id) AS mask FROM e")
 
-HREF = "WITH l AS (SELECT page_id, unnest(h) AS link, unnest(range(len(h))) AS place FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS h FROM pages)) "
+ANY = """(?:"[^"]*"|''[^'']*''|[^\\s>"'']+)"""
+GROUPS = """(?i)\\shref\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s>"'']+))"""
+HREF = f"""WITH t AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>', '', 'g'), '(?is)<[a-z][^>]*?\\shref\\s*=\\s*{ANY}') AS h FROM pages), e AS (SELECT page_id, unnest(h) AS tag, unnest(range(len(h))) AS place FROM t),
+l AS (SELECT page_id, place, trim(regexp_extract(tag, '{GROUPS}', 1) || regexp_extract(tag, '{GROUPS}', 2) || regexp_extract(tag, '{GROUPS}', 3)) AS link FROM e) """
 query("html_links", lambda k, d: link_source.links(table(k, d, "pages")), HREF + "SELECT page_id, CAST(place AS INTEGER) AS place, link FROM l")
 query("url_dedupe", lambda k, d: link_source.first_of_each(link_source.links(table(k, d, "pages")), "page_id", "link", "place"), HREF + "SELECT page_id, CAST(min(place) AS INTEGER) AS place, link FROM l GROUP BY page_id, link")
 query("ext_guess", lambda k, d: table(k, d, "pages").select("page_id", s.extension(F.col("url")).alias("ext")), "SELECT page_id, CASE WHEN u LIKE '%.jpg' THEN '.jpg' WHEN u LIKE '%.jpeg' THEN '.jpeg' WHEN u LIKE '%.png' THEN '.png' WHEN u LIKE '%.webp' THEN '.webp' ELSE '.jpg' END AS ext FROM (SELECT page_id, lower(regexp_extract(url, '^[^?#]*')) AS u FROM pages)")

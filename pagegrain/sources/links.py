@@ -7,25 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _markup() -> Column:
+    """A page's html without comments and scripts, which hold no elements."""
+    return F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script>", "")
+
+
+def _value(tag: Column, name: str) -> Column:
+    """An attribute's value within a tag, in any quotes or none, trimmed; empty if there is none."""
+    form = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+    return F.trim(F.concat(*[F.regexp_extract(tag, form, k) for k in (1, 2, 3)]))
+
+
 def links(pages: DataFrame, attribute: str = "href") -> DataFrame:
-    """(page_id, place, link) for each double-quoted attribute."""
-    found = F.regexp_extract_all("html", F.lit(rf'{attribute}="([^"]*)"'), F.lit(1))
-    return pages.select("page_id", F.posexplode(found).alias("place", "link"))
+    """(page_id, place, link) for each element that has the attribute, in any quotes or none."""
+    form = rf"""(?is)<[a-z][^>]*?\s{attribute}\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)"""
+    found = pages.select("page_id", F.posexplode(F.regexp_extract_all(_markup(), F.lit(form), F.lit(0))).alias("place", "tag"))
+    return found.select("page_id", "place", _value(F.col("tag"), attribute).alias("link"))
 
 
 def images(pages: DataFrame) -> DataFrame:
     """(page_id, place, link) of each img element: its data-src, else its src, in any quotes or none;
-    links without http or https go, places are those among all img elements.  Comments
-    and scripts hold no elements; nothing is deduplicated."""
-
-    def value(tag, name):
-        form = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-        return F.nullif(F.trim(F.concat(*[F.regexp_extract(tag, form, k) for k in (1, 2, 3)])), F.lit(""))
-
-    html = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script>", "")
-    found = pages.select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))).alias("place", "tag"))
-    found = found.select("page_id", "place", F.coalesce(value(F.col("tag"), "data-src"), value(F.col("tag"), "src")).alias("link"))
-    return found.where(F.col("link").rlike("(?i)^https?://"))
+    links without http or https go, places are those among all img elements.  Nothing is deduplicated."""
+    found = pages.select("page_id", F.posexplode(F.regexp_extract_all(_markup(), F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))).alias("place", "tag"))
+    link = F.coalesce(*(F.nullif(_value(F.col("tag"), n), F.lit("")) for n in ("data-src", "src")))
+    return found.select("page_id", "place", link.alias("link")).where(F.col("link").rlike("(?i)^https?://"))
 
 
 def page_images(elements: DataFrame, attributes: tuple[str, ...] = ("src", "data_src"), least: int = 400) -> DataFrame:

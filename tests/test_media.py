@@ -458,3 +458,11 @@ def test_corpus_on_disk(spark, tmp_path):
     want = f'{{"boxes":[{{"x1":1,"y2":3.5}},{{"x1":9}}],"case_id":"\\u00e9","expected_execution":"model_required","expected_shortcut_type":null,"height":0,"mask_sha256":"{mask}","mask_type":"","original_sha256":"{image}","width":1.0}}'
     assert next(r for r in found if r.case_id == "é").workload_sha256 == __import__("hashlib").sha256(want.encode()).hexdigest()
     assert {(r.folder[-1], r.lacks) for r in corpus.unpaired(corpus.listing(spark, str(tmp_path))).collect()} == {("b", "mask.png"), ("d", "both")}
+
+
+def test_links_in_any_quotes(spark):
+    from pagegrain.sources import links
+
+    html = """<a href="one">1</a><A class=x HREF='two words'>2</a><a href=three>3</a><!-- <a href="no"> --><script>"<a href='no'>"</script><link rel=x href = "four"/><p>href="no"</p><a data-href="no">5</a>"""
+    rows = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    assert [(r.page_id, r.place, r.link) for r in links.links(rows).orderBy("place").collect()] == [(1, i, t) for i, t in enumerate(("one", "two words", "three", "four"))]
