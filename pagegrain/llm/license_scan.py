@@ -25,6 +25,11 @@ from .words import LOWER
 
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+#: Label and identifier of a licence.
+SPDX = [
+    ("mit", "MIT"), ("apache-2.0", "Apache-2.0"), ("gpl-2.0", "GPL-2.0"), ("gpl-3.0", "GPL-3.0"), ("lgpl-2.1", "LGPL-2.1"), ("lgpl-3.0", "LGPL-3.0"), ("agpl-3.0", "AGPL-3.0"), ("mpl-2.0", "MPL-2.0"),
+    ("epl-2.0", "EPL-2.0"), ("bsd-2-clause", "BSD-2-Clause"), ("bsd-3-clause", "BSD-3-Clause"), ("isc", "ISC"), ("bsl", "BSL-1.0"), ("zlib", "Zlib"), ("unlicense", "Unlicense"), ("cc0", "CC0-1.0"), ("cc-by", "CC-BY-4.0"), ("cc-by-sa", "CC-BY-SA-4.0"),
+]
 #: Label, text of a licence or of the notice that names it, phrases that must stand in the document.
 TEMPLATES = [
     ("mit", "Released under the MIT License", ["mit license"]),
@@ -137,6 +142,65 @@ TEMPLATES = [
     ("cc-by", "Licensed under CC BY 4.0", ["cc by 4 0"]),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0", ["cc by sa"]),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0", ["cc by nc"]),
+    # openings of the licences themselves, as LICENSE files hold them
+    (
+        "apache-2.0",
+        """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+        1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.""",
+        ["apache license version 2 0", "terms and conditions for use reproduction and distribution"],
+    ),
+    (
+        "gpl-3.0",
+        """GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is
+        permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.""",
+        ["gnu general public license version 3 29 june 2007"],
+    ),
+    (
+        "gpl-2.0",
+        """GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA
+        02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.""",
+        ["gnu general public license version 2 june 1991"],
+    ),
+    (
+        "lgpl-3.0",
+        """GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is
+        permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This version of the GNU Lesser
+        General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.""",
+        ["gnu lesser general public license version 3 29 june 2007"],
+    ),
+    (
+        "agpl-3.0",
+        """GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is
+        permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.""",
+        ["gnu affero general public license version 3 19 november 2007"],
+    ),
+    (
+        "mpl-2.0",
+        """Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of,
+        or owns Covered Software. 1.2. "Contributor Version" means the combination of the Contributions of others (if any) used by a Contributor and that
+        particular Contributor's Contribution.""",
+        ["mozilla public license version 2 0 1 definitions"],
+    ),
+    (
+        "epl-2.0",
+        """Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT"). ANY USE, REPRODUCTION OR
+        DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.""",
+        ["eclipse public license v 2 0"],
+    ),
+    (
+        "cc-by",
+        """Creative Commons Attribution 4.0 International Public License By exercising the Licensed Rights (defined below), You accept and agree to be bound by the
+        terms and conditions of this Creative Commons Attribution 4.0 International Public License ("Public License").""",
+        ["creative commons attribution 4 0 international public license", "by exercising the licensed rights"],
+    ),
+    (
+        "cc-by-sa",
+        """Creative Commons Attribution-ShareAlike 4.0 International Public License By exercising the Licensed Rights (defined below), You accept and agree to be bound by
+        the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License ("Public License").""",
+        ["creative commons attribution sharealike 4 0 international public license", "by exercising the licensed rights"],
+    ),
+    # identifiers in files' first lines
+    *((label, f"SPDX-License-Identifier: {name}", [f"spdx license identifier {' '.join(name.lower().replace('.', '-').split('-'))}"]) for label, name in SPDX),
 ]
 SUPPORT = 0.6  # share of a template's IDF whose words must stand at one relative position
 AT_ONCE = 1 << 18  # bytes of a text, or words compared, at once

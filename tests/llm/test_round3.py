@@ -281,3 +281,33 @@ def test_html_extract_keeps_whole_articles(spark):
             kept += have.total()
             whole += want.total()
     assert whole > 10_000 and both >= 0.99 * kept and both >= 0.99 * whole
+
+
+def test_license_labels_against_brute_force(spark):
+    """A template stands where its words do, at one relative position, with enough of its IDF."""
+    import math
+
+    from pagegrain.llm import license_scan as ls
+
+    rng = random.Random(6)
+    texts = [None, "", "no licence at all"]
+    for _, text, _ in ls.TEMPLATES:
+        for damage in (0.0, 0.15, 0.4, 0.6):
+            words = [w if rng.random() > damage else rng.choice(("xx", "the", "software")) for w in text.split()]
+            texts.append(" ".join(["before", *rng.choices(["the", "of", "license"], k=rng.randint(0, 30)), *words, "after"]))
+    told = {r.doc_id: r for r in ls.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    listed = [re.findall("[a-z0-9\u0080-￿]+", (t or "").lower()) for t in texts]
+    df = Counter(w for words in listed for w in set(words))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w]))
+    seen = set()
+    for i, words in enumerate(listed):
+        want = {label for phrase, label in ls.BASE.items() if f" {phrase} " in f" {' '.join(words)} "}
+        for label, text, must in ls.TEMPLATES:
+            own = re.findall("[a-z0-9]+", text.lower())
+            total = sum(map(idf, own))
+            good = all(f" {p} " in f" {' '.join(words)} " for p in must)
+            if good and any(sum(idf(w) for k, w in enumerate(own) if 0 <= s + k < len(words) and words[s + k] == w) >= ls.SUPPORT * total - 1e-6 for s in range(-len(own), len(words))):
+                want.add(label)
+        seen |= want
+        assert told[i].labels == ",".join(sorted(want)), texts[i]
+    assert {"apache-2.0", "mpl-2.0", "agpl-3.0", "lgpl-3.0", "epl-2.0", "cc-by"} <= seen
