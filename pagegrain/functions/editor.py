@@ -68,6 +68,17 @@ def resized(x1: Column, y1: Column, x2: Column, y2: Column, dx: Column, dy: Colu
     return {"x2": F.greatest(x1 + least, F.least(F.lit(w), x2 + dx)), "y2": F.greatest(y1 + least, F.least(F.lit(h), y2 + dy))}
 
 
+def region_change(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, h: Column, least: int = 10) -> tuple[dict[str, Column], Column]:
+    """The corners of an object's new region, cut at its page if that page's size is known, and why the change is refused (null if it isn't);
+    corners are null then."""
+    known = w.isNotNull() & h.isNotNull()
+    cut = {n: F.when(known, F.greatest(F.lit(0), F.least(c, w if n[0] == "x" else h))).otherwise(c) for n, c in (("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2))}
+    missing = x1.isNull() | y1.isNull() | x2.isNull() | y2.isNull()
+    small = (cut["x2"] - cut["x1"] < least) | (cut["y2"] - cut["y1"] < least)
+    refused = F.when(missing, "invalid").when((x1 < 0) | (y1 < 0), "negative").when((x1 >= x2) | (y1 >= y2), "reversed").when(small, "too small")
+    return {n: F.when(refused.isNull(), c) for n, c in cut.items()}, refused
+
+
 def brush_radius(width: Column) -> Column:
     """A 0.018th of the width, rounded half up, 10 to 30."""
     return F.least(F.lit(30), F.greatest(F.lit(10), F.floor(width * 0.018 + 0.5)))

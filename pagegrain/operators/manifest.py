@@ -263,3 +263,15 @@ def render_limits(requests: DataFrame, key: str, most: int = 100, longest: int =
         .when(F.exists(held("vertical"), lambda a: ~a.isin("top", "middle", "bottom")), "vertical alignment")
     )
     return requests.select(key, error.alias("error"))
+
+
+#: Suffixes of files that may be uploaded.
+UPLOADS = (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".zip", ".cbz")
+
+
+def upload_order(files: DataFrame, natural: Column) -> DataFrame:
+    """(chapter_id, name, place) of the files (chapter_id, name) that may be uploaded, by their suffix in any case: in the order of a natural
+    key of their names, ties by name."""
+    allowed = F.lower("name").rlike("(" + "|".join(s.replace(".", r"\.") for s in UPLOADS) + ")$")
+    order = Window.partitionBy("chapter_id").orderBy(natural, "name")
+    return files.where(allowed).select("chapter_id", "name", (F.row_number().over(order) - 1).alias("place"))

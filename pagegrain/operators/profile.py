@@ -212,3 +212,12 @@ def safe_cut(rows: DataFrame, target: int = 1400, search: int = 180, least: int
     low, high = F.greatest(F.lit(least), F.lit(target - search)) + band, F.least(F.col("height") - least, F.lit(target + search)) - band
     inside = F.col("ok") & (F.col("y") >= low) & (F.col("y") < high)
     return seen.groupBy("img").agg(F.min_by("y", F.when(inside, F.struct(F.abs(F.col("y") - target), "score", "y"))).alias("cut"), F.count_if(inside).alias("n")).select("img", F.when(F.col("n") > 0, F.col("cut")).alias("cut"))
+
+
+def mask_summary(px: DataFrame, boxes: DataFrame, above: int = 127) -> DataFrame:
+    """(img, pixels, ratio, components, boxes): what the metadata of a mask holds: its pixels, their share, its groups of pixels that touch by sides or
+    corners, and how many boxes (img) it was made of."""
+    groups = mask_components(px, above).groupBy("img").agg(F.count("*").alias("components"))
+    made = boxes.groupBy("img").agg(F.count("*").alias("boxes"))
+    none = F.lit(0).cast("long")
+    return coverage(px, above).join(groups, "img", "left").join(made, "img", "left").select("img", "pixels", "ratio", F.coalesce("components", none).alias("components"), F.coalesce("boxes", none).alias("boxes"))

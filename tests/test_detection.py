@@ -288,3 +288,13 @@ def test_files_are_written_whole(spark, tmp_path):
     assert found == {r.path: bytes(r.content or b"") for r in rows.collect()}
     with pytest.raises(Exception, match="outside"):
         write_files(spark.createDataFrame([("../x", b"1")], "path string, content binary"), folder)
+
+
+def test_region_changes(spark):
+    from pagegrain.functions import editor
+
+    rows = [((5, 5, 30, 30), (400, 600), (5, 5, 30, 30), None), ((-1, 5, 30, 30), (400, 600), None, "negative"), ((30, 5, 5, 30), (400, 600), None, "reversed"), ((395, 5, 900, 30), (400, 600), None, "too small"), ((395, 5, 900, 30), (None, 600), (395, 5, 900, 30), None), ((390, 590, 900, 900), (400, 600), (390, 590, 400, 600), None), ((1, 1, None, 9), (400, 600), None, "invalid"), ((5, 5, 14, 30), (400, 600), None, "too small")]
+    df = spark.createDataFrame([(i, *r, *s) for i, (r, s, _, _) in enumerate(rows)], "i int, x1 int, y1 int, x2 int, y2 int, w int, h int")
+    corners, refused = editor.region_change(*(F.col(c) for c in ("x1", "y1", "x2", "y2", "w", "h")))
+    got = df.select("i", *(c.alias(f"n{n}") for n, c in corners.items()), refused.alias("refused")).orderBy("i").collect()
+    assert [(None if r.nx1 is None else (r.nx1, r.ny1, r.nx2, r.ny2), r.refused) for r in got] == [(w, e) for _, _, w, e in rows]
