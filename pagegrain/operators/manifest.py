@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .held import held
+from .parts import nearest, running
+
 #: Keys of a style and their defaults.
 STYLE = {"color": "auto", "font": "default", "fontSize": "auto", "bold": False, "strokeWidth": "auto", "strokeColor": "auto", "bgColor": "transparent", "cornerRadius": "0", "horizontalAlign": "center", "verticalAlign": "middle"}
 
@@ -66,34 +69,46 @@ def failures(pages: DataFrame) -> DataFrame:
     return got.select("chapter_id", "failed", text.alias("message"))
 
 
-def debounced(edits: DataFrame, key: str, gap_ms: int) -> DataFrame:
+PART = 86_400_000_000  # microseconds of a key's edits that are one group
+
+
+def _timed(edits: DataFrame, key: str, *columns: str) -> DataFrame:
+    """edits as key, at in microseconds, seq and columns."""
+    return edits.select(F.col(key).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(0).alias("rank"), F.col("event_id").alias("seq"), *columns)
+
+
+def _before(rows: DataFrame, mark: Column, part: int) -> DataFrame:
+    """rows with `mark` of the edit before."""
+    return nearest(rows, rows.select("key", "at", "rank", "seq", mark.alias("mark")), ["key"], part, False)
+
+
+def debounced(edits: DataFrame, key: str, gap_ms: int, part: int = PART) -> DataFrame:
     """The last value of each burst of edits with gaps of under gap_ms."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    new = F.coalesce((F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w) >= gap_ms * 1000).cast("int"), F.lit(1))
-    burst = edits.withColumn("new", new).withColumn("burst", F.sum("new").over(w))
-    return burst.groupBy(key, "burst").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.count("*").alias("n"))
+    rows = _before(_timed(edits, key, "value"), F.struct("at"), part)
+    new = F.coalesce((F.col("at") - F.col("mark.at") >= gap_ms * 1000).cast("int"), F.lit(1))
+    burst = running(rows.select("key", "at", "seq", "value", new.alias("new")), ["key"], F.col("new"), "burst", part)
+    return burst.groupBy(F.col("key").alias(key), "burst").agg(F.max_by("value", F.struct("at", "seq")).alias("value"), F.count("*").alias("n"))
 
 
-def changes_only(edits: DataFrame, key: str, value: str) -> DataFrame:
+def changes_only(edits: DataFrame, key: str, value: str, part: int = PART) -> DataFrame:
     """Checkpoints without those that repeat the one before."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    return edits.withColumn("before", F.lag(value).over(w)).where(~F.col(value).eqNullSafe(F.col("before")) | F.col("before").isNull()).select(key, "event_id", value)
+    rows = _before(_timed(edits, key, F.col(value).alias("value")), F.struct("value"), part)
+    kept = rows.where(~F.col("value").eqNullSafe(F.col("mark.value")) | F.col("mark.value").isNull())
+    return kept.select(F.col("key").alias(key), F.col("seq").alias("event_id"), F.col("value").alias(value))
 
 
-def stale(edits: DataFrame, key: str, began: Column) -> DataFrame:
+def stale(edits: DataFrame, key: str, began: Column, part: int = PART) -> DataFrame:
     """Optimistic commits: one is stale if the state changed (another edit of its key) after its work began."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    last = F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)
-    rows = edits.withColumns({"version": F.row_number().over(w), "last": last, "began": began})
-    return rows.select(key, "event_id", "version", F.coalesce(F.col("last") > F.col("began"), F.lit(False)).alias("stale"))
+    rows = _before(_timed(edits, key, began.alias("began")), F.struct("at"), part)
+    told = running(rows.select("key", "at", "seq", "began", F.col("mark.at").alias("last")), ["key"], F.lit(1), "version", part)
+    return told.select(F.col("key").alias(key), F.col("seq").alias("event_id"), F.col("version").cast("int").alias("version"), F.coalesce(F.col("last") > F.col("began"), F.lit(False)).alias("stale"))
 
 
-def accumulated(edits: DataFrame, key: str) -> DataFrame:
-    """A running maximum since the last reset; the event type `error` or each tenth event resets."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    rows = edits.withColumn("epoch", F.sum((F.col("event_id") % 10 == 0).cast("int")).over(w))
-    inside = Window.partitionBy(key, "epoch").orderBy("ts", "event_id")
-    return rows.select(key, "event_id", F.max("value").over(inside).alias("mask"))
+def accumulated(edits: DataFrame, key: str, part: int = PART) -> DataFrame:
+    """A running maximum since the last reset; each tenth event resets."""
+    rows = running(_timed(edits, key, "value"), ["key"], (F.col("seq") % 10 == 0).cast("int"), "epoch", part)
+    told = running(rows, ["key", "epoch"], F.col("value"), "mask", part, F.max)
+    return told.select(F.col("key").alias(key), F.col("seq").alias("event_id"), "mask")
 
 
 def public_view(chapters: DataFrame) -> DataFrame:
@@ -207,18 +222,20 @@ def accept_uploads(files: DataFrame, most: int = 300, total: int = 500 << 20) ->
     return got.select("chapter_id", F.when(F.col("n") == 0, "no file").when(F.col("n") > most, "too many files").when(F.col("bytes") > total, "too large").alias("refused"))
 
 
-def geometry_saves(edits: DataFrame, key: str, at: str, order: str, wait: int = 300, reply: Column | int = 0) -> DataFrame:
+def geometry_saves(edits: DataFrame, key: str, at: str, order: str, wait: int = 300, reply: Column | int = 0, part: int = PART // 1000) -> DataFrame:
     """The saves of a debounced geometry: (key, order, generation, aborted, cleared).
 
     A save is sent once no edit has come for `wait` after an edit, and answered `reply` later.  It is
     aborted if the next save is sent before that, and clears the object's dirty mark only if no
     edit came since, that is, if its generation (number of edits so far) is still the last."""
-    w = Window.partitionBy(key).orderBy(at, order)
-    seen = edits.withColumns({"generation": F.row_number().over(w), "following": F.lead(at).over(w), "answered": F.col(at) + wait + reply})
-    sent = seen.where(F.col("following").isNull() | (F.col("following") - F.col(at) > wait))
-    later = F.lead(at).over(w) + wait
-    aborted = F.coalesce(later < F.col("answered"), F.lit(False))
-    return sent.withColumn("aborted", aborted).select(key, order, "generation", "aborted", (~F.col("aborted") & (F.col("following").isNull() | (F.col("following") > F.col("answered")))).alias("cleared"))
+    rows = edits.select(F.col(key).alias("key"), F.col(at).alias("at"), F.lit(0).alias("rank"), F.col(order).alias("seq"), (F.col(at) + wait + reply).alias("answered"))
+    seen = nearest(rows, rows.select("key", "at", "rank", "seq", F.struct("at").alias("mark")), ["key"], part, True)
+    seen = running(seen.select("key", "at", "rank", "seq", "answered", F.col("mark.at").alias("following")), ["key"], F.lit(1), "generation", part)
+    sent = held(seen.where(F.col("following").isNull() | (F.col("following") - F.col("at") > wait)))
+    told = nearest(sent, sent.select("key", "at", "rank", "seq", F.struct("at").alias("mark")), ["key"], part, True)
+    told = told.withColumn("aborted", F.coalesce(F.col("mark.at") + wait < F.col("answered"), F.lit(False)))
+    cleared = ~F.col("aborted") & (F.col("following").isNull() | (F.col("following") > F.col("answered")))
+    return told.select(F.col("key").alias(key), F.col("seq").alias(order), F.col("generation").cast("int").alias("generation"), "aborted", cleared.alias("cleared"))
 
 
 def insert_object(pages: DataFrame, requests: DataFrame, least: int = 10) -> DataFrame:

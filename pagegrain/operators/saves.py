@@ -19,38 +19,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .held import held
+from .parts import nearest
 
 WAIT, REPLY, PART = 800, 120, 600_000
 ANSWER, TIMER, COMMAND = -1, 0, 1  # what comes first at one time
 
 
-def _asof(rows: DataFrame, marks: DataFrame, keys: list[str], part: int, following: bool) -> DataFrame:
-    """rows with `mark`, the nearest mark of the same keys after (or before) their place (at, rank, seq);
-    marks have a struct `mark` beside their place.  Null if there is none."""
-    names = rows.columns
-    own = rows.select(F.struct(*names).alias("row"), *keys, "at", "rank", "seq", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"))
-    both = own.union(marks.select(F.lit(None).cast(own.schema["row"].dataType).alias("row"), *keys, "at", "rank", "seq", "mark"))
-    both = both.withColumn("part", F.floor(F.col("at") / part))
-    order = [F.desc(c) if following else F.asc(c) for c in ("at", "rank", "seq")] + [F.col("mark").isNotNull()]  # a mark at a row's own place isn't found
-    inside = Window.partitionBy(*keys, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("found", F.last("mark", ignorenulls=True).over(inside))
-    place = F.when(F.col("mark").isNotNull(), F.struct("at", "rank", "seq"))
-    parts = both.groupBy(*keys, "part").agg((F.min_by if following else F.max_by)("mark", place).alias("edge"))
-    beyond = Window.partitionBy(*keys).orderBy(F.desc("part") if following else F.asc("part")).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*keys, "part", F.last("edge", ignorenulls=True).over(beyond).alias("beyond"))
-    out = both.where("row is not null").join(parts, [*keys, "part"], "left")  # marks have all keys, rows without one find none
-    return out.select("row.*", F.coalesce("found", "beyond").alias("mark"))
-
-
 def flushes(log: DataFrame, wait: int = WAIT, part: int = PART) -> DataFrame:
     """editor, at, rank, seq, page, cause: when dirty objects are sent.  A timer's flush has the seq of the edit
     that started it and no page; it doesn't come if another command does within `wait`."""
     rows = log.select("editor", "at", F.lit(COMMAND).alias("rank"), "seq", "page", "object")
     marks = rows.select("editor", "at", "rank", "seq", F.struct("at").alias("mark"))
-    timed = _asof(rows.where("object is not null"), marks, ["editor"], part, True)
+    timed = nearest(rows.where("object is not null"), marks, ["editor"], part, True)
     timed = timed.where(F.col("mark").isNull() | (F.col("mark.at") >= F.col("at") + wait))
     timed = timed.select("editor", (F.col("at") + wait).alias("at"), F.lit(TIMER).alias("rank"), "seq", F.lit(None).cast(log.schema["page"].dataType).alias("page"), F.lit("timer").alias("cause"))
     return timed.union(rows.where("object is null").select("editor", "at", "rank", "seq", "page", F.lit("barrier").alias("cause")))
@@ -59,8 +41,8 @@ def flushes(log: DataFrame, wait: int = WAIT, part: int = PART) -> DataFrame:
 def _next_flush(rows: DataFrame, sent: DataFrame, part: int) -> DataFrame:
     """rows (editor, page, place, ..) with `flush`, the next one that covers their page."""
     mark = F.struct("at", "rank", "seq", "cause").alias("mark")
-    every = _asof(rows, sent.where("page is null").select("editor", "at", "rank", "seq", mark), ["editor"], part, True).withColumnRenamed("mark", "every")
-    own = _asof(held(every), sent.where("page is not null").select("editor", "page", "at", "rank", "seq", mark), ["editor", "page"], part, True)
+    every = nearest(rows, sent.where("page is null").select("editor", "at", "rank", "seq", mark), ["editor"], part, True).withColumnRenamed("mark", "every")
+    own = nearest(held(every), sent.where("page is not null").select("editor", "page", "at", "rank", "seq", mark), ["editor", "page"], part, True)
     return own.withColumn("flush", F.least("every", "mark")).drop("every", "mark")  # structs compare by place; a null one is left out
 
 
@@ -84,7 +66,7 @@ def saves(log: DataFrame, wait: int = WAIT, reply: int = REPLY, part: int = PART
     retried = held(retried.join(first, ["editor", "object", "page", "flush"], "left_anti"))
     # the latest edit is the one that the object's latest flush before has sent
     marks = first.select("editor", "object", "flush.at", "flush.rank", "flush.seq", F.struct("edit").alias("mark"))
-    retried = _asof(retried.select("editor", "page", "object", "flush", "flush.at", "flush.rank", "flush.seq"), marks, ["editor", "object"], part, False)
+    retried = nearest(retried.select("editor", "page", "object", "flush", "flush.at", "flush.rank", "flush.seq"), marks, ["editor", "object"], part, False)
     retried = retried.select("editor", "page", "object", "flush", F.col("mark.edit").alias("edit"), F.lit(False).alias("refused"))
     both = first.withColumn("again", F.lit(False)).unionByName(retried.withColumn("again", F.lit(True)))
     return both.select("editor", "page", "object", F.col("flush.at").alias("flush_at"), "flush.cause", F.col("flush.seq").alias("flush_seq"), "edit", "again", "refused")

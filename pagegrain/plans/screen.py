@@ -94,7 +94,7 @@ SELECT chapter_id, failed, CASE WHEN failed = n THEN 'all pages failed, first: e
 STATE = ["chapter_id", "page_index", "skipped", "price"]
 query("state_fingerprint", lambda k, d: manifest.fingerprint(views.page(k, d).withColumn("price", F.when(C("price") % 2 == 0, C("price"))), "page_id", STATE), sql("""SELECT page_id, sha256('{"chapter_id":' || chapter_id || ',"page_index":' || page_index || ',"skipped":' || CAST(skipped AS VARCHAR) || ',"price":' || CASE WHEN price % 2 = 0 THEN CAST(price AS VARCHAR) ELSE 'null' END || '}') AS state FROM page""", "page"))
 query("commit_guard", lambda k, d: manifest.guarded(p := views.page(k, d), p.where("page_id % 11 > 0").withColumn("skipped", C("skipped") | (C("price") % 4 == 0)), "page_id", STATE), sql("SELECT page_id, page_id % 11 > 0 AND (skipped OR price % 4 <> 0) AS committed FROM page", "page"))
-query("ocr_write_back", lambda k, d: manifest.write_back(b := views.box(k, d), b.withColumn("x2", C("x2") + (C("y1") % 4 == 0).cast("int"))), sql("SELECT page_id, box_index, NOT removed AND y1 % 4 <> 0 AS written FROM box", "box"))
+query("ocr_write_back", lambda k, d: manifest.write_back(b := views.box(k, d), b.withColumn("x2", C("x2") + (C("y1") % 4 == 0).cast("int"))), sql("+ r AS (SELECT page_id, box_index, x1, y1, x2 + CAST(y1 % 4 = 0 AS INTEGER) AS x2, y2 FROM box) SELECT b.page_id, b.box_index, NOT removed AND (b.x1, b.y1, b.x2, b.y2) = (r.x1, r.y1, r.x2, r.y2) AS written FROM box b JOIN r ON r.page_id = b.page_id AND r.box_index = b.box_index", "box"))
 query("stale_commits", lambda k, d: manifest.stale(table(k, d, "events"), "user_id", F.unix_micros(C("ts").cast("timestamp")) - (C("event_id") % 7) * 3_600_000_000), """SELECT user_id, event_id, CAST(row_number() OVER w AS INTEGER) AS version, coalesce(epoch_us(lag(ts) OVER w) > epoch_us(ts) - (event_id % 7) * 3600000000, false) AS stale FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 
 # runs
@@ -102,7 +102,8 @@ METRICS = "model_calls cluster_count tile_count active_tile_count shortcut_count
 query("telemetry_summary", lambda k, d: bench.telemetry_summary(views.run(k, d)), sql("SELECT case_id, metric, min(v) AS least, max(v) AS most, round(avg(v), 2) AS mean, min(v) = max(v) AS invariant FROM (" + " UNION ALL ".join(f"SELECT case_id, '{m}' AS metric, CAST({m} AS BIGINT) AS v FROM run" for m in METRICS) + ") GROUP BY case_id, metric", "invocation", "run"))
 query("case_set_diff", lambda k, d: bench.set_difference(*(views.invocation(k, d).where(f"user_id % 20 <> {x}").select("case_id").distinct() for x in (3, 5))), sql("+ c AS (SELECT DISTINCT case_id, user_id % 20 AS u FROM invocation) SELECT case_id, CASE WHEN u = 5 THEN 'baseline' ELSE 'candidate' END AS side FROM c WHERE u IN (3, 5)", "invocation"))
 query("workload_hash", lambda k, d: manifest.fingerprint(views.box(k, d).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("x1", "y1", "x2", "y2", "box_index"))).alias("boxes")), "page_id", ["boxes"]), sql("""SELECT page_id, sha256('{"boxes":[' || string_agg('{"x1":' || x1 || ',"y1":' || y1 || ',"x2":' || x2 || ',"y2":' || y2 || ',"box_index":' || box_index || '}', ',' ORDER BY x1, y1, x2, y2, box_index) || ']}') AS state FROM box GROUP BY page_id""", "box"))
-query("file_integrity", lambda k, d: bench.tampered((p := table(k, d, "pages").where("html is not null")).where("page_id % 5 > 0").select(C("page_id").cast("string").alias("name"), C("html").cast("binary").alias("content")), p.select(C("page_id").cast("string").alias("name"), F.sha2(F.when(C("page_id") % 7 == 0, F.concat("html", F.lit("x"))).otherwise(C("html")).cast("binary"), 256).alias("expected"))), "SELECT CAST(page_id AS VARCHAR) AS name, CASE WHEN page_id % 5 = 0 THEN 'missing' WHEN page_id % 7 = 0 THEN 'changed' ELSE 'ok' END AS state FROM pages WHERE html IS NOT NULL")
+query("file_integrity", lambda k, d: bench.tampered((p := table(k, d, "pages").where("html is not null")).where("page_id % 5 > 0").select(C("page_id").cast("string").alias("name"), C("html").cast("binary").alias("content")), p.select(C("page_id").cast("string").alias("name"), F.sha2(F.when(C("page_id") % 7 == 0, F.concat("html", F.lit("x"))).otherwise(C("html")).cast("binary"), 256).alias("expected"))), """WITH e AS (SELECT page_id, sha256(CASE WHEN page_id % 7 = 0 THEN html || 'x' ELSE html END) AS expected FROM pages WHERE html IS NOT NULL), f AS (SELECT page_id, sha256(html) AS found FROM pages WHERE html IS NOT NULL AND page_id % 5 > 0)
+SELECT CAST(e.page_id AS VARCHAR) AS name, CASE WHEN found IS NULL THEN 'missing' WHEN found = expected THEN 'ok' ELSE 'changed' END AS state FROM e LEFT JOIN f ON f.page_id = e.page_id""")
 
 
 def _gate(k: SparkSession, d: str) -> DataFrame:

@@ -120,3 +120,23 @@ def test_stream_equals_table(spark, tmp_path):
     got = [tuple(r) for r in spark.table("edit_saves").collect()]
     want, _ = replay([tuple(r) for r in ordered])
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_windows_in_parts_equal_whole_ones(spark):
+    """A key's edits cut into many parts, null keys and times of one among them, give what one part gives."""
+    from pyspark.sql import functions as F
+
+    from pagegrain.operators import manifest
+
+    rng = random.Random(3)
+    rows = [(rng.choice((1, 1, 1, 2, None)), 1_700_000_000 + i // 2 * rng.choice((0, 1, 50)), i, rng.choice(("a", "b", None)), rng.random()) for i in range(600)]
+    edits = spark.createDataFrame(rows, "user_id long, t long, event_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("t")).repartition(4)
+    whole, some = 1 << 60, 40_000_000
+    for run in (
+        lambda p: manifest.debounced(edits, "user_id", 20_000, p),
+        lambda p: manifest.changes_only(edits, "user_id", "event_type", p),
+        lambda p: manifest.stale(edits, "user_id", F.unix_micros("ts") - 30_000_000, p),
+        lambda p: manifest.accumulated(edits, "user_id", p),
+        lambda p: manifest.geometry_saves(edits, "user_id", "t", "event_id", 10, F.col("event_id") % 30, p // 1_000_000),
+    ):
+        assert sorted(map(tuple, run(some).collect()), key=str) == sorted(map(tuple, run(whole).collect()), key=str)
