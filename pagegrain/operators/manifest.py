@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .held import held
-from .parts import nearest, running
+from .parts import before, nearest, running
 
 #: Keys of a style and their defaults.
 STYLE = {"color": "auto", "font": "default", "fontSize": "auto", "bold": False, "strokeWidth": "auto", "strokeColor": "auto", "bgColor": "transparent", "cornerRadius": "0", "horizontalAlign": "center", "verticalAlign": "middle"}
@@ -77,14 +77,9 @@ def _timed(edits: DataFrame, key: str, *columns: str) -> DataFrame:
     return edits.select(F.col(key).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(0).alias("rank"), F.col("event_id").alias("seq"), *columns)
 
 
-def _before(rows: DataFrame, mark: Column, part: int) -> DataFrame:
-    """rows with `mark` of the edit before."""
-    return nearest(rows, rows.select("key", "at", "rank", "seq", mark.alias("mark")), ["key"], part, False)
-
-
 def debounced(edits: DataFrame, key: str, gap_ms: int, part: int = PART) -> DataFrame:
     """The last value of each burst of edits with gaps of under gap_ms."""
-    rows = _before(_timed(edits, key, "value"), F.struct("at"), part)
+    rows = before(_timed(edits, key, "value"), ["key"], F.struct("at"), part)
     new = F.coalesce((F.col("at") - F.col("mark.at") >= gap_ms * 1000).cast("int"), F.lit(1))
     burst = running(rows.select("key", "at", "seq", "value", new.alias("new")), ["key"], F.col("new"), "burst", part)
     return burst.groupBy(F.col("key").alias(key), "burst").agg(F.max_by("value", F.struct("at", "seq")).alias("value"), F.count("*").alias("n"))
@@ -92,14 +87,14 @@ def debounced(edits: DataFrame, key: str, gap_ms: int, part: int = PART) -> Data
 
 def changes_only(edits: DataFrame, key: str, value: str, part: int = PART) -> DataFrame:
     """Checkpoints without those that repeat the one before."""
-    rows = _before(_timed(edits, key, F.col(value).alias("value")), F.struct("value"), part)
+    rows = before(_timed(edits, key, F.col(value).alias("value")), ["key"], F.struct("value"), part)
     kept = rows.where(~F.col("value").eqNullSafe(F.col("mark.value")) | F.col("mark.value").isNull())
     return kept.select(F.col("key").alias(key), F.col("seq").alias("event_id"), F.col("value").alias(value))
 
 
 def stale(edits: DataFrame, key: str, began: Column, part: int = PART) -> DataFrame:
     """Optimistic commits: one is stale if the state changed (another edit of its key) after its work began."""
-    rows = _before(_timed(edits, key, began.alias("began")), F.struct("at"), part)
+    rows = before(_timed(edits, key, began.alias("began")), ["key"], F.struct("at"), part)
     told = running(rows.select("key", "at", "seq", "began", F.col("mark.at").alias("last")), ["key"], F.lit(1), "version", part)
     return told.select(F.col("key").alias(key), F.col("seq").alias("event_id"), F.col("version").cast("int").alias("version"), F.coalesce(F.col("last") > F.col("began"), F.lit(False)).alias("stale"))
 

@@ -41,6 +41,16 @@ def nearest(rows: DataFrame, marks: DataFrame, keys: list[str], part: int, follo
     return out.select("row.*", F.coalesce("found", "beyond").alias("mark"))
 
 
+def before(rows: DataFrame, keys: list[str], mark: Column, part: int) -> DataFrame:
+    """rows (keys, at, seq, ..) with `mark`, a struct of the row before."""
+    told = rows.withColumns({"part": F.floor(F.col("at") / part), "_mark": mark})
+    inside = Window.partitionBy(*keys, "part").orderBy("at", "seq")
+    parts = told.groupBy(*keys, "part").agg(F.max_by("_mark", F.struct("at", "seq")).alias("edge"))
+    parts = parts.select(*keys, "part", F.lag("edge").over(Window.partitionBy(*keys).orderBy("part")).alias("beyond"))
+    out = _joined(told.withColumn("found", F.lag("_mark").over(inside)), parts, keys, "beyond")
+    return out.select(*rows.columns, F.coalesce("found", "beyond").alias("mark"))
+
+
 def running(rows: DataFrame, keys: list[str], value: Column, name: str, part: int, total: Callable[[Column], Column] = F.sum) -> DataFrame:
     """rows (keys, at, seq, ..) with `name`, the sum or largest of value up to each row."""
     told = rows.withColumns({"part": F.floor(F.col("at") / part), "_added": value})

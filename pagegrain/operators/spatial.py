@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from ..functions.geometry import centre, contains, corner, gaps, iou, overlap
 from .labels import linked
 
+PAIRS = 1 << 20  # pairs of boxes compared at once
+
 
 def valid_boxes(boxes: DataFrame, w: int, h: int) -> DataFrame:
     """Positive sides, at most .97 of the width and .35 of the page, aspect from 1/25 to 25."""
@@ -132,20 +134,26 @@ def near_texts(boxes: DataFrame, x_gap: int = 35, y_gap: int = 40, edge: int = 4
 
     def close(batches):
         for batch in batches:
-            for i in range(len(batch)):
-                held = batch["boxes"][i].values
-                index, x1, y1, x2, y2 = (held.field(c).to_numpy() for c in ("box_index", "x1", "y1", "x2", "y2"))
-                a, b = [], []
-                for s in range(0, len(index), 1024):  # so many rows of the page's matrix at once
-                    some = slice(s, s + 1024)
-                    dx = np.maximum(x1[some, None] - x2, x1 - x2[some, None])
-                    dy = np.maximum(y1[some, None] - y2, y1 - y2[some, None])
-                    near = (dx <= x_gap) & ((np.abs(y1[some, None] - y1) < edge) | (np.abs(y2[some, None] - y2) < edge) | (dy <= y_gap))
-                    p, q = np.nonzero(near)
-                    a.append(p + s)
-                    b.append(q)
-                label = linked(len(index), np.concatenate(a), np.concatenate(b))
-                yield pa.record_batch([pa.array(np.full(len(index), batch["page_id"][i].as_py())), pa.array(index.astype(np.int32)), pa.array(index[label].astype(np.int32))], ["page_id", "box_index", "cluster"])
+            held = batch["boxes"].flatten()
+            if not len(held):
+                continue
+            index, x1, y1, x2, y2 = (held.field(c).to_numpy() for c in ("box_index", "x1", "y1", "x2", "y2"))
+            sizes = np.diff(batch["boxes"].offsets.to_numpy())
+            first = np.repeat(np.cumsum(sizes) - sizes, sizes)  # of each box's page
+            of_page = np.repeat(sizes, sizes)
+            ends, links, row = np.cumsum(of_page), [], 0
+            while row < len(index):  # so many pairs at once
+                end = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + PAIRS, "right")))
+                some = of_page[row:end]
+                a = np.repeat(np.arange(row, end), some)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(some) - some, some) + first[a]
+                dx, dy = np.maximum(x1[a] - x2[b], x1[b] - x2[a]), np.maximum(y1[a] - y2[b], y1[b] - y2[a])
+                near = (dx <= x_gap) & ((np.abs(y1[a] - y1[b]) < edge) | (np.abs(y2[a] - y2[b]) < edge) | (dy <= y_gap))
+                links.append((a[near], b[near]))
+                row = end
+            label = linked(len(index), *(np.concatenate(x) for x in zip(*links, strict=True)))
+            page = np.repeat(batch["page_id"].to_numpy(), sizes)
+            yield pa.record_batch([pa.array(page), pa.array(index.astype(np.int32)), pa.array(index[label].astype(np.int32))], ["page_id", "box_index", "cluster"])
 
     corners = (F.col(c).cast("long").alias(c) for c in ("box_index", "x1", "y1", "x2", "y2"))
     texts = boxes.where("kind = 'text'").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*corners))).alias("boxes"))
