@@ -57,12 +57,13 @@ FROM o WHERE there GROUP BY chapter_id""", "page", "box"))
 
 
 def slices(k: SparkSession, d: str) -> DataFrame:
-    """Pages of 640 rows cut at rows that depend on their ids, as files, read back."""
-    pages = media.tall(k, d)
+    """Pages of 640 rows cut at rows that depend on their ids, as files, read back.  Parts meet the vectors that pages are made of: pixels
+    are neither shuffled nor broadcast, which the planner would do, for it takes an array for a single value."""
+    pages = table(k, d, "embeddings").select(C("vec_id").alias("img"), "embedding")
     cuts = pages.select("img", F.explode(F.array(*(F.lit(x) + C("img") % 20 for x in (150, 300, 480)))).alias("cut"))
     parts = raster.slices(pages.select("img", F.lit(640).alias("height")), cuts, F.concat(F.lit("p"), C("img").cast("string")), F.lit(".png"))
     listed = parts.groupBy("img").agg(F.sort_array(F.collect_list(F.struct("place", "top", "bottom", "name"))).alias("parts"))
-    return output.slice_files(pages.join(listed, "img"))
+    return output.slice_files(pages.join(listed, "img").select("img", media.tall_gray().alias("gray"), "parts"))
 
 
 def _read_back(k: SparkSession, d: str) -> DataFrame:
