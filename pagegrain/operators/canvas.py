@@ -175,7 +175,8 @@ def split_rows(rows: DataFrame, boxes: DataFrame, tall: int = 45, bucket: int =
     low, high = F.greatest(F.lit(0), F.col("y1") - 1), F.col("y2")
     asked = own.where(F.col("y2") - F.col("y1") > tall).withColumn("bucket", F.explode(F.sequence(F.floor(low / bucket), F.floor(high / bucket))))
     there = rows.select("page_id", F.col("y").cast("int").alias("y"), "row", F.floor(F.col("y") / bucket).alias("bucket"))
-    met = asked.join(there, ["page_id", "bucket"]).where((F.col("y") >= low) & (F.col("y") <= high) & (F.col("x2") > F.col("x1")))
+    # merged, for the planner takes a row of pixels for a single value and would broadcast pages
+    met = asked.join(there.hint("merge"), ["page_id", "bucket"]).where((F.col("y") >= low) & (F.col("y") <= high) & (F.col("x2") > F.col("x1")))
     part = F.slice("row", F.greatest(F.lit(0), F.col("x1")) + 1, F.col("x2") - F.greatest(F.lit(0), F.col("x1")))
     crops = met.groupBy("page_id", "box_index", *corners).agg(F.sort_array(F.collect_list(F.struct("y", part.alias("part")))).alias("crop"))
 
@@ -189,5 +190,5 @@ def split_rows(rows: DataFrame, boxes: DataFrame, tall: int = 45, bucket: int =
             yield pd.DataFrame(out, columns=["page_id", "box_index", "line", *corners])
 
     lines = crops.select("page_id", "box_index", *corners, "crop").mapInPandas(split, "page_id long, box_index int, line int, x1 int, y1 int, x2 int, y2 int")
-    rest = own.join(crops.select("page_id", "box_index"), ["page_id", "box_index"], "left_anti")
+    rest = own.join(crops.select("page_id", "box_index").hint("merge"), ["page_id", "box_index"], "left_anti")
     return lines.unionByName(rest.select("page_id", F.col("box_index").cast("int").alias("box_index"), F.lit(0).alias("line"), *corners))

@@ -1,5 +1,9 @@
 """What grows with pixels stays out of the driver, and out of a task's memory: plans and batches."""
 
+import re
+
+from pagegrain.operators import canvas, processing
+from pagegrain.plans import detection
 from pagegrain.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -19,3 +23,10 @@ def broadcast(df):
 
 def test_pages_that_are_cut_are_not_broadcast(spark):
     assert "gray" not in broadcast(QUERIES["slice_files"](spark, SF))
+
+
+def test_rows_of_pages_are_not_broadcast(spark):
+    boxes = detection.page_boxes(spark, SF).where("kind = 'text'")
+    assert "row" not in re.findall(r"\w+", broadcast(canvas.split_rows(detection.page_rows(spark, SF), boxes)))
+    found = boxes.select("page_id", "box_index", "x1", "y1", "x2", "y2")
+    assert not {"row", "gray"} & set(re.findall(r"\w+", broadcast(processing.page_plan(detection.page_rows(spark, SF), found))))
