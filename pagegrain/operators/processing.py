@@ -18,10 +18,11 @@ def found_boxes(rows: DataFrame, boxes: DataFrame, excluded: DataFrame, w: int,
 
 
 def page_plan(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The fill plan of those boxes.  A page's rows meet in one task, for its fills follow each other; pages without boxes have no plan."""
+    """The fill plan of those boxes.  A page's rows meet in one task, for its fills follow each other; pages without boxes have no plan.
+    Pages and boxes are merged: the planner takes a page for a single value and would broadcast it."""
     listed = found.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*(F.col(c).cast("int").alias(c) for c in ("box_index", "x1", "y1", "x2", "y2")), F.lit(None).cast("array<array<int>>").alias("mask")))).alias("boxes"))
     gray = rows.join(listed.select("page_id"), "page_id", "left_semi").groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "row"))), lambda r: r["row"]).alias("gray"))
-    return fill.box_plan(gray.join(listed, "page_id").select(F.col("page_id").alias("img"), "gray", "boxes"))
+    return fill.box_plan(gray.hint("merge").join(listed, "page_id").select(F.col("page_id").alias("img"), "gray", "boxes"))
 
 
 def committed(pages: DataFrame, results: DataFrame) -> DataFrame:
