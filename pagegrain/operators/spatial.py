@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.geometry import centre, contains, corner, gaps, iou, overlap
@@ -31,12 +32,20 @@ def text_in_bubble(boxes: DataFrame) -> DataFrame:
     return pairs(texts, bubbles, contains("a", "b")).select("a.page_id", F.col("a.box_index").alias("text_index"), F.col("b.box_index").alias("bubble_index"))
 
 
+def _empty(boxes: DataFrame) -> DataFrame:
+    """Bubbles that hold no text, with mx and my, by which they are shrunk: 3 % but at least 2 on each side."""
+    texts, bubbles = boxes.where("kind = 'text'"), boxes.where("kind = 'bubble'")
+    empty = pairs(bubbles, texts.select("page_id", "x1", "y1", "x2", "y2"), contains("b", "a"), "left_anti")
+    return empty.withColumns({f"m{c}": F.greatest(F.lit(2), F.floor((F.col(f"{c}2") - F.col(f"{c}1")) * 3 / 100)) for c in "xy"})
+
+
+def _shrunk() -> list[Column]:
+    return [(F.col("x1") + F.col("mx")).alias("x1"), (F.col("y1") + F.col("my")).alias("y1"), (F.col("x2") - F.col("mx")).alias("x2"), (F.col("y2") - F.col("my")).alias("y2")]
+
+
 def bubbles_without_text(boxes: DataFrame) -> DataFrame:
     """Bubbles that hold no text, shrunk by 3 % but at least 2 on each side."""
-    texts, bubbles = boxes.where("kind = 'text'"), boxes.where("kind = 'bubble'")
-    empty = pairs(bubbles, texts, contains("b", "a"), "left_anti")
-    mx, my = (F.greatest(F.lit(2), F.floor((F.col(f"{c}2") - F.col(f"{c}1")) * 3 / 100)) for c in "xy")
-    return empty.select("page_id", "box_index", (F.col("x1") + mx).alias("x1"), (F.col("y1") + my).alias("y1"), (F.col("x2") - mx).alias("x2"), (F.col("y2") - my).alias("y2"))
+    return _empty(boxes).select("page_id", "box_index", *_shrunk())
 
 
 def standalone_text(boxes: DataFrame) -> DataFrame:
@@ -77,29 +86,38 @@ def cluster_hulls(boxes: DataFrame, w: int, h: int, pad_x: int = 20, pad_y: int
     return hull.select("page_id", F.greatest(F.col("x1") - pad_x, F.lit(0)).alias("x1"), F.greatest(F.col("y1") - pad_y, F.lit(0)).alias("y1"), F.least(F.col("x2") + pad_x, F.lit(w)).alias("x2"), F.least(F.col("y2") + pad_y, F.lit(h)).alias("y2"), "confidence", split.alias("split"))
 
 
-def suppress(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
+def kept_boxes(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Greedy non-maximum suppression on each page: best confidence first (ties by index), drop what
-    overlaps a kept box by more than the threshold.  The order decides, so a page's boxes are
-    one row; many pages pass through Python at once."""
+    overlaps a kept box by more than the threshold.  What is left keeps all its columns.  The order decides, so a
+    page's boxes are one row; the pages of a batch are judged at once, each page's best box that is left in each round."""
+    names = boxes.columns
 
     def keep(batches):
-        for pdf in batches:
-            out = []
-            for page, boxes_ in zip(pdf["page_id"], pdf["boxes"], strict=True):
-                kept = []
-                for r in boxes_:
-                    size = (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])
-                    for k, s in kept:
-                        both = max(0, min(r["x2"], k["x2"]) - max(r["x1"], k["x1"])) * max(0, min(r["y2"], k["y2"]) - max(r["y1"], k["y1"]))
-                        if both > threshold * (size + s - both):
-                            break
-                    else:
-                        kept.append((r, size))
-                out += [(page, k["box_index"]) for k, _ in kept]
-            yield pd.DataFrame(out, columns=["page_id", "box_index"])
-
-    row = F.struct((-F.col("confidence")).alias("order"), "box_index", "x1", "y1", "x2", "y2")
-    return boxes.groupBy("page_id").agg(F.sort_array(F.collect_list(row)).alias("boxes")).mapInPandas(keep, "page_id long, box_index int")
+        for batch in batches:
+            held = batch["boxes"].flatten()
+            sizes = np.diff(batch["boxes"].offsets.to_numpy())
+            x1, y1, x2, y2 = (held.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2"))
+            x1, y1, x2, y2 = (v.astype(np.int64) if v.dtype.kind in "iu" else v for v in (x1, y1, x2, y2))
+            page, area = np.repeat(np.arange(len(sizes)), sizes), (x2 - x1) * (y2 - y1)
+            left, kept = np.arange(len(held)), [np.zeros(0, np.int64)]
+            while len(left):
+                first = np.append(True, np.diff(page[left]) != 0)
+                kept.append(left[first])
+                best = left[first][np.cumsum(first) - 1]
+                both = np.maximum(0, np.minimum(x2[left], x2[best]) - np.maximum(x1[left], x1[best])) * np.maximum(0, np.minimum(y2[left], y2[best]) - np.maximum(y1[left], y1[best]))
+                left = left[~first & ~(both > threshold * (area[left] + area[best] - both))]
+            some = pa.array(np.sort(np.concatenate(kept)))
+            yield pa.record_batch([held.field(c).take(some) for c in names], names)
+
+    row = F.struct((-F.col("confidence")).alias("_order"), F.col("box_index").alias("_index"), *names)
+    listed = boxes.groupBy("page_id").agg(F.sort_array(F.collect_list(row)).alias("boxes"))
+    return listed.select("boxes").mapInArrow(keep, StructType([StructField(f.name, f.dataType) for f in boxes.schema]))
+
+
+def suppress(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(page_id, box_index) of kept_boxes."""
+    kept = kept_boxes(boxes.select("page_id", "box_index", "x1", "y1", "x2", "y2", "confidence"), threshold)
+    return kept.select(F.col("page_id").cast("long").alias("page_id"), F.col("box_index").cast("int").alias("box_index"))
 
 
 def components(boxes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -128,16 +146,17 @@ def components(boxes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(links, "page_id", "left").mapInPandas(close, "page_id long, box_index int, cluster int")
 
 
-def near_texts(boxes: DataFrame, x_gap: int = 35, y_gap: int = 40, edge: int = 45) -> DataFrame:
-    """(page_id, box_index, cluster): components of free_text_edges over a page's texts by one shuffle: a page's
-    boxes are one row of arrays, and pairs are compared by them."""
+def clustered_texts(boxes: DataFrame, x_gap: int = 35, y_gap: int = 40, edge: int = 45) -> DataFrame:
+    """A page's texts with cluster: components of free_text_edges over a page's texts by one shuffle: a page's
+    boxes are one row of arrays, and pairs are compared by them.  Their other columns pass as they are."""
+    names = boxes.columns
 
     def close(batches):
         for batch in batches:
             held = batch["boxes"].flatten()
             if not len(held):
                 continue
-            index, x1, y1, x2, y2 = (held.field(c).to_numpy() for c in ("box_index", "x1", "y1", "x2", "y2"))
+            index, x1, y1, x2, y2 = (held.field(f"_{c}").to_numpy() for c in ("box_index", "x1", "y1", "x2", "y2"))
             sizes = np.diff(batch["boxes"].offsets.to_numpy())
             first = np.repeat(np.cumsum(sizes) - sizes, sizes)  # of each box's page
             of_page = np.repeat(sizes, sizes)
@@ -152,12 +171,17 @@ def near_texts(boxes: DataFrame, x_gap: int = 35, y_gap: int = 40, edge: int = 4
                 links.append((a[near], b[near]))
                 row = end
             label = linked(len(index), *(np.concatenate(x) for x in zip(*links, strict=True)))
-            page = np.repeat(batch["page_id"].to_numpy(), sizes)
-            yield pa.record_batch([pa.array(page), pa.array(index.astype(np.int32)), pa.array(index[label].astype(np.int32))], ["page_id", "box_index", "cluster"])
+            yield pa.record_batch([*(held.field(c) for c in names), pa.array(index[label].astype(np.int32))], [*names, "cluster"])
+
+    corners = (F.col(c).cast("long").alias(f"_{c}") for c in ("box_index", "x1", "y1", "x2", "y2"))
+    texts = boxes.where("kind = 'text'").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*corners, *names))).alias("boxes"))
+    return texts.select("boxes").mapInArrow(close, StructType([*(StructField(f.name, f.dataType) for f in boxes.schema), StructField("cluster", IntegerType())]))
 
-    corners = (F.col(c).cast("long").alias(c) for c in ("box_index", "x1", "y1", "x2", "y2"))
-    texts = boxes.where("kind = 'text'").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*corners))).alias("boxes"))
-    return texts.select(F.col("page_id").cast("long").alias("page_id"), "boxes").mapInArrow(close, "page_id long, box_index int, cluster int")
+
+def near_texts(boxes: DataFrame, x_gap: int = 35, y_gap: int = 40, edge: int = 45) -> DataFrame:
+    """(page_id, box_index, cluster) of clustered_texts."""
+    out = clustered_texts(boxes.select("page_id", "box_index", "x1", "y1", "x2", "y2", "kind"), x_gap, y_gap, edge)
+    return out.select(F.col("page_id").cast("long").alias("page_id"), F.col("box_index").cast("int").alias("box_index"), "cluster")
 
 
 def best_box(boxes: DataFrame) -> DataFrame:
@@ -196,21 +220,28 @@ def passes_merged(boxes: DataFrame, w: int, h: int, threshold: float = 0.3) -> D
     place = F.when(F.col("pass") == "plain", 0).when(F.col("pass") == "flipped", 1).otherwise(2)
     order = F.row_number().over(Window.partitionBy("page_id").orderBy(place, "box_index"))
     numbered = back.withColumn("number", order)
-    kept = suppress(numbered.select("page_id", F.col("number").alias("box_index"), "x1", "y1", "x2", "y2", "confidence"), threshold)
-    return numbered.join(kept.select("page_id", F.col("box_index").alias("number")), ["page_id", "number"], "left_semi").drop("number")
+    kept = kept_boxes(numbered.select("page_id", F.col("number").alias("box_index"), "pass", F.col("box_index").alias("own_index"), "x1", "y1", "x2", "y2", "confidence"), threshold)
+    return kept.select("page_id", "pass", F.col("own_index").alias("box_index"), "x1", "y1", "x2", "y2", "confidence")
 
 
-def empty_bubbles(boxes: DataFrame) -> DataFrame:
+def empty_bubbles(boxes: DataFrame, mask: Column | str = "mask") -> DataFrame:
     """bubbles_without_text of boxes with masks (arrays of rows): only those whose mask has their size and anything
-    in it, with confidence and the mask cut like the box.  What is left must have the mask's size, too."""
-    shrunk = bubbles_without_text(boxes.drop("mask")).withColumnsRenamed({c: f"n{c}" for c in ("x1", "y1", "x2", "y2")})
-    rows = boxes.join(shrunk, ["page_id", "box_index"])
+    in it, with confidence and the mask cut like the box.  What is left must have the mask's size, too.  The mask is a column, or is made
+    of a box's columns; then it is made for bubbles without text only, so that no mask is shuffled."""
+    mask = F.col(mask) if isinstance(mask, str) else mask
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    whole = (F.size("mask") == h) & F.forall("mask", lambda r: F.size(r) == w) & F.exists("mask", lambda r: F.exists(r, lambda v: v > 0))
-    mx, my = F.col("nx1") - F.col("x1"), F.col("ny1") - F.col("y1")
-    fits = (w > 2 * mx) & (h > 2 * my)
-    part = F.transform(F.slice("mask", (my + 1).cast("int"), F.greatest(F.lit(0), h - 2 * my).cast("int")), lambda r: F.slice(r, (mx + 1).cast("int"), F.greatest(F.lit(0), w - 2 * mx).cast("int")))
-    return rows.where(F.coalesce(whole & fits, F.lit(False))).select("page_id", "box_index", *(F.col(f"n{c}").alias(c) for c in ("x1", "y1", "x2", "y2")), "confidence", part.alias("mask"))
+    fits = (w > 2 * F.col("mx")) & (h > 2 * F.col("my"))
+    rows = _empty(boxes).where(F.coalesce(fits, F.lit(False)))
+
+    def cut(m: Column) -> Column:
+        """The part of a whole mask, else null."""
+        whole = (F.size(m) == h) & F.forall(m, lambda r: F.size(r) == w) & F.exists(m, lambda r: F.array_max(r) > 0)
+        return F.when(whole, F.transform(F.slice(m, (F.col("my") + 1).cast("int"), (h - 2 * F.col("my")).cast("int")), lambda r: F.slice(r, (F.col("mx") + 1).cast("int"), (w - 2 * F.col("mx")).cast("int"))))
+
+    # a mask is made once: as the only member of an array it is a variable, not an expression that is copied
+    part = F.get(F.transform(F.array(mask), cut), F.lit(0))
+    cut_out = rows.withColumn("part", F.explode(F.array_compact(F.array(part))))
+    return cut_out.select("page_id", "box_index", *_shrunk(), "confidence", F.col("part").alias("mask"))
 
 
 def free_text_hulls(boxes: DataFrame, w: int, h: int, pad_x: int = 20, pad_y: int = 8, single: int = 6) -> DataFrame:

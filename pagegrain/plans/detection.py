@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grouping, manifest, profile, spatial
@@ -49,16 +49,16 @@ query("passes_mapped", lambda k, d: spatial.mapped_back(passes(k, d), PAGE_W, PA
 query("passes_merged", lambda k, d: spatial.passes_merged(passes(k, d), PAGE_W, PAGE_H))
 
 
-def masked(k: SparkSession, d: str) -> DataFrame:
-    """Boxes with masks: of their size, a row short, empty, or none."""
+def own_mask() -> Column:
+    """A box's mask: of its size, a row short, empty, or none."""
     side = F.when(C("box_index") % 4 == 1, C("y2") - C("y1") - 1).otherwise(C("y2") - C("y1")).cast("int")
     line = F.array_repeat(F.when(C("box_index") % 5 == 2, 0).otherwise(255), (C("x2") - C("x1")).cast("int"))
-    return views.box(k, d).withColumn("mask", F.when(C("page_id") % 3 > 0, F.array_repeat(line, side)))
+    return F.when(C("page_id") % 3 > 0, F.array_repeat(line, side))
 
 
 EMPTY = """SELECT page_id, box_index, x1 + mx AS x1, y1 + my AS y1, x2 - mx AS x2, y2 - my AS y2, confidence, CAST((x2 - x1 - 2 * mx) * (y2 - y1 - 2 * my) AS BIGINT) AS pixels FROM (SELECT *, greatest(2, ((x2 - x1) * 3) // 100) AS mx, greatest(2, ((y2 - y1) * 3) // 100) AS my FROM box b WHERE kind = 'bubble' AND page_id % 3 > 0 AND box_index % 4 <> 1 AND box_index % 5 <> 2
   AND NOT EXISTS (SELECT 1 FROM box t WHERE t.page_id = b.page_id AND t.kind = 'text' AND ((t.x1 + t.x2) / 2.0 BETWEEN b.x1 AND b.x2 AND (t.y1 + t.y2) / 2.0 BETWEEN b.y1 AND b.y2 OR greatest(least(t.x2, b.x2) - greatest(t.x1, b.x1), 0) * greatest(least(t.y2, b.y2) - greatest(t.y1, b.y1), 0) >= 0.5 * (t.x2 - t.x1) * (t.y2 - t.y1))))"""
-query("empty_bubbles", lambda k, d: spatial.empty_bubbles(masked(k, d)).select("page_id", "box_index", "x1", "y1", "x2", "y2", "confidence", F.size(F.flatten("mask")).cast("long").alias("pixels")), sql(EMPTY, "box"))
+query("empty_bubbles", lambda k, d: spatial.empty_bubbles(views.box(k, d), own_mask()).select("page_id", "box_index", "x1", "y1", "x2", "y2", "confidence", F.size(F.flatten("mask")).cast("long").alias("pixels")), sql(EMPTY, "box"))
 query("free_text_hulls", lambda k, d: spatial.free_text_hulls(views.box(k, d), PAGE_W, PAGE_H), sql(f"""+ edge AS (SELECT a.page_id, a.box_index AS p, b.box_index AS q FROM box a JOIN box b ON a.page_id = b.page_id AND a.box_index <> b.box_index AND a.kind = 'text' AND b.kind = 'text' AND {GAP['x']} <= 35 AND (abs(a.y1 - b.y1) < 45 OR abs(a.y2 - b.y2) < 45 OR {GAP['y']} <= 40)),
 reach AS (SELECT page_id, box_index, box_index AS r FROM box WHERE kind = 'text' UNION SELECT reach.page_id, reach.box_index, q FROM reach JOIN edge ON edge.page_id = reach.page_id AND p = r),
 c AS (SELECT page_id, box_index, min(r) AS cluster FROM reach GROUP BY ALL),
