@@ -6,27 +6,47 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..functions.geometry import contains
 from .canvas import split_rows
 from .held import held
-from .spatial import near_texts, pairs, standalone_text, suppress, text_in_bubble, valid_boxes
+from .spatial import clustered_texts, kept_boxes, pairs, valid_boxes
 
 BOX = ("box_index", "x1", "y1", "x2", "y2")
 
 
-def by_page(boxes: DataFrame, label: Callable[[list], Iterable[tuple[int, int]]], name: str, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """(keys, box_index, name): what label says of each page's boxes, which it gets by ascending index."""
+def labelled(boxes: DataFrame, label: Callable[[list], Iterable[tuple[int, int]]], name: str, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """boxes with name: what label says of each page's boxes, which it gets by ascending index.  Their other columns pass as they are."""
+    names = boxes.columns
 
     def run(batches):
-        for pdf in batches:
-            rows = [(*key, index, got) for *key, listed in pdf.itertuples(index=False) for index, got in label(list(listed))]
-            yield pd.DataFrame(rows, columns=[*keys, "box_index", name])
+        for batch in batches:
+            held, ends = batch["boxes"].flatten(), np.cumsum(np.diff(batch["boxes"].offsets.to_numpy()))
+            listed = [dict(zip(BOX, b, strict=True)) for b in zip(*(held.field(f"_{c}").to_pylist() for c in BOX), strict=True)]
+            at, got, first = [], [], 0
+            for end in ends.tolist():
+                place = {b["box_index"]: n for n, b in enumerate(listed[first:end], first)}
+                for index, value in label(listed[first:end]):
+                    at.append(place[index])
+                    got.append(value)
+                first = end
+            some = pa.array(at, pa.int64())
+            yield pa.record_batch([*(held.field(c).take(some) for c in names), pa.array(got, pa.int32())], [*names, name])
+
+    row = F.struct(*(F.col(c).cast("long").alias(f"_{c}") for c in BOX), *names)
+    listed = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("boxes"))
+    return listed.select("boxes").mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in boxes.schema), StructField(name, IntegerType())]))
+
 
-    listed = F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in BOX])))
-    return boxes.groupBy(*keys).agg(listed.alias("boxes")).mapInPandas(run, ", ".join(f"{k} long" for k in keys) + f", box_index int, {name} int")
+def by_page(boxes: DataFrame, label: Callable[[list], Iterable[tuple[int, int]]], name: str, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """(keys, box_index, name) of labelled."""
+    out = labelled(boxes.select(*keys, *BOX), label, name, keys)
+    return out.select(*(F.col(k).cast("long").alias(k) for k in keys), F.col("box_index").cast("int").alias("box_index"), name)
 
 
 def _capacity(reach: int, most: int):
@@ -102,18 +122,17 @@ def line_groups(boxes: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataF
     return by_page(boxes, _line_groups(), "line_group", keys)
 
 
-def _hulls(grouped: DataFrame, keys: list[str]) -> DataFrame:
-    return grouped.groupBy(*keys).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.max("confidence").alias("confidence"), F.count("*").alias("n"), F.min("box_index").alias("first_index"))
+def _hulls(grouped: DataFrame, keys: list[str], *more) -> DataFrame:
+    return grouped.groupBy(*keys).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.max("confidence").alias("confidence"), F.count("*").alias("n"), F.min("box_index").alias("first_index"), *more)
 
 
 def bubble_texts(boxes: DataFrame) -> DataFrame:
     """A hull for each line group of the texts inside a bubble: padded by 24 and 10, within the bubble and 8 around it."""
-    inside = text_in_bubble(boxes).select("page_id", F.col("text_index").alias("box_index"), "bubble_index")
-    texts = boxes.join(inside, ["page_id", "box_index"])
-    keys = ("page_id", "bubble_index")
-    hull = _hulls(texts.join(line_groups(texts, keys), [*keys, "box_index"]), [*keys, "line_group"]).alias("h")
-    b = boxes.select("page_id", F.col("box_index").alias("bubble_index"), *[F.col(c).alias(f"b{c}") for c in BOX[1:]])
-    out = hull.join(b, list(keys))
+    keys, sides = ("page_id", "bubble_index"), BOX[1:]
+    texts, bubbles = boxes.where("kind = 'text'"), boxes.where("kind = 'bubble'")
+    inside = pairs(texts.select("page_id", *BOX, "confidence"), bubbles.select("page_id", *BOX), contains("a", "b"))
+    texts = inside.select("a.page_id", *(F.col(f"a.{c}").alias(c) for c in (*BOX, "confidence")), F.col("b.box_index").alias("bubble_index"), *(F.col(f"b.{c}").alias(f"b{c}") for c in sides))
+    out = _hulls(labelled(texts, _line_groups(), "line_group", keys), [*keys, "line_group"], *(F.first(f"b{c}").alias(f"b{c}") for c in sides))
     edge = {"x1": F.greatest(F.col("x1") - 24, F.col("bx1") - 8), "y1": F.greatest(F.col("y1") - 10, F.col("by1") - 8), "x2": F.least(F.col("x2") + 24, F.col("bx2") + 8), "y2": F.least(F.col("y2") + 10, F.col("by2") + 8)}
     return out.select("page_id", "bubble_index", "line_group", *[e.alias(c) for c, e in edge.items()], "confidence").where("x2 > x1 and y2 > y1")
 
@@ -121,10 +140,11 @@ def bubble_texts(boxes: DataFrame) -> DataFrame:
 def free_texts(boxes: DataFrame, w: int, h: int, most: float = 0.35) -> DataFrame:
     """A hull for each line group of each cluster of texts outside bubbles, padded by 20 and 8 (a
     single box: 6), cut at the page; hulls over .35 of the page are dropped."""
-    texts = boxes.join(standalone_text(boxes), ["page_id", "box_index"], "left_semi")
-    clustered = texts.join(near_texts(texts), ["page_id", "box_index"])
+    texts, bubbles = boxes.where("kind = 'text'"), boxes.where("kind = 'bubble'")
+    alone = pairs(texts.select("page_id", *BOX, "kind", "confidence"), bubbles.select("page_id", *BOX[1:]), contains("a", "b"), "left_anti")
     keys = ("page_id", "cluster")
-    hull = _hulls(clustered.join(line_groups(clustered, keys), [*keys, "box_index"]), [*keys, "line_group"])
+    clustered = clustered_texts(alone).select("page_id", *BOX, "confidence", "cluster")
+    hull = _hulls(labelled(clustered, _line_groups(), "line_group", keys), [*keys, "line_group"])
     pad = F.when(F.col("n") == 1, 6).otherwise(8)
     edge = {"x1": F.greatest(F.lit(0), F.col("x1") - 20), "y1": F.greatest(F.lit(0), F.col("y1") - pad), "x2": F.least(F.lit(w), F.col("x2") + 20), "y2": F.least(F.lit(h), F.col("y2") + pad)}
     out = hull.select(*keys, "line_group", *[e.alias(c) for c, e in edge.items()], "confidence")
@@ -146,7 +166,7 @@ def detect(boxes: DataFrame, w: int, h: int, empty_bubbles: DataFrame | None = N
         numbered = held(numbered)
         lines = split_rows(rows, numbered).drop("line").join(numbered.select("page_id", "box_index", "confidence"), ["page_id", "box_index"])
         numbered = held(lines.select(*sides).distinct().withColumn("box_index", order))
-    return numbered.join(suppress(numbered, iou), ["page_id", "box_index"], "left_semi").select(*sides)
+    return kept_boxes(numbered, iou).select(*sides)
 
 
 def _order():

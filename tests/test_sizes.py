@@ -31,3 +31,18 @@ def test_rows_of_pages_are_not_broadcast(spark):
     assert "row" not in re.findall(r"\w+", broadcast(canvas.split_rows(detection.page_rows(spark, SF), boxes)))
     found = boxes.select("page_id", "box_index", "x1", "y1", "x2", "y2")
     assert not {"row", "gray"} & set(re.findall(r"\w+", broadcast(processing.page_plan(detection.page_rows(spark, SF), found))))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_masks_are_made_after_the_join(spark):
+    text = plan(QUERIES["empty_bubbles"](spark, SF))
+    assert text.count("Join") == 1 and "array_repeat" not in text[text.index("Join") :]
+
+
+def test_boxes_keep_their_columns_through_python(spark):
+    assert "Join" not in plan(QUERIES["passes_merged"](spark, SF))
+    assert plan(QUERIES["free_texts"](spark, SF)).count("Join") == 1  # texts against bubbles
+    assert plan(QUERIES["detect"](spark, SF)).count("Join") <= 4
