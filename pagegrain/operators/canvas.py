@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SELECTION = "img long, click long, refused boolean, pixels long, runs array<struct<y: int, x1: int, x2: int>>"
+PAGES = 16  # pages whose pixels and lines are Python's objects at once
+SPLIT = pa.schema([("page_id", pa.int64()), ("box_index", pa.int32()), ("line", pa.int32()), *((c, pa.int32()) for c in ("x1", "y1", "x2", "y2")), ("mask", pa.list_(pa.list_(pa.int32())))])
 LINES = "page_id long, box_index int, line int, x1 int, y1 int, x2 int, y2 int, mask array<array<int>>"
 
 
@@ -147,21 +149,23 @@ def split_tall(pages: DataFrame, boxes: DataFrame) -> DataFrame:
     pixels) become their lines of text, trimmed to what they hold; other boxes stay, as line 0.
 
     boxes hold page_id, box_index, x1, y1, x2, y2 within the page and a mask of their size or
-    null.  A page and its boxes are one row, so a page's pixels are shuffled once."""
+    null.  A page and its boxes are one row, so a page's pixels are shuffled once; of the pages of a batch few at a time are Python's objects."""
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for page, gray, listed in zip(pdf["page_id"], pdf["gray"], pdf["boxes"], strict=True):
-                gray = np.stack([np.asarray(r) for r in gray]) if len(gray) else np.zeros((0, 0))
-                for b in listed:
-                    box = (b["x1"], b["y1"], b["x2"], b["y2"])
-                    mask = None if b["mask"] is None else np.stack([np.asarray(r) for r in b["mask"]])
-                    out += [(page, b["box_index"], k, *line, cut_mask(mask, box, line).tolist()) for k, line in enumerate(text_lines(gray, box))]
-            yield pd.DataFrame(out, columns=["page_id", "box_index", "line", "x1", "y1", "x2", "y2", "mask"])
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), PAGES):
+                pdf, out = batch.slice(first, PAGES).to_pandas(), []
+                for page, gray, listed in zip(pdf["page_id"], pdf["gray"], pdf["boxes"], strict=True):
+                    gray = np.stack([np.asarray(r) for r in gray]) if len(gray) else np.zeros((0, 0))
+                    for b in listed:
+                        box = (b["x1"], b["y1"], b["x2"], b["y2"])
+                        mask = None if b["mask"] is None else np.stack([np.asarray(r) for r in b["mask"]])
+                        out += [(page, b["box_index"], k, *line, cut_mask(mask, box, line).tolist()) for k, line in enumerate(text_lines(gray, box))]
+                if out:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SPLIT, strict=True)], schema=SPLIT)
 
     held = boxes.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("box_index", "x1", "y1", "x2", "y2", "mask"))).alias("boxes"))
-    return pages.select("page_id", "gray").join(held, "page_id").mapInPandas(split, LINES)
+    return pages.select("page_id", "gray").join(held, "page_id").mapInArrow(split, LINES)
 
 
 def split_rows(rows: DataFrame, boxes: DataFrame, tall: int = 45, bucket: int = 64) -> DataFrame:

@@ -46,3 +46,12 @@ def test_boxes_keep_their_columns_through_python(spark):
     assert "Join" not in plan(QUERIES["passes_merged"](spark, SF))
     assert plan(QUERIES["free_texts"](spark, SF)).count("Join") == 1  # texts against bubbles
     assert plan(QUERIES["detect"](spark, SF)).count("Join") <= 4
+
+
+def test_an_address_is_read_once(spark):
+    assert plan(QUERIES["ssrf_ipv4"](spark, SF)).count("split(") == 1
+
+
+def test_pages_of_a_batch_are_few_objects_at_once(spark):
+    text = plan(QUERIES["tall_lines"](spark, SF))
+    assert "MapInArrow" in text and "MapInPandas" not in text
