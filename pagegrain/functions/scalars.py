@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,20 +48,31 @@ def clamp(value: Column, low: int, high: int, default: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(value, F.lit(default))))
 
 
+def _once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is computed once, however often it is named: in an array it is a variable, not an expression that is copied."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def ipv4(text: Column) -> Column:
     """A dotted quad as a number, else null."""
-    parts = F.split(text, r"\.")
-    number = sum((parts[i].cast("long") * 256 ** (3 - i) for i in range(1, 4)), parts[0].cast("long") * 256**3)
-    return F.when(text.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$") & F.forall(parts, lambda p: p.cast("int") <= 255), number)
+
+    def number(t: Column, parts: Column) -> Column:
+        whole = sum((parts[i].cast("long") * 256 ** (3 - i) for i in range(1, 4)), parts[0].cast("long") * 256**3)
+        return F.when(t.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$") & F.forall(parts, lambda p: p.cast("int") <= 255), whole)
+
+    return _once(text, lambda t: _once(F.split(t, r"\."), lambda parts: number(t, parts)))
 
 
 def address_blocked(number: Column) -> Column:
-    out = F.lit(False)
-    for base, bits in BLOCKED:
-        a, b, c, d = map(int, base.split("."))
-        low = ((a * 256 + b) * 256 + c) * 256 + d
-        out = out | number.between(low, low + 2 ** (32 - bits) - 1)
-    return out
+    def inside(n: Column) -> Column:
+        out = F.lit(False)
+        for base, bits in BLOCKED:
+            a, b, c, d = map(int, base.split("."))
+            low = ((a * 256 + b) * 256 + c) * 256 + d
+            out = out | n.between(low, low + 2 ** (32 - bits) - 1)
+        return out
+
+    return _once(number, inside)
 
 
 def natural_key(text: Column) -> Column:
