@@ -141,6 +141,21 @@ def test_content_rows(monkeypatch, h, w, size):
         assert content.content_mask(g, size=size, pad=4).tolist() == want
 
 
+def test_content_takes_little_room():
+    import tracemalloc
+
+    g = np.full((640, 48), 255, np.int64)
+    g[::7, 5:30] = 60
+    content.content_mask(g)
+    tracemalloc.start()
+    content.content_mask(g)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 65 * g.size  # gradients in 32 bits, running sums in 16
+    wide = g * 40_000  # values that have no room there
+    assert {tuple(p) for p in np.argwhere(content.gradient_edges(wide[:30], 30, 120)).tolist()} == naive_edges(wide[:30].tolist(), 30, 120)
+
+
 def test_content_of_odd_pages(spark):
     g = picture(np.random.default_rng(9), 50, 40)
     rows = spark.createDataFrame([(1, g.tolist()), (2, []), (3, None), (4, [[255]])], "img long, gray array<array<int>>")
