@@ -31,9 +31,9 @@ query("page_plan", lambda k, d: processing.page_plan(detection.page_rows(k, d),
 
 def edited(k: SparkSession, d: str) -> DataFrame:
     """The scenes of the fill plans after an edit: some boxes removed, and a mask of half the page's size painted by hand."""
-    small = F.transform(F.filter("mask", lambda _, y: y % 2 == 0), lambda r: F.transform(F.filter(r, lambda _, x: x % 2 == 0), lambda v: F.when(v > 0, 20).otherwise(0)))
+    small = media.marks(20, (3, 6), (4, 5))
     boxes = F.transform("boxes", lambda b: b.withField("removed", (b["box_index"] + C("img")) % 3 == 0))
-    return media.scene(k, d).select("img", "gray", boxes.alias("boxes"), F.when(C("img") % 5 > 0, small).alias("manual"))
+    return media.scene(k, d, small).select("img", "gray", boxes.alias("boxes"), F.when(C("img") % 5 > 0, C("mask")).alias("manual"))
 
 
 query("second_plan", lambda k, d: fill.second_plan(edited(k, d)).select("img", "part", F.array_join(C("boxes").cast("array<string>"), ",").alias("boxes"), "x1", "y1", "x2", "y2", "pixels", "route", "value", "waits_for"))

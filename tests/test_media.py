@@ -202,7 +202,7 @@ def test_scenes_work_each_block_out_once(spark):
         mask = [[255 * (at(y, x) > 0.2 and y % 12 < 6 and x % 10 < 7) for x in range(80)] for y in range(96)]
         assert pages[i].mask == mask
         assert edited[i].manual == ([[20 * (v > 0) for v in row[::2]] for row in mask[::2]] if i % 5 else None)
-    for name in ("fill_plan_masks", "fill_plan_boxes", "filled_rows"):
+    for name in ("fill_plan_masks", "fill_plan_boxes", "filled_rows", "second_plan"):
         text = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "array_repeat" in text and "/ 12" not in text and "filter(" not in text
 
