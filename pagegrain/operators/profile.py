@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .content import joined
+from .content import cut_places, joined
 
 
 def row_profile(px: DataFrame) -> DataFrame:
@@ -119,31 +116,22 @@ def cut_rows(rows: DataFrame, target: int = 1400, search: int = 180, least: int
     safe (ties: smaller score, then first), within search of that row, else within search +
     wider, and at least `least` rows from the cut before and from the end.  Without one, or
     once the rest is at most target + least rows, the cuts end.  Rows' bands come from a
-    window; only the candidates of an image, one array, pass through Python."""
+    window; only the candidates of an image, one array, pass through Python, which looks at them where Arrow holds them."""
     w = Window.partitionBy("img").orderBy("y").rowsBetween(-band, band)
     marked = rows.withColumn("ok", (F.count("*").over(w) == 2 * band + 1) & ~F.max("unsafe").over(w))
     listed = marked.groupBy("img").agg((F.max("y") + 1).cast("long").alias("height"), F.sort_array(F.collect_list(F.when(F.col("ok"), F.struct(F.col("y").cast("long").alias("y"), F.col("score").cast("double").alias("score"))))).alias("safe"))
 
     def cut(batches):
-        for pdf in batches:
-            out = []
-            for img, height, safe in zip(pdf["img"], pdf["height"], pdf["safe"], strict=True):
-                at, place, ys = 0, 0, [s["y"] for s in safe]
-                while height - at > target + least:
-                    aim, best = at + target, None
-                    for reach in (search, search + wider):
-                        low, high = max(at + least, aim - reach) + band, min(height - least, aim + reach) - band
-                        best = min(((abs(s["y"] - aim), s["score"], s["y"]) for s in safe[bisect_left(ys, low) : bisect_left(ys, max(low, high))]), default=None)
-                        if best:
-                            break
-                    if not best:
-                        break
-                    at = int(best[2])
-                    out.append((img, place, at))
-                    place += 1
-            yield pd.DataFrame(out, columns=["img", "place", "cut"])
-
-    return listed.mapInPandas(cut, "img long, place int, cut long")
+        for batch in batches:
+            imgs, heights, out = batch["img"].to_pylist(), batch["height"].to_pylist(), []
+            for i, img in enumerate(imgs):
+                held = batch["safe"][i].values
+                safe, score = (held.field(c).to_numpy(zero_copy_only=False) for c in ("y", "score"))
+                out += [(img, place, at) for place, at in enumerate(cut_places(safe, score, heights[i], target, search, least, wider, band))]
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["img", "place", "cut"])
+
+    return listed.mapInArrow(cut, "img long, place int, cut long")
 
 
 def grown(px: DataFrame, reach: int) -> DataFrame:

@@ -182,6 +182,17 @@ def test_cut_rows(spark):
     assert profile.cut_rows(low).count() == 0
 
 
+def test_candidates_of_cuts_are_no_objects(spark):
+    text = QUERIES["cut_rows"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "MapInPandas" not in text
+    rows = [(img, y, y % (31 + img) == 7, float(y * 37 % 11) if y % 5 else 2.0) for img in range(3) for y in range(3000 - 400 * img)]
+    want = {(img, i, y) for img in range(3) for i, y in enumerate(naive_cuts([r[1:] for r in rows if r[0] == img], 140, 18, 50, 80, 3))}
+    df = spark.createDataFrame(rows, "img long, y int, unsafe boolean, score double").repartition(3)
+    assert {tuple(r) for r in profile.cut_rows(df, 140, 18, 50, 80, 3).collect()} == want and len(want) > 20
+    unknown = df.where("img = 0").withColumn("score", F.when(F.col("y") % 2 == 0, F.col("score")))  # an unknown score is the last of a tie
+    assert {tuple(r)[:2] for r in profile.cut_rows(unknown, 140, 18, 50, 80, 3).collect()} == {w[:2] for w in want if w[0] == 0}
+
+
 def test_wrap_and_fit():
     assert layout.wrap("aa bb\n\nccc", 10, 30) == ["aa bb", "", "ccc"]
     assert layout.wrap("aa bbbbbbb c", 10, 18) == ["aa", "bbb", "bbb", "b c"]
