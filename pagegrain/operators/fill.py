@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .content import image, joined, runs, widened
+from .content import gathered, image, joined, runs, widened
 from .grouping import _capacity, _line_groups
 from .raster import ellipse, square
 
@@ -190,7 +190,7 @@ def _by_edit(gray: np.ndarray, batch: pa.RecordBatch, i: int, faint: int = 10) -
 def mask_plan(images: DataFrame) -> DataFrame:
     """The plan of images (img, gray, mask: rows of one size), part by part.  Images or masks that are
     null or empty have no parts."""
-    return images.select("img", "gray", "mask").mapInArrow(lambda b: _planned(b, _by_mask, False), PLAN)
+    return images.select("img", "gray", "mask").mapInArrow(lambda b: gathered(_planned(b, _by_mask, False)), PLAN)
 
 
 def mask_filled(images: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def mask_filled(images: DataFrame) -> DataFrame:
 
 def box_plan(images: DataFrame) -> DataFrame:
     """The plan of images (img, gray, boxes: array of box_index, x1, y1, x2, y2, mask); crops of boxes aren't tiled."""
-    return images.select("img", "gray", "boxes").mapInArrow(lambda b: _planned(b, _by_boxes, False), PLAN)
+    return images.select("img", "gray", "boxes").mapInArrow(lambda b: gathered(_planned(b, _by_boxes, False)), PLAN)
 
 
 def box_filled(images: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def box_filled(images: DataFrame) -> DataFrame:
 def second_plan(images: DataFrame) -> DataFrame:
     """The plan of pages that were edited (img, gray, boxes with removed, manual: a mask of any size, or null): parts of boxes first, then those of
     the manual mask, which see what the boxes' fills have left."""
-    return images.select("img", "gray", "boxes", "manual").mapInArrow(lambda b: _planned(b, _by_edit, False), PLAN)
+    return images.select("img", "gray", "boxes", "manual").mapInArrow(lambda b: gathered(_planned(b, _by_edit, False)), PLAN)
 
 
 def second_filled(images: DataFrame) -> DataFrame:

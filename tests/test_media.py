@@ -156,6 +156,15 @@ def test_content_takes_little_room():
     assert {tuple(p) for p in np.argwhere(content.gradient_edges(wide[:30], 30, 120)).tolist()} == naive_edges(wide[:30].tolist(), 30, 120)
 
 
+def test_pages_rows_leave_python_in_few_batches():
+    import pyarrow as pa
+
+    some = lambda n, at=0: pa.record_batch([pa.array(range(at, at + n), pa.int64())], ["img"])
+    out = list(content.gathered(iter([some(3, 10 * i) for i in range(50)] + [some(0)] * 500), least=100))
+    assert [v for b in out for v in b["img"].to_pylist()] == [10 * i + j for i in range(50) for j in range(3)]
+    assert len(out) < 5 and not list(content.gathered(iter([]))) and not list(content.gathered(iter([some(0)])))
+
+
 def test_content_of_odd_pages(spark):
     g = picture(np.random.default_rng(9), 50, 40)
     rows = spark.createDataFrame([(1, g.tolist()), (2, []), (3, None), (4, [[255]])], "img long, gray array<array<int>>")
