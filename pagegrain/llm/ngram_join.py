@@ -3,27 +3,27 @@
 Documents with equal shingle sets form a class; the join runs over classes.
 
 1. A pass over all texts makes each set's size, class id and a parity
-   signature of its bits, and counts shingles in hashed slots of a fixed number.
+   signature of its bits, and counts shingles in hashed slots of a fixed number: of
+   some 2 million shingles that a task reads in a row, those that several sets hold.
+   What is rare thus leaves no count, and slots tell frequent shingles from it at any size.
 2. Those counts order shingles from rare to frequent.  Of a set of n, the first
    n - ceil(0.8 n) + 1 are its short inverted lists: a partner must be on one of
-   them.  Lists are merged by a shuffle; a list's members go to the bucket named by
+   them, whatever the order.  Lists are merged by a shuffle; a list's members go to the bucket named by
    its smallest class, which folds the many lists of one group into few buckets.
    A frequent shingle's list is salted first and its parts' buckets joined after.
 3. In a bucket, in blocks of bounded size, the signatures' differing bits bound the
    overlap from above; what is left falls into groups of possible links, and a
    class is in one group.
-4. A group's texts meet in blocks, whatever their number: DivideSkip heap-merges each
-   query's short lists, probes the long ones by binary search and keeps sets that
-   reach the overlap.  Only links between what isn't connected yet are written, at
+4. A group's texts meet in blocks, whatever their number, whose inverted lists are made
+   once: DivideSkip merges each query's short lists, probes the long ones for what can
+   still reach the overlap and keeps sets that do.  Only links between what isn't connected yet are written, at
    most one for each member of a block, but every pair of a list is either tested or
    already connected.
 5. The links' connected components are the classes' components."""
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,12 @@ from .words import LOWER, gram_hashes, mix, pieces, prefix_sums, range_hashes, s
 SHINGLE = 5
 PERCENT = 80  # the least similarity
 BITS = 2048
-SLOTS = 1 << 18
-SLOT_ROWS = 64
+SLOT_BITS, SLOT_ROWS = 22, 64
+COUNTED = 1 << 21  # shingles of different sets of which those are counted that several sets hold
+SALTED = 15  # lists of counts with more binary digits have parts
 BLOCK = 4096  # signatures of a bucket that meet in one task
-SEARCHED = 64  # sets whose inverted lists are searched at once
+PROBED = 64  # long lists that are probed at once
+PAIRS, FEW = 1 << 16, 1 << 12  # pairs of signatures that are compared at once, and so few that they are at a stroke
 TEXTS, SHINGLES = 1024, 1 << 21  # texts, and shingles of them, that meet in one task
 FEATURES = "doc_id long, row_key long, n int, class long, bits binary, slot int, counts binary"
 
@@ -83,39 +85,70 @@ def parity_bits(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(bool), bitorder="little").tobytes()
 
 
+def slot_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def add_repeated(counts: np.ndarray, sets: list[np.ndarray]) -> None:
+    """Add to the slots' counts the shingles that several of these sets hold, each so many times."""
+    if not sets:
+        return
+    held = np.sort(np.concatenate(sets))
+    first = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
+    times = np.diff(np.append(first, len(held)))
+    np.add.at(counts, slot_of(held[first[times > 1]]), times[times > 1].astype(counts.dtype))
+
+
 def _features(batches):
-    counts = np.zeros(SLOTS, np.int64)
+    counts = np.zeros(1 << SLOT_BITS, np.uint32)
     names = [x.split()[0] for x in FEATURES.split(", ")]
+    held: list = []  # of sets that differ
+    seen: set = set()
+    size = 0
     for batch in batches:
         sizes, classes, bits = [], [], []
         for _, s in shingle_sets(batch.column(2)):
             sizes.append(len(s))
             classes.append(class_of(s))
             bits.append(parity_bits(s) if len(s) else None)
-            np.add.at(counts, (s >> np.uint64(46)).astype(np.int64), 1)
+            if len(s) and classes[-1] not in seen:
+                seen.add(classes[-1])
+                held.append(s)
+                size += len(s)
+                if size >= COUNTED:
+                    add_repeated(counts, held)
+                    held, seen, size = [], set(), 0
         m = len(batch)
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+    add_repeated(counts, held)
     parts = counts.reshape(SLOT_ROWS, -1)
     live = np.flatnonzero(parts.any(1))
     m = len(live)
-    yield pa.record_batch([pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())] + [pa.array(live, pa.int32()), pa.array([parts[i].tobytes() for i in live], pa.binary())], names)
+    yield pa.record_batch([pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())] + [pa.array(live, pa.int32()), pa.array([_sparse(parts[i]) for i in live], pa.binary())], names)
+
 
+def _sparse(counts: np.ndarray) -> bytes:
+    """The places and values of counts that aren't 0."""
+    at = np.flatnonzero(counts)
+    return np.stack((at.astype(np.uint32), counts[at].astype(np.uint32))).tobytes()
 
-def _sum_slots(pdf):
+
+def _slot_levels(pdf):
     import pandas as pd
 
-    total = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], axis=0)
-    return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "counts": [total.tobytes()]})
+    total = np.zeros((1 << SLOT_BITS) // SLOT_ROWS, np.int64)
+    for x in pdf["counts"]:
+        at, n = np.frombuffer(x, np.uint32).reshape(2, -1)
+        total[at] += n
+    return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "levels": [np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()]})
 
 
 def slot_levels(features: DataFrame) -> np.ndarray:
-    """How many times its mean a slot's count is, as a power of 2; 0 up to 4 times.
-    The driver gets the 2**18 counts, however large the input."""
-    counts = np.zeros((SLOT_ROWS, SLOTS // SLOT_ROWS))
-    for row in features.where("slot is not null").select("slot", "counts").groupBy("slot").applyInPandas(_sum_slots, "slot int, counts binary").collect():
-        counts[row.slot] = np.frombuffer(row.counts, np.int64)
-    counts = counts.ravel()
-    return np.floor(np.log2(np.maximum(counts / max(1, counts.mean()), 4))).astype(np.uint64) - np.uint64(2)
+    """The number of binary digits of each slot's count, 0 for none.  The driver gets 2**22 bytes, however large the input."""
+    levels = np.zeros((SLOT_ROWS, (1 << SLOT_BITS) // SLOT_ROWS), np.uint8)
+    for row in features.where("slot is not null").select("slot", "counts").groupBy("slot").applyInPandas(_slot_levels, "slot int, levels binary").collect():
+        levels[row.slot] = np.frombuffer(row.levels, np.uint8)
+    return levels.ravel()
 
 
 def _short_lists(levels, percent: int):
@@ -130,13 +163,13 @@ def _short_lists(levels, percent: int):
                 if not n or (c := class_of(s)) in seen:
                     continue
                 seen.add(c)
-                level = level_of[(s >> np.uint64(46)).astype(np.int64)]
+                level = level_of[slot_of(s)].astype(np.uint64)
                 order = np.argsort(level << np.uint64(58) | s >> np.uint64(6), kind="stable")[: n - -(-percent * n // 100) + 1]
-                s, level = s[order], level[order]
-                salt = np.uint64(c & 0x7FFFFFFFFFFFFFFF) % (np.uint64(1) << level)
+                s, parts = s[order], np.maximum(level[order], np.uint64(SALTED)) - np.uint64(SALTED)
+                salt = np.uint64(c & 0x7FFFFFFFFFFFFFFF) % (np.uint64(1) << parts)
                 keys.append(mix(s + salt))
                 classes.append(np.full(len(s), c))
-                hot.append(np.where(level > 0, s, np.uint64(0)))
+                hot.append(np.where(parts > 0, s, np.uint64(0)))
             if keys:
                 yield pa.record_batch([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, classes, hot)], ["key", "class", "hot"])
 
@@ -207,17 +240,39 @@ def folded(bits: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0) for x in bits])
 
 
+def _near(n: np.ndarray, bits: np.ndarray, m: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    if len(n) * len(m) <= FEW:
+        apart = np.bitwise_count(bits[:, None, :] ^ others[None, :, :]).sum(-1, dtype=np.int64)
+    else:
+        apart = np.zeros((len(n), len(m)), np.int32)
+        for k in range(bits.shape[1]):
+            apart += np.bitwise_count(bits[:, k, None] ^ others[None, :, k])
+        apart = apart.astype(np.int64)
+    near = 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
+    return near & ((100 + percent) * apart <= (200 - 2 * percent) * (n[:, None] + m[None, :]))  # overlap = (total - apart) / 2 at most
+
+
 def possible(n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of a group can link: sizes within reach, and no more differing bits than
-    a pair of these sizes may have differing shingles."""
-    ok = np.zeros((len(n), len(n)), bool)
-    step = max(1, (1 << 21) // max(1, bits.size))
-    for a in range(0, len(n), step):
-        x = slice(a, min(a + step, len(n)))
-        total = n[x, None] + n[None, :]
-        near = 100 * np.minimum(n[x, None], n[None, :]) >= percent * np.maximum(n[x, None], n[None, :])
-        apart = np.bitwise_count(bits[x, None, :] ^ bits[None, :, :]).sum(-1, dtype=np.int64)
-        ok[x] = near & ((100 + percent) * apart <= (200 - 2 * percent) * total)  # overlap = (total - apart) / 2 at most
+    a pair of these sizes may have differing shingles.  In a large group only sizes within reach are compared."""
+    if len(n) ** 2 <= FEW:
+        ok = _near(n, bits, n, bits, percent)
+    else:
+        by = np.argsort(n, kind="stable")
+        n, bits = n[by], np.asfortranarray(bits[by])
+        end = np.searchsorted(n, n * 100 // percent, "right")  # of the sizes within reach of each, from its own on
+        held = np.zeros((len(n), len(n)), bool)
+        a = 0
+        while a < len(n):
+            b = min(len(n), a + 256)
+            while b > a + 1 and (b - a) * (int(end[b - 1]) - a) > PAIRS:
+                b = (a + b) // 2
+            x, y = slice(a, b), slice(a, int(end[b - 1]))
+            held[x, y] = _near(n[x], bits[x], n[y], bits[y], percent)
+            a = b
+        held |= held.T
+        back = np.argsort(by)
+        ok = held[np.ix_(back, back)]
     np.fill_diagonal(ok, False)
     return ok
 
@@ -257,87 +312,103 @@ def _possible_links(percent: int):
     return run
 
 
-def divide_skip(query: list[int], index: dict[int, list[int]], least: int) -> list[tuple[int, int]]:
-    """(id, overlap) of indexed sets that share at least so many of query's elements.
-
-    The longest lists are set aside, as many as DivideSkip's rule gives; the short ones
-    are merged by a heap, in which ids that cannot reach the rest of the threshold
-    are jumped over; candidates are probed in the long lists by binary search."""
-    lists = sorted((x for q in query if (x := index.get(q))), key=len)
-    if len(lists) < least:
+class Inverted:
+    """Inverted lists of a block's sets, made once: for each element the ids of its sets, ascending."""
+
+    def __init__(self, elements: np.ndarray, ids: np.ndarray, count: int):
+        by = np.argsort(elements, kind="stable")
+        elements, self.ids, self.count = elements[by], ids[by], count
+        first = np.flatnonzero(np.concatenate(([True], elements[1:] != elements[:-1]))) if len(elements) else np.zeros(0, np.int64)
+        self.elements, self.begin = elements[first], np.append(first, len(elements))
+
+    @classmethod
+    def of(cls, index: Mapping[int, list[int]]) -> Inverted:
+        ids = np.array([k for x in index.values() for k in x], np.int64)
+        return cls(np.repeat(np.array(list(index), np.uint64), [len(x) for x in index.values()]), ids, int(ids.max(initial=-1)) + 1)
+
+    def lists(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the lists of query's elements begin, and how long they are, the shortest first."""
+        at = np.searchsorted(self.elements, query)
+        at = at[np.append(self.elements, np.uint64(0))[at] == query] if len(self.elements) else at[:0]
+        at = at[at < len(self.elements)]
+        length = self.begin[at + 1] - self.begin[at]
+        by = np.argsort(length, kind="stable")
+        return self.begin[at][by], length[by]
+
+    def merged(self, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Each id's number of these lists."""
+        shift = np.repeat(begin - np.cumsum(length) + length, length)
+        return np.bincount(self.ids[shift + np.arange(len(shift))], minlength=self.count)
+
+
+def divide_skip(query, index: Inverted | Mapping[int, list[int]], least: int, allowed: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(id, overlap) of indexed sets, of those allowed, that share at least so many of query's elements.
+
+    The longest lists are set aside, as many as DivideSkip's rule gives; the short ones are merged,
+    and ids that can't reach the rest of the threshold are skipped; the others are probed in the
+    long lists, from the shortest on, as long as they can reach the threshold."""
+    index = index if isinstance(index, Inverted) else Inverted.of(index)
+    begin, length = index.lists(np.asarray(query, np.uint64))
+    if len(length) < least:
         return []
-    aside = min(least - 1, int(least / (0.0085 * np.log2(len(lists[-1]) + 1) + 1)))
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    need = least - aside
-    heap = [(x[0], k, 0) for k, x in enumerate(short)]
-    heapq.heapify(heap)
-    found = []
-    while len(heap) >= need:
-        top = heap[0][0]
-        popped = []
-        while heap and heap[0][0] == top:
-            popped.append(heapq.heappop(heap))
-        count = len(popped)
-        if count >= need:
-            for k, x in enumerate(long):
-                if count + len(long) - k < least:
-                    break
-                at = bisect_left(x, top)
-                count += at < len(x) and x[at] == top
-            if count >= least:
-                found.append((top, count))
-            to = top + 1
-        else:
-            while heap and len(popped) < need - 1:
-                popped.append(heapq.heappop(heap))
-            if not heap:
-                break
-            to = max(heap[0][0], top + 1)
-        for _, k, at in popped:
-            at = bisect_left(short[k], to, at)
-            if at < len(short[k]):
-                heapq.heappush(heap, (short[k][at], k, at))
-    return found
-
-
-def link_group(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect what the group's links connect; places in sets.
-
-    A set searches among those that the signatures allow it and that aren't connected with
-    it yet, so many of them at a time, since what it finds connects others; a few sets
-    spread over the sizes search first, so that large components soon hold together."""
+    aside = min(least - 1, int(least / (0.0085 * np.log2(int(length[-1]) + 1) + 1)))
+    short = len(length) - aside
+    count = index.merged(begin[:short], length[:short])
+    ids = np.flatnonzero((count >= least - aside) if allowed is None else (count >= least - aside) & allowed)
+    count = count[ids]
+    for a in range(short, len(length), PROBED):
+        if not len(ids):
+            return []
+        b = min(a + PROBED, len(length))
+        count = count + index.merged(begin[a:b], length[a:b])[ids]
+        live = count + len(length) - b >= least
+        ids, count = ids[live], count[live]
+    return list(zip(ids.tolist(), count.tolist(), strict=True))
+
+
+def link_group(sets: list[np.ndarray], percent: int = PERCENT, first: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what the group's links connect; places in sets.  first: which sets are of
+    the first of two blocks; then links of a set of each block count alone.
+
+    The inverted lists are made once.  Each set searches among those that the signatures allow it
+    and that aren't connected with it yet; a few sets spread over the sizes search first,
+    so that large components soon hold together."""
     count = len(sets)
     label, links = np.arange(count), []
-    order = sorted(range(count), key=lambda k: len(sets[k]))
+    order = np.argsort([len(s) for s in sets], kind="stable")
     sets = [sets[k] for k in order]
-    ok = possible(np.array([len(s) for s in sets], np.int64), folded([parity_bits(s) for s in sets]), percent)
-    elements = [s.tolist() for s in sets]
-    hubs = range(0, count, max(1, count // 16))
-    for k in dict.fromkeys([*hubs, *range(count)]):
-        own, n = set(elements[k]), len(sets[k])
-        while len(some := np.flatnonzero(ok[k] & (label != label[k]))[:SEARCHED]):
-            ok[k, some] = ok[some, k] = False  # tested now
-            index: dict[int, list[int]] = {}
-            for other in some.tolist():
-                for x in own.intersection(elements[other]):
-                    index.setdefault(x, []).append(other)
-            for other, overlap in divide_skip(elements[k], index, -(-percent * n // 100)):
-                if label[other] != label[k] and overlap >= least_overlap(n, len(sets[other]), percent):
-                    label[label == max(label[k], label[other])] = min(label[k], label[other])
-                    links.append((order[k], order[other]))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ok = possible(sizes, folded([parity_bits(s) for s in sets]), percent)
+    search = listed = np.arange(count)
+    if first is not None:
+        first = first[order]
+        ok &= first[:, None] != first[None, :]
+        search, listed = np.flatnonzero(first), np.flatnonzero(~first)
+    index = Inverted(np.concatenate([sets[k] for k in listed] or [np.zeros(0, np.uint64)]), np.repeat(listed, sizes[listed]), count)
+    hubs = search[:: max(1, len(search) // 16)]
+    for k in dict.fromkeys([*hubs.tolist(), *search.tolist()]):
+        some = ok[k] & (label != label[k])
+        if not some.any():
+            continue
+        ok[k, some] = ok[some, k] = False  # tested now
+        n = int(sizes[k])
+        for other, overlap in divide_skip(sets[k], index, least_overlap(n, int(sizes[some].min()), percent), some):
+            if label[other] != label[k] and overlap >= least_overlap(n, int(sizes[other]), percent):
+                label[label == max(label[k], label[other])] = min(label[k], label[other])
+                links.append((int(order[k]), int(order[other])))
     return links
 
 
 def _links(percent: int):
     def run(batches):
         for table, begin in _groups(batches):
-            cls = table.column("class").to_numpy()
+            i, j, own, cls = (table.column(c).to_numpy() for c in ("i", "j", "own", "class"))
             text = table.column("text").combine_chunks()
             end = np.append(begin[1:], len(cls))
             out = []
             for s, e in zip(begin.tolist(), end.tolist(), strict=True):
                 sets = [x for _, x in shingle_sets(text.slice(s, e - s))]
-                out += [(cls[s + a], cls[s + b]) for a, b in link_group(sets, percent)]
+                out += [(cls[s + a], cls[s + b]) for a, b in link_group(sets, percent, own[s:e] == i[s] if i[s] != j[s] else None)]
             if out:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
@@ -346,7 +417,7 @@ def _links(percent: int):
 
 def _in_blocks(members: DataFrame, size: str) -> DataFrame:
     """members (pivot, class, ..), a written table, dealt to pairs of blocks (i, j) of their
-    bucket, each pair of members meeting in one at least; size is SQL for a bucket's
+    bucket, each pair of members meeting in one at least, own the member's block; size is SQL for a bucket's
     number of blocks.  Only the few buckets with several are written and joined."""
     sizes = materialise(members.groupBy("pivot").agg(F.expr(f"cast({size} as int)").alias("blocks")).where("blocks > 1"), "blocks")
     dealt = members.join(sizes, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -382,7 +453,7 @@ def ngram_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     near = materialise(near.join(signed.select("class", "n"), "class").select("pivot", "class", "n"), "near")
     needed = near.select("class").join(signed.select("class", F.col("row.row_key").alias("key"), F.col("row.doc_id").alias("id")), "class")
     texts = docs.join(needed, (F.col("row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text").dropDuplicates(["class"])
-    met = _in_blocks(near, f"greatest(1, ceil(count(*) / {TEXTS}D), ceil(sum(n) / {SHINGLES}D))").select("pivot", "i", "j", "class").join(texts, "class").select("pivot", "i", "j", "class", "text")
+    met = _in_blocks(near, f"greatest(1, ceil(count(*) / {TEXTS}D), ceil(sum(n) / {SHINGLES}D))").select("pivot", "i", "j", "own", "class").join(texts, "class").select("pivot", "i", "j", "own", "class", "text")
     links = met.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "class").mapInArrow(_links(percent), "a long, b long")
     return features, connected_components(links).select(F.col("id").alias("class"), "label")
 
